@@ -36,7 +36,7 @@ from codeloom.llm.common import materialise, slices
 TREES, DEPTH, START = 20, 8, 3
 REGION = 12
 #: Pairs of a class that the first round confirms.
-FIRST_PAIRS = 3
+FIRST_PAIRS = 1
 #: Pairs whose signatures agree in fewer values are not confirmed: over five standard errors below 0.8.
 LEAST_AGREE = 0.62
 CACHE_WORDS = 600_000
