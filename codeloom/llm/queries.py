@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontaminate, mixing, near_dedup, simhash, token_output, toxicity
+from codeloom.llm import context_tree, decontaminate, html_extract, mixing, near_dedup, secrets, simhash, token_output, toxicity, warc_derive
 from codeloom.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,13 +49,25 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derive.derivatives(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_output": op2_token_output,
+    "op3_context_tree": op3_context_tree,
+    "op4_secret_scan": op4_secret_scan,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_near_dedup": op8_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 ORACLE: dict[str, str] = {}
