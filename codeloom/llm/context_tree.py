@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import materialise, shuffle_partitions, slices
 
-DEPTH = 5
-CHUNK_BYTES = 24_000_000
+DEPTH = 4
+CHUNK_BYTES = 12_000_000
 MODEL_ROWS = 300_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 GRAM, WORD = 0, 1
 END = b"\n"
 
@@ -169,8 +169,8 @@ def canonical(text: str | None) -> bytes:
     return b" ".join((text or "").encode().lower().split()) + END
 
 
-CHUNKS = pa.schema([("chunk", pa.string()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("docs", pa.binary())])
-CHUNKS_DDL = "chunk string, kind int, key long, n long, docs binary"
+CHUNKS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("docs", pa.binary())])
+CHUNKS_DDL = "chunk long, kind int, key long, n long, docs binary"
 
 
 def _tally(total: dict, keys: np.ndarray, training: np.ndarray) -> None:
@@ -193,7 +193,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq, size
-            chunk, totals = f"{task}-{seq}", {k: {"keys": [], "n": []} for k in (GRAM, WORD)}
+            chunk, totals = (task << 32) + seq, {k: {"keys": [], "n": []} for k in (GRAM, WORD)}
             for i, j in slices(map(len, texts)):
                 some = texts[i:j]
                 lengths = np.array([len(t) for t in some])
@@ -205,14 +205,15 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                 keys, n = grouped(np.concatenate(t["keys"]), np.concatenate(t["n"]))
                 for i in range(0, len(keys), 200_000):
                     m = len(keys[i : i + 200_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * m), pa.array(np.full(m, kind, np.int32)), pa.array(keys[i : i + m]), pa.array(n[i : i + m]), pa.nulls(m, pa.binary())], schema=CHUNKS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk, np.int64)), pa.array(np.full(m, kind, np.int32)), pa.array(keys[i : i + m]), pa.array(n[i : i + m]), pa.nulls(m, pa.binary())], schema=CHUNKS)
             lines = pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "text": pa.array(texts, pa.binary())})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, lines.schema) as w:
                 w.write_table(lines)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())], schema=CHUNKS)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())], schema=CHUNKS)
             ids.clear(), held.clear(), texts.clear()
             seq, size = seq + 1, 0
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             for doc, out, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
