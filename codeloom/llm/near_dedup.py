@@ -10,6 +10,9 @@ class, so that copies never pair up. TREES sorted signature orders of DEPTH MinH
 * Candidates are confirmed on the full sets. The first round confirms each class's deepest neighbours and joins what is
   linked; the second round confirms every other candidate pair whose ends are still apart. Since a pair inside one
   component can't change it, nothing is lost by leaving those out.
+* Classes that meet in a region deeper than FAMILY_DEPTH and still too large to be all neighbours form families. In
+  each, the members outside its largest component are compared with all members, block by block: a task gets at most
+  two blocks and gives one link for a member and component, so that a family's pairs are never rows.
 
 A pair of similarity 0.8 shares a prefix of 3 in one of 20 orders with probability 1 - (1 - 0.8 ** 3) ** 20, over
 0.999999. All counts are aggregated by key with partial aggregation, joins are split by skew, and no group is gathered.
@@ -39,6 +42,9 @@ REGION = 12
 FIRST_PAIRS = 1
 #: Pairs whose signatures agree in fewer values are not confirmed: over five standard errors below 0.8.
 LEAST_AGREE = 0.62
+FAMILY_DEPTH = 5
+#: Members of a block, and shingles that one step of a block's comparison takes.
+BLOCK, STEP = 1024, 8192
 CACHE_WORDS = 600_000
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15
@@ -126,9 +132,10 @@ def _paired(a, b, *more) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), *more]
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, depth) of classes (cls, n, sig) that are neighbours in some order; depth: of the deepest shared region."""
-    spark = classes.sparkSession
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, depth) of classes (cls, n, sig) that are neighbours in some order; depth: of the deepest shared region.
+    And (a, b): members of large deep regions with the region's first, or None where there is no such region."""
+    families = None
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = classes.select("cls", "n", "sig", tree).select("cls", "n", "tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("order"))
     rows = rows.withColumn("key", F.xxhash64("tree", F.substring("order", 1, 2 * START)))
@@ -138,6 +145,8 @@ def candidates(classes: DataFrame) -> DataFrame:
         rows = materialise(rows.join(regions, "key"), f"forest-{depth}")
         fits = (5 * F.least("n", F.col("first.n")) >= 4 * F.greatest("n", F.col("first.n"))) & (F.col("cls") != F.col("first.cls"))
         found.append(rows.filter(fits).select(*_paired(F.col("cls"), F.col("first.cls"), F.lit(depth).alias("depth"))))
+        if depth == FAMILY_DEPTH:
+            families = rows.filter((F.col("size") > REGION) & (F.col("cls") != F.col("first.cls"))).select(F.col("cls").alias("a"), F.col("first.cls").alias("b"))
         small = rows.filter((F.col("size") <= REGION) & (F.col("size") > 2) & (F.col("cls") != F.col("first.cls"))).select("key", "cls", "n")
         other = small.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"))
         near = small.join(other, "key").filter("cls < cls2 and 5 * least(n, n2) >= 4 * greatest(n, n2)")
@@ -147,16 +156,61 @@ def candidates(classes: DataFrame) -> DataFrame:
         rows = rows.filter(F.col("size") > REGION).select("cls", "n", "tree", "order", F.xxhash64("key", F.expr(f"substring(order, {2 * depth + 1}, 2)")).alias("key"))
         if not rows.limit(1).count():
             break
-    del spark
-    return materialise(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("depth").alias("depth")), "pairs")
+    return materialise(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("depth").alias("depth")), "pairs"), families
+
+
+def within_families(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a family that are in different components, one for a member and component."""
+    nodes = families.select(F.col("a").alias("cls")).union(families.select("b")).distinct()
+    named = materialise(components(nodes, families).withColumnRenamed("label", "family").join(labels, "cls"), "families")
+    sizes = named.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
+    whole = sizes.groupBy("family").agg(F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("most"))
+    whole = whole.filter(F.col("most.size") < F.col("all")).select("family", F.col("most.label").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most.size")) / BLOCK).alias("odd_blocks"))
+    rows = named.join(whole, "family").join(sets, "cls")
+    mine = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    odd = rows.filter("label <> main").select("family", "cls", "label", "n", "members", F.pmod(F.xxhash64("cls"), F.col("odd_blocks")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    renamed = [F.col(c).alias(f"{c}2") for c in ("family", "cls", "label", "n", "members")]
+    every = rows.select(*renamed, mine.alias("j2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("odd_blocks") - 1)).alias("i2"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: tuple[list, list] = [], []
+        if left.num_rows and right.num_rows:
+            sides = []
+            for t, end in ((left, ""), (right, "2")):
+                members = t.column(f"members{end}").combine_chunks()
+                sides.append((members.flatten().to_numpy(), np.diff(members.offsets.to_numpy()), *(t.column(f"{c}{end}").to_numpy() for c in ("n", "label", "cls"))))
+            (va, la, na, ga, ca), (vb, lb, nb, gb, cb) = sides
+            common = np.intersect1d(va, vb)
+            ia, ib = np.searchsorted(common, va), np.searchsorted(common, vb)
+            ia, ib = np.minimum(ia, max(len(common) - 1, 0)), np.minimum(ib, max(len(common) - 1, 0))
+            ra, rb = np.repeat(np.arange(len(la)), la), np.repeat(np.arange(len(lb)), lb)
+            ka, kb = (common[ia] == va, common[ib] == vb) if len(common) else (np.zeros(len(va), bool), np.zeros(len(vb), bool))
+            both = np.zeros((len(la), len(lb)), np.float32)
+            for s in range(0, len(common), STEP):
+                x, y = np.zeros((len(la), STEP), np.float32), np.zeros((len(lb), STEP), np.float32)
+                on = ka & (ia >= s) & (ia < s + STEP)
+                x[ra[on], ia[on] - s] = 1
+                on = kb & (ib >= s) & (ib < s + STEP)
+                y[rb[on], ib[on] - s] = 1
+                both += x @ y.T
+            both = both.astype(np.int64)
+            linked = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ga[:, None] != gb[None, :])
+            for r in np.flatnonzero(linked.any(axis=1)):
+                at = np.flatnonzero(linked[r])
+                for q in at[np.unique(gb[at], return_index=True)[1]]:
+                    found[0].append(ca[r]), found[1].append(cb[q])
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return odd.groupBy("family", "i", "j").cogroup(every.groupBy("family2", "i2", "j2")).applyInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets (cls, n, members) are similar enough."""
+    """The pairs (a, b) whose full sets (cls, n, members) are similar enough. Both sides grow with the corpus, and are
+    merged at every size."""
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("sa"), F.col("n").alias("na"))
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("sb"), F.col("n").alias("nb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("both")).filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return pairs.select("a", "b").hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "na", "nb", both.alias("both")).filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -204,9 +258,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = materialise(shingle_sets(docs, k), "sets")
     rows = sets.select("doc_id", "n_shingles", "cls")
     classes = materialise(sets.filter("cls is not null").select("cls", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["cls"]), "classes")
-    pairs = candidates(classes)
+    pairs, families = candidates(classes)
     nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    paired = materialise(sets.filter("cls is not null").select("cls", F.col("n_shingles").alias("n"), "sig", "members").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "paired")
+    paired = materialise(sets.filter("cls is not null").select("cls", F.col("n_shingles").alias("n"), "sig", "members").join(nodes.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]), "paired")
     ranked = pairs.select(F.col("a").alias("of"), "a", "b", "depth").union(pairs.select("b", "a", "b", "depth"))
     rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("depth"), "a", "b"))
     first = ranked.withColumn("rank", rank).filter(F.col("rank") <= FIRST_PAIRS).select("a", "b").distinct()
@@ -216,6 +270,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         apart = apart.join(labels.select(F.col("cls").alias(end), F.col("label").alias(f"l{end}")), end)
     apart = materialise(agreeing(apart.filter("la <> lb"), paired), "apart")
     labels = relabel(labels, materialise(confirm(apart, paired, percent), "links"))
+    if families is not None and families.limit(1).count():
+        labels = materialise(labels, "labels")
+        labels = relabel(labels, materialise(within_families(families, labels, paired, percent), "links"))
     least = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "least")
     heads = named.groupBy("label").agg(F.min("least").alias("component"))
