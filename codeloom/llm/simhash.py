@@ -49,7 +49,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     pair = terms.select(*keys, F.col("term").isNotNull().cast("int").alias("one"), F.xxhash64("term").alias("h"))
     votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LOW))).alias(f"v{i}") for i in range(32)]
     counted = pair.groupBy(*keys).agg(F.sum("one").alias("n"), *votes)
-    return counted.select(*keys, F.lpad(F.hex(_signs()), 16, "0").alias("fingerprint"))
+    return counted.select(*keys, F.lpad(F.hex(F.when(F.col("n") > 0, _signs()).otherwise(F.lit(0))), 16, "0").alias("fingerprint"))
 
 
 def _signs() -> Column:
