@@ -33,6 +33,8 @@ FOLDS = 3
 #: Hash space of the features, and how many of them a category's model keeps.
 FEATURES = 1 << 20
 KEPT = 400
+#: Features whose means differ by fewer standard errors are chance.
+LEAST_Z = 3.5
 #: Words whose scores a worker keeps.
 CACHE_WORDS = 400_000
 THRESHOLD = 0.5
@@ -80,7 +82,7 @@ def fit(docs: np.ndarray, feats: np.ndarray, values: np.ndarray, n: int, y: np.n
     z = np.abs(ones / n1 - (both - ones) / (n - n1)) / np.sqrt(square / n / min(n1, n - n1) + 1e-6)
     z[seen < 6] = 0
     kept = np.sort(np.argsort(-z, kind="stable")[:KEPT])
-    kept = kept[z[kept] > 0]
+    kept = kept[z[kept] >= LEAST_Z]
     place = np.full(width, -1)
     place[kept] = np.arange(len(kept))
     on = place[feats] >= 0 if len(feats) else np.zeros(0, bool)
