@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import slices
 
-SAMPLE_DOCS = 6_000
+SAMPLE_DOCS = 4_000
 FOLDS = 3
 #: Hash space of the features, and how many of them a category's model keeps.
 FEATURES = 1 << 20
 KEPT = 400
 #: Features whose means differ by fewer standard errors are chance.
 LEAST_Z = 3.5
+LEAST_SEEN = 6
 #: Words whose scores a worker keeps.
 CACHE_WORDS = 400_000
 THRESHOLD = 0.5
@@ -80,7 +81,7 @@ def fit(docs: np.ndarray, feats: np.ndarray, values: np.ndarray, n: int, y: np.n
     seen = np.bincount(feats, minlength=width)
     n1 = y.sum()
     z = np.abs(ones / n1 - (both - ones) / (n - n1)) / np.sqrt(square / n / min(n1, n - n1) + 1e-6)
-    z[seen < 6] = 0
+    z[seen < LEAST_SEEN] = 0
     kept = np.sort(np.argsort(-z, kind="stable")[:KEPT])
     kept = kept[z[kept] >= LEAST_Z]
     place = np.full(width, -1)
@@ -116,9 +117,11 @@ class Chain:
 def train_arrays(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], names: list[str], folds: int = FOLDS) -> Chain:
     """rows: feature hashes, their values and the labels of each document."""
     n = len(rows)
-    docs = np.repeat(np.arange(n), [len(r[0]) for r in rows]).astype(np.int64)
-    feats = np.concatenate([r[0] for r in rows]).astype(np.int64) if n else np.zeros(0, np.int64)
-    values = np.concatenate([r[1] for r in rows]).astype(float) if n else np.zeros(0)
+    docs = np.repeat(np.arange(n, dtype=np.int32), [len(r[0]) for r in rows])
+    feats = np.concatenate([r[0] for r in rows]).astype(np.int32) if n else np.zeros(0, np.int32)
+    values = np.concatenate([r[1] for r in rows]).astype(np.float32) if n else np.zeros(0, np.float32)
+    often = np.bincount(feats, minlength=1) >= LEAST_SEEN  # the rest could not be kept anyway
+    docs, feats, values = (x[often[feats]] for x in (docs, feats, values))
     labels = np.array([r[2] for r in rows], float).reshape(n, len(names))
     earlier, models = np.zeros((n, 0)), []
     fold = np.arange(n) % folds
@@ -164,8 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
             got = [doc_features(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in got], pa.list_(pa.float32()))], names=["doc_id", "labels", "feats", "vals"])
 
-    table = sample.mapInArrow(extract, "doc_id long, labels array<double>, feats array<int>, vals array<float>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).toArrow()
-    rows = [(np.asarray(f.values), np.asarray(v.values), lab) for f, v, lab in zip(table["feats"], table["vals"], table["labels"].to_pylist(), strict=True)]
+    table = sample.mapInArrow(extract, "doc_id long, labels array<double>, feats array<int>, vals array<float>").limit(2 * sample_docs).toArrow().sort_by("doc_id")
+    rows = [(f.values.to_numpy(), v.values.to_numpy(), lab) for f, v, lab in zip(table["feats"], table["vals"], table["labels"].to_pylist(), strict=True)]
     return train_arrays(rows, names, folds)
 
 
