@@ -27,8 +27,9 @@ def fnv1a_hex(data: bytes) -> str:
 
 
 def fnv1a_column(text: Column) -> Column:
-    """FNV-1a of the UTF-8 bytes as a long, on the JVM; the product is taken in 32-bit halves, since longs don't wrap."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
+    """FNV-1a of a text's UTF-8 bytes, or of binary ones, as a long on the JVM; the product is taken in 32-bit halves,
+    since longs don't wrap."""
+    pairs = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit("(..)"), F.lit(1))
 
     def step(h: Column, pair: Column) -> Column:
         x = h.bitwiseXOR(F.conv(pair, 16, 10).cast("long"))

@@ -33,8 +33,8 @@ def parse(contents: DataFrame) -> DataFrame:
                     continue
                 try:
                     text = bytes(content).decode()
-                except UnicodeDecodeError:
-                    note("not UTF-8", "error")
+                except (UnicodeDecodeError, TypeError):
+                    note("unreadable or not UTF-8", "error")
                     continue
                 if noisy:
                     note("minified or generated", "warning")
@@ -52,7 +52,7 @@ def parse(contents: DataFrame) -> DataFrame:
                 out[c] = out[c].astype("Int64")
             yield out.astype(object).where(out.notna(), None)
 
-    noisy = P.is_minified(F.decode("content", "UTF-8"))
+    noisy = P.is_minified(F.decode("content", "ISO-8859-1"))  # any bytes decode
     return contents.select("id", "lang", "content", noisy.alias("noisy")).mapInPandas(run, TAGGED)
 
 

@@ -11,6 +11,7 @@ import posixpath
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from codeloom.functions import predicates as P
@@ -25,7 +26,7 @@ REPO_WIDE = ["csharp", "java", "kotlin", "scala", "swift"]
 _NO_EXT = r"\.[^./]{1,4}$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _joined(folder: pd.Series, spec: pd.Series) -> pd.Series:
     return pd.Series([posixpath.normpath(posixpath.join(d or "", s)).lstrip("./") if s.startswith(".") else None for d, s in zip(folder, spec, strict=True)])
 

@@ -6,8 +6,10 @@ import fnmatch
 import os
 import re
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,12 +85,22 @@ def with_contents(spark: SparkSession, root: str, files: DataFrame | None = None
     """(id, path, mtime, size, lang, content, content_hash): ids rank the paths; contents are read by executors."""
     listed = files if files is not None else listing(spark, root)
     ranked = spark.createDataFrame([(i, *r) for i, r in enumerate(sorted(tuple(r) for r in listed.select("path", "mtime", "size").collect()), 1)], f"id long, {LISTING}")
-    base = os.path.abspath(root).rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{base}").select(F.regexp_replace("path", "^file:/*", "/").alias("full"), "content")
-    raw = raw.withColumn("path", F.expr(f"substring(full, {len(base) + 2})")).drop("full")
+    base = os.path.abspath(root)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Hidden and underscored names too, which Spark's own file listing leaves out; null if unreadable."""
+        for f in frames:
+            contents = []
+            for p in f.path:
+                try:
+                    contents.append(Path(base, p).read_bytes())
+                except OSError:
+                    contents.append(None)
+            yield pd.DataFrame({"path": f.path, "content": contents})
+
+    raw = ranked.select("path").repartition("path").mapInPandas(read, "path string, content binary")
     out = ranked.join(raw, "path").withColumn("lang", P.language(F.col("path")))
-    text = F.decode("content", "UTF-8")
-    return out.withColumn("content_hash", F.lpad(F.lower(F.hex(fnv1a_column(text))), 16, "0"))
+    return out.withColumn("content_hash", F.lpad(F.lower(F.hex(fnv1a_column(F.col("content")))), 16, "0"))
 
 
 def churn(spark: SparkSession, root: str, days: int = CHURN_DAYS) -> DataFrame:
