@@ -28,8 +28,9 @@ RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "ma
 ASIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Class, id and role names of boilerplate, as whole words of the name.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Class, id and role names of boilerplate, as whole words of the name; those of EDGES count outside an article only.
+NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adbox|adsense|adslot|advert\w*|banner|breadcrumbs?|comment\w*|cookie\w*|consent|disqus|masthead|menus?|modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar\w*|skip|social|sponsor\w*|subscribe|toolbar|widgets?|complementary|contentinfo|disclaimer|gdpr)(?:$|[\s_-])", re.I)
+EDGES = re.compile(r"(?:^|[\s_-])(?:footer|header)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -104,7 +105,12 @@ def blocks(page: str | None) -> list[Block]:
             while stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()  # a paragraph ends where a block begins
             named = " ".join(next(filter(None, g), "") for g in NAMES.findall(m[3]))
-            inside = name in ASIDE and not (name == "header" and any(t == "article" for t, _ in stack)) or bool(named and NOISE.search(named))
+            within = any(t in ("article", "main") for t, _ in stack)
+            inside = name in ASIDE and not (name == "header" and any(t == "article" for t, _ in stack))
+            if named and name in ("article", "main", "body", "html"):
+                inside = name == "article" and bool(NOISE.match(named))  # its other names tell of what it may have
+            elif named:
+                inside = inside or bool(NOISE.search(named)) or not within and bool(EDGES.search(named))
             stack.append((name, noisy() or inside))
         links = 0
         begin()

@@ -39,6 +39,15 @@ def test_articles_of_own_tables(spark, sf):
         assert r.text == "\n\n".join(w for w in want if w) and r.n_chars == len(r.text)
 
 
+def test_regions_by_name():
+    page = (
+        "<body class='has-comments'><div class='site-header'>Brand</div><div id='sidebar-left'><p>Read more of this.</p></div><article class='post comments-open'>"
+        "<header class='entry-header'><h1>Title &amp; more</h1></header><p>First  part<br>of it, long enough to be prose.</p><div class='ad-slot'>Buy</div><p>Second part, after the advert.</p></article>"
+        "<article class='comment'><p>Nice one.</p></article><section id='comments'><p>I think so too.</p></section><div class='cookie-bar'>We use cookies.</div></body>"
+    )
+    assert X.extract(page) == "Title & more\n\nFirst part of it, long enough to be prose.\n\nSecond part, after the advert."
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<"), (4, "u", "plain  words\nonly &amp; more"), (5, "u", "<p>cut off <b>here"), (6, "u", "<script>x<p>no</p>"), (7, "u", "<nav>a b c</nav>"), (8, "u", "<p>" + "w " * 100_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' as text")
