@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators import graph as G
 from codeloom.operators import metrics as M
+from codeloom.operators.flows import flow_trees
 from codeloom.schema import Tables
 
 #: (section, rows that are kept however small the budget, in order of importance).
-PRIORITY = [("entrypoints", 40), ("foundational", 25), ("subsystems", 20), ("symbols", 40), ("hotspots", 25), ("module_edges", 50), ("cycles", 20)]
+PRIORITY = [("entrypoints", 40), ("foundational", 25), ("subsystems", 20), ("flows", 5), ("symbols", 40), ("hotspots", 25), ("module_edges", 50), ("cycles", 20)]
 MAINS = {"main", "Main"}
 
 
@@ -31,12 +33,19 @@ def entrypoints(t: Tables) -> list[dict]:
     return [r.asDict() for r in mains.union(handlers).distinct().orderBy("file", "symbol").collect()]
 
 
-def subsystems(t: Tables) -> list[dict]:
-    """Communities of two or more, named by the folder that holds two thirds of them."""
+def subsystem_names(t: Tables) -> DataFrame:
+    """(community_id, name, size) of communities of two or more, named by the folder that holds two thirds of them."""
     rows = t.community_members.join(t.files.select(F.col("id").alias("file_id"), F.regexp_extract("path", "^(.*)/", 1).alias("folder")), "file_id")
     counts = rows.groupBy("community_id", "folder").agg(F.count(F.lit(1)).alias("n")).groupBy("community_id").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), "folder")).alias("top"))
     name = F.when(-F.col("top.n") * 3 >= F.col("size") * 2, F.col("top.folder")).otherwise(F.lit("cluster"))
-    return [r.asDict() for r in counts.filter("size > 1").select("community_id", name.alias("name"), "size").orderBy(F.desc("size"), "name", "community_id").collect()]
+    return counts.filter("size > 1").select("community_id", name.alias("name"), "size").orderBy(F.desc("size"), "name", "community_id")
+
+
+def flows(t: Tables, symbols: list[dict]) -> list[dict]:
+    """Call trees of the entry points' functions."""
+    names = sorted({e["symbol"] for e in symbols if e["role"] == "main"})
+    roots = t.entities.filter(F.col("kind") == 0).filter(F.col("name").isin(names)).select("id")
+    return flow_trees(t.files, t.entities, t.resolved_edges, roots)
 
 
 def trim(sections: dict[str, list], budget: int) -> tuple[dict[str, list], dict]:
@@ -54,10 +63,12 @@ def trim(sections: dict[str, list], budget: int) -> tuple[dict[str, list], dict]
 
 def nav_map(t: Tables, budget: int = 8000) -> dict:
     edges = [r.asDict() for r in M.module_edges(t.files, t.resolved_edges).orderBy(F.desc("crossings"), "from_module", "to_module").collect()]
+    found = entrypoints(t)
     sections = {
-        "entrypoints": entrypoints(t),
+        "entrypoints": found,
         "foundational": [r.asDict() for r in M.foundational_files(t.files, t.entities, t.resolved_edges).collect()],
-        "subsystems": subsystems(t),
+        "subsystems": [r.asDict() for r in subsystem_names(t).collect()],
+        "flows": flows(t, found),
         "symbols": [r.asDict() for r in M.symbol_breadth(t.files, t.entities, t.resolved_edges).collect()],
         "hotspots": [r.asDict() for r in M.hotspots(t.files, 50).collect()],
         "module_edges": edges,

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import predicates as P
 from codeloom.functions.hashing import fnv1a_column, with_minhash
+from codeloom.operators import flows as W
 from codeloom.operators import graph as G
 from codeloom.operators import lookups as L
 from codeloom.operators import metrics as M
+from codeloom.operators import resolve as S
 from codeloom.operators import rules as R
 from codeloom.plans.projection import like_sql, oracle_prefix, tables
 from codeloom.schema import Tables
@@ -222,6 +224,53 @@ def deep_types(t: Tables) -> DataFrame:
     return G.ancestry_depth(t.entities)
 
 
+@query(
+    "call_pairs",
+    "fns AS (SELECT file_id, name, owner_type, min(id) AS caller FROM entities WHERE kind = 0 GROUP BY ALL)",
+    "SELECT caller, to_entity_id AS callee, min(e.id) AS first FROM resolved_edges e JOIN entities s ON s.id = e.from_entity_id AND s.kind = 6 JOIN fns ON fns.file_id = s.file_id AND fns.name = s.enclosing_function AND fns.owner_type IS NOT DISTINCT FROM s.owner_type WHERE e.kind = 0 AND resolved GROUP BY ALL",
+)
+def call_pairs(t: Tables) -> DataFrame:
+    return W.call_pairs(t.entities, t.resolved_edges)
+
+
+@query("churn_varies", "", "SELECT count(DISTINCT churn) > 1 AS varies, count(*) AS files FROM files")
+def churn_varies(t: Tables) -> DataFrame:
+    return t.files.agg((F.min("churn") < F.max("churn")).alias("varies"), F.count(F.lit(1)).alias("files"))
+
+
+@query("data_class_files", "", "SELECT file_id AS id FROM entities WHERE kind = 0 GROUP BY file_id HAVING bool_and(regexp_matches(name, '^(get|set|is|has)($|_|[A-Z])'))")
+def data_class_files(t: Tables) -> DataFrame:
+    return M.data_class_files(t.entities)
+
+
+@query("neighbours", f"{_PAIRS}, {_SINK}", "SELECT DISTINCT x AS id FROM (SELECT b AS x, a AS y FROM pairs UNION ALL SELECT a, b FROM pairs) WHERE y IN (SELECT id FROM sink) AND x NOT IN (SELECT id FROM sink)")
+def neighbours(t: Tables) -> DataFrame:
+    return G.neighbours(t.resolved_edges, seed(t, "to_file_id"))
+
+
+@query("type_edges", "types AS (SELECT name, min(id) AS id, min((id, file_id))[2] AS file_id FROM entities WHERE kind IN (1, 2) GROUP BY name HAVING count(*) = 1)", "SELECT e.id AS from_entity_id, e.file_id AS from_file_id, t.file_id AS to_file_id, t.id AS to_entity_id, CASE WHEN e.kind = 15 THEN 2 ELSE 3 END AS kind FROM entities e LEFT JOIN types t USING (name) WHERE e.kind IN (15, 16)")
+def type_edges(t: Tables) -> DataFrame:
+    return S.resolve_types(t.entities)
+
+
+@query(
+    "call_edges_same_file",
+    "",
+    "SELECT c.id AS from_entity_id, min(f.id) AS to_entity_id FROM entities c JOIN entities f ON f.kind IN (0, 1) AND f.file_id = c.file_id AND f.name = c.name WHERE c.kind = 6 GROUP BY c.id",
+)
+def call_edges_same_file(t: Tables) -> DataFrame:
+    none = t.resolved_edges.limit(0).select("from_file_id", "to_file_id")
+    files = t.files.withColumn("lang", F.lit("python")).withColumn("is_test_path", F.lit(False))
+    return S.resolve_calls(files, t.entities, none).filter("to_entity_id is not null").select("from_entity_id", "to_entity_id")
+
+
+@query("subsystems", "g AS (SELECT community_id, regexp_extract(path, '^(.*)/', 1) AS folder, count(*) AS n FROM files GROUP BY ALL)", "SELECT community_id, CASE WHEN max(n) * 3 >= sum(n) * 2 THEN arg_max(folder, n) ELSE 'cluster' END AS name, CAST(sum(n) AS BIGINT) AS size FROM g GROUP BY community_id HAVING sum(n) > 1")
+def subsystems(t: Tables) -> DataFrame:
+    from codeloom.plans.navmap import subsystem_names
+
+    return subsystem_names(t)
+
+
 #: Thresholds at which the projection has findings; production ones are each rule's own.
 _LOWER = {
     "file-complexity-hotspot": {"max_complexity": 8.0}, "churn-complexity-hotspot": {"max_complexity": 6.0, "min_churn": 1.0}, "function-complexity-hotspot": {"max_function_complexity": 1.0}, "low-fan-in-high-fan-out-file": {"max_fan_in": 2.0, "min_fan_out": 2.0},

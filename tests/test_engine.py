@@ -206,5 +206,14 @@ def test_streaming_bursts(spark, tmp_path):
     assert sorted(r.changes for r in spark.table("bursts").collect()) == [1, 2]
 
 
+def test_flow_trees():
+    from codeloom.operators import flows
+
+    calls = {1: [2, 3], 2: [3, 1], 3: [4], 4: [2]}
+    want = {"id": 1, "calls": [{"id": 2, "calls": [{"id": 3, "calls": [{"id": 4, "calls": []}]}]}, {"ref": 3}]}
+    assert flows.tree(1, calls) == want and flows.size(want) == 5
+    assert flows.tree(1, calls, {3}) == {"id": 1, "calls": [{"id": 2, "calls": []}]}
+
+
 def test_entity_codes():
     assert ENTITY["call"] == 6 and ENTITY["control_flow"] == 12 and ENTITY["callable_boundary"] == 19
