@@ -185,6 +185,20 @@ def test_rules_suppressions_and_packs(spark, tmp_path):
     assert left == [] and [m["file"] for m in stale] == ["z"]
 
 
+def test_pattern_rules(spark):
+    from codeloom.operators import pattern_rules as R
+
+    text = "def f(x):\n    try:\n        print(x)\n    except ValueError:\n        pass\n    return eval('x')\n"
+    src = spark.createDataFrame([("a.py", text), ("tests/a.py", text)], "path string, text string")
+    hits = R.scan_patterns(src, R.BUILTIN)
+    got = {(r.rule_id, r.file, r.start_line) for r in hits.collect()}
+    assert got == {("empty-except-block", p, 2) for p in ("a.py", "tests/a.py")} | {("eval-usage", p, 6) for p in ("a.py", "tests/a.py")} | {("debug-statement-strict", "a.py", 3)}
+    files = spark.createDataFrame([(1, "a.py")], "id long, path string")
+    fns = spark.createDataFrame([(0, 9, "f", 1, 1, 6)], "kind int, id long, name string, file_id long, start_line int, end_line int")
+    assert {r.enclosing for r in R.with_enclosing(hits, files, fns).collect()} == {"f"}
+    assert R.PatternRule("x", "info", "", ["a b"]).problems()
+
+
 def test_trim_keeps_the_most_important():
     sections = {n: [{"x": "y" * 40}] * 30 for n, _ in navmap.PRIORITY}
     out, guide = navmap.trim(sections, 600)
