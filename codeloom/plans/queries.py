@@ -325,7 +325,7 @@ def clone_bands(docs: DataFrame) -> DataFrame:
 
 @_documents("content_hash")
 def content_hash(docs: DataFrame) -> DataFrame:
-    return docs.filter("n_chars <= 600").select("doc_id", F.lpad(F.lower(F.hex(fnv1a_column(F.col("text")))), 16, "0").alias("content_hash"))
+    return docs.select("doc_id", F.lpad(F.lower(F.hex(fnv1a_column(F.col("text")))), 16, "0").alias("content_hash"))
 
 
 @_documents("pattern_atoms", "SELECT doc_id FROM documents WHERE contains(text, 'token') AND contains(text, '=')")
