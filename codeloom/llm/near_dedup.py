@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.common import materialise, slices
+from codeloom.llm.common import give_back, materialise, slices
 
 TREES, DEPTH, START = 20, 8, 3
 REGION = 12
@@ -124,6 +124,8 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                     pa.array([signature(s).tobytes() for s in sets], pa.binary()),
                     pa.array([(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())),
                 ], schema=SETS)
+        shingler.known.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS_DDL)
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import batch, new_path, slices
+from codeloom.llm.common import batch, give_back, new_path, slices
 
 SHARD_BYTES = 4_000_000
 DICT_BYTES = 64 * 1024
@@ -57,6 +57,7 @@ class PieceEncoder:
         self.mark, self.mark_text = special[0] if special else (-1, "")
         self.marks = [t[:2].encode() for _, t in special]
         self.known: dict[bytes, bytes] = {}
+        self.most = CACHE_PIECES
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,7 +78,7 @@ class PieceEncoder:
         raw = [(t or "").encode() for t in texts]
         whole = [not self.by_piece or any(m in r for m in self.marks) for r in raw]
         split = [[] if w else r.lower().split() for r, w in zip(raw, whole, strict=True)]
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > self.most:
             self.known.clear()
         known = self.known
         missing = set(chain.from_iterable(split)).difference(known)
@@ -128,7 +129,7 @@ SHARDS = pa.schema([
 SHARDS_DDL = "part int, shard int, tokens_before long, n_docs int, n_tokens long, dict_sha256 string, doc_ids array<long>, lengths array<long>, offsets array<long>, payload binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_piece: bool = True, sample_docs: int = SAMPLE_DOCS, shard_bytes: int = SHARD_BYTES) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_piece: bool = True, sample_docs: int = SAMPLE_DOCS, shard_bytes: int = SHARD_BYTES, cache_pieces: int = CACHE_PIECES) -> None:
     """Write the ids of docs (doc_id, text) below path, in ascending doc_id order."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -151,7 +152,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_p
     held = spark.sparkContext.broadcast(dictionary)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, by_piece).encode
+        own = encoder(tokenizer_path, by_piece)
+        encode, own.most = own.encode, cache_pieces
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(held.value) if held.value else None, write_content_size=True)
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         ids: list = []
@@ -180,6 +182,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_p
                         yield flush()
         if ids:
             yield flush()
+        if len(own.known) > cache_pieces:
+            own.known.clear()
+        give_back()
 
     docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(pack, SHARDS_DDL).write.option("compression", "none").parquet(f"{path}/shards")
 
@@ -236,8 +241,8 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
     return out
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Write docs into the shared folder and read them back."""
     path = new_path(docs.sparkSession, "token-ids")
-    write(docs, path, tokenizer_path, end_id)
+    write(docs, path, tokenizer_path, end_id, cache_pieces=cache_pieces)
     return read(docs.sparkSession, path, with_ids=False)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import slices
+from codeloom.llm.common import give_back, slices
 
 SAMPLE_DOCS = 4_000
 FOLDS = 3
@@ -224,6 +224,8 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, decide: s
                 ps.append(p)
             p = np.concatenate(ps) if ps else np.zeros((0, len(names)))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, of] >= threshold)], names=[*kept, *names, decide])
+        known.clear(), scores.clear()
+        give_back()
 
     return source.mapInArrow(run, schema)
 
