@@ -31,7 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all documents are written as shards and read back: doc_id, start, n_tokens, ids_crc32."""
-    return token_output.round_trip(docs, tokenizer_path())
+    # fewer pieces are kept than by default: the workers have served all earlier stages
+    return token_output.round_trip(docs, tokenizer_path(), cache_pieces=150_000)
 
 
 STAGES = [
