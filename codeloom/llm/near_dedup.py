@@ -95,13 +95,14 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH MinHash values of 16 bits."""
+    """TREES * DEPTH MinHash values, each as 16 bits of a hash of the whole minimum: the minimum's own top bits are zeros
+    for sets that are large enough."""
     x = shingles[:, None] if len(shingles) else np.zeros((1, 1), np.uint64)
     least = None
     for i in range(0, len(x), 2048):
         part = (x[i : i + 2048] * _A + _B).min(axis=0)
         least = part if least is None else np.minimum(least, part)
-    return (least >> np.uint64(48)).astype("<u2")
+    return (mixed(least) >> np.uint64(48)).astype("<u2")
 
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("sig", pa.binary()), ("members", pa.list_(pa.int32()))])
@@ -261,7 +262,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = sets.select("doc_id", "n_shingles", "cls")
     classes = materialise(sets.filter("cls is not null").select("cls", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["cls"]), "classes")
     pairs, families = candidates(classes)
-    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    # a member of a family may be in no pair, where its size misfits the first of each of its regions
+    ends = pairs.select("a", "b") if families is None else pairs.select("a", "b").union(families.select("a", "b"))
+    nodes = ends.select(F.col("a").alias("cls")).union(ends.select("b")).distinct()
     paired = materialise(sets.filter("cls is not null").select("cls", F.col("n_shingles").alias("n"), "sig", "members").join(nodes.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]), "paired")
     ranked = pairs.select(F.col("a").alias("of"), "a", "b", "depth").union(pairs.select("b", "a", "b", "depth"))
     rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("depth"), "a", "b"))

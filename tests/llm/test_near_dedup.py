@@ -65,3 +65,20 @@ def test_odd_rows(odd_docs):
 
 def test_empty(no_docs):
     assert N.near_duplicates(no_docs, 2).count() == 0
+
+
+def test_signatures_of_very_large_sets_differ():
+    rng = np.random.default_rng(1)
+    a, b = (np.unique(rng.integers(0, 2**63, 600_000).astype(np.uint64)) for _ in range(2))
+    assert (N.signature(a) == N.signature(b)).mean() < 0.05
+
+
+def test_members_of_a_crowded_region_that_misfit_its_first(spark, monkeypatch):
+    """Fourteen sets of one signature; the least class fits none by size, and two are near copies."""
+    members = {1: list(range(5)), 2: list(range(1000, 1100)), 3: list(range(1000, 1095))}
+    members |= {c: list(range(10_000 * c, 10_000 * c + 20 * c)) for c in range(4, 15)}
+    sig = bytes(2 * N.TREES * N.DEPTH)
+    sets = spark.createDataFrame([(10 * c, len(m), c, sig, m) for c, m in members.items()], N.SETS_DDL)
+    monkeypatch.setattr(N, "shingle_sets", lambda *_: sets)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(None).collect()}
+    assert got == {10 * c: 20 if c == 3 else 10 * c for c in members}
