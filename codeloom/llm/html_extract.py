@@ -3,7 +3,8 @@
 A page becomes a sequence of tokens: words and tags, in page order. A word scores the log odds of being content, a tag
 minus what one costs, both learnt from labelled pages (``PAGES`` in labelled_pages.py: blocks marked as content or not);
 words inside links, lists of links and regions whose tag or class names a menu, advert, comment or the like score
-negative. A linear scan finds the contiguous region with the greatest sum; its blocks, without those of such regions,
+negative, but nothing inside an article or main element, where they are left out anyway and must not part the text
+around them. A linear scan finds the contiguous region with the greatest sum; its blocks, without those of such regions,
 are the text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by two newlines.
@@ -36,14 +37,15 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 
 
 class Block:
-    """tags: how many tags stand before or in it; noisy: in a region that is no content; linked: words in links."""
+    """tags: how many tags stand before or in it; noisy: in a region that is no content; linked: words in links;
+    enclosed: noisy inside an article or main; free: how many of the tags are of enclosed regions."""
 
-    __slots__ = ("parts", "tags", "noisy", "linked", "words", "place")
+    __slots__ = ("parts", "tags", "noisy", "linked", "words", "place", "enclosed", "free")
 
-    def __init__(self, noisy: bool, place: str):
+    def __init__(self, noisy: bool, place: str, enclosed: bool = False):
         self.parts: list[str] = []
-        self.tags = self.linked = self.words = 0
-        self.noisy, self.place = noisy, place
+        self.tags = self.linked = self.words = self.free = 0
+        self.noisy, self.place, self.enclosed = noisy, place, enclosed
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -52,20 +54,23 @@ class Block:
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page that hold text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
     now = Block(False, "")
-    pending = links = 0
+    pending = free = links = 0
 
     def noisy() -> bool:
         return bool(stack) and stack[-1][1]
 
+    def enclosed() -> bool:
+        return bool(stack) and stack[-1][2]
+
     def begin() -> None:
-        nonlocal now, pending
+        nonlocal now, pending, free
         if any(p.strip() for p in now.parts):
             out.append(now)
-            pending = 0
-        now = Block(noisy(), stack[-1][0] if stack else "")
-        now.tags = pending
+            pending = free = 0
+        now = Block(noisy(), stack[-1][0] if stack else "", enclosed())
+        now.tags, now.free = pending, free
 
     at, text = 0, page or ""
     while m := TOKEN.match(text, at):
@@ -82,6 +87,9 @@ def blocks(page: str | None) -> list[Block]:
         name, closing = name.lower(), bool(m[1])
         pending += 1
         now.tags += 1
+        if enclosed():
+            free += 1
+            now.free += 1
         if name in RAW and not closing:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(text, at)
@@ -98,20 +106,20 @@ def blocks(page: str | None) -> list[Block]:
             begin()
             continue
         if closing:
-            if any(t == name for t, _ in stack):
+            if any(t == name for t, *_ in stack):
                 while stack.pop()[0] != name:
                     pass
         else:
             while stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()  # a paragraph ends where a block begins
             named = " ".join(next(filter(None, g), "") for g in NAMES.findall(m[3]))
-            within = any(t in ("article", "main") for t, _ in stack)
-            inside = name in ASIDE and not (name == "header" and any(t == "article" for t, _ in stack))
+            within = any(t in ("article", "main") for t, *_ in stack)
+            inside = name in ASIDE and not (name == "header" and any(t == "article" for t, *_ in stack))
             if named and name in ("article", "main", "body", "html"):
                 inside = name == "article" and bool(NOISE.match(named))  # its other names tell of what it may have
             elif named:
                 inside = inside or bool(NOISE.search(named)) or not within and bool(EDGES.search(named))
-            stack.append((name, noisy() or inside))
+            stack.append((name, noisy() or inside, enclosed() or within and inside and not noisy()))
         links = 0
         begin()
     begin()
@@ -170,7 +178,7 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     scores = []
     for b in found:
         word, tag = features(b)
-        scores.append((b.tags * weights[tag], b.words * weights[word]))
+        scores.append(((b.tags - b.free) * weights[tag], 0.0 if b.enclosed else b.words * weights[word]))
     i, j = best_region(scores)
     return "\n\n".join(b.text() for b in found[i:j] if not b.noisy)
 

@@ -48,6 +48,16 @@ def test_regions_by_name():
     assert X.extract(page) == "Title & more\n\nFirst part of it, long enough to be prose.\n\nSecond part, after the advert."
 
 
+def test_short_lead_before_long_regions_in_an_article():
+    lead, rest = "lead " * 30 + "ends.", "rest " * 200 + "ends."
+    links = "".join(f"<li><a href={i}>An older story to read</a></li>" for i in range(60))
+    for noise in (f"<aside><p>{'more ' * 150}</p></aside>", f"<div class='related'><ul>{links}</ul></div>", f"<form>{'<div><img></div>' * 300}<p>Your mail</p>{'<div><img></div>' * 300}</form>"):
+        for holder in ("article", "main"):
+            for first, last in ((lead, rest), (rest, lead)):
+                page = f"<body><nav>Home News</nav><{holder}><h1>Title</h1><p>{first}</p>{noise}<p>{last}</p></{holder}><footer>All rights reserved.</footer></body>"
+                assert X.extract(page) == f"Title\n\n{first}\n\n{last}"
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<"), (4, "u", "plain  words\nonly &amp; more"), (5, "u", "<p>cut off <b>here"), (6, "u", "<script>x<p>no</p>"), (7, "u", "<nav>a b c</nav>"), (8, "u", "<p>" + "w " * 100_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' as text")
