@@ -6,7 +6,8 @@ look drawn at random from that alphabet: chi-squared uniformity (over symbols fo
 classes for base 64), Wald-Wolfowitz runs above and below the middle of the alphabet, and lag-one serial correlation.
 Fisher's method combines them into one p-value of randomness. Words, paths and names fail the battery; which failures
 count is decided over the whole corpus by Benjamini-Hochberg at FDR, each p-value divided by a weight that grows with
-the token's length, since long tokens are the ones that the tests can judge. Candidates that aren't rejected and carry
+the token's length up to 1, since short tokens are the ones that the tests can't judge; a weighted p-value above FDR is
+never a failure, so that of random tokens of any length at most a share of FDR is lost. Candidates that aren't rejected and carry
 MIN_BITS are spans of kind ``random``.
 
 Positions are code points, ends exclusive. Nulls: a null text is an empty one, without spans. Rows are independent up to
@@ -15,6 +16,7 @@ the threshold; repeated rows give repeated results; extra columns are left alone
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -147,7 +149,7 @@ def candidate(s: Column) -> Column:
     for k in reversed(kinds[:-1]):
         fits = s["token"].rlike(ENCODINGS[k][0])
         bits, p = F.when(fits, F.lit(ENCODINGS[k][2])).otherwise(bits), F.when(fits, battery(s["token"], k)).otherwise(p)
-    weight = F.length(bare) / F.lit(2.0 * TOKEN_LEAST)
+    weight = F.least(F.lit(1.0), F.length(bare) / F.lit(2.0 * TOKEN_LEAST))
     step = F.round(-F.log10(p / weight) * STEPS).cast("int")
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), (bits * F.length(bare)).alias("bits"), weight.alias("weight"), step.alias("step"))
 
@@ -185,7 +187,8 @@ def _threshold(steps: DataFrame, fdr: float) -> DataFrame:
     whole = Window.partitionBy()
     ranked = counts.select("step", F.sum("n").over(below).alias("rank"), (F.sum("w").over(whole)).alias("total"))
     passes = ranked.filter(F.pow(F.lit(10.0), -F.col("step") / F.lit(float(STEPS))) * F.col("total") <= F.lit(fdr) * F.col("rank"))
-    return passes.agg(F.coalesce(F.min("step"), F.lit(1 << 30)).alias("limit"))
+    least = math.ceil(-STEPS * math.log10(fdr))
+    return passes.agg(F.greatest(F.coalesce(F.min("step"), F.lit(1 << 30)), F.lit(least)).alias("limit"))
 
 
 def report(docs: DataFrame) -> DataFrame:

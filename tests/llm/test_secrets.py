@@ -49,6 +49,20 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert not any("random" in got[i] for i, _ in words)
 
 
+def test_random_tokens_of_any_length_among_words(spark):
+    import base64
+    import random
+
+    rng = random.Random(11)
+    lengths = (64, 344, 2000)
+    texts = [(1000 * n + i, "x " + base64.b64encode(rng.randbytes(n * 3 // 4)).decode()) for n in lengths for i in range(60)]
+    words = [(i, f"see internationalization-considerations/and_more_words_here_{'abcdefghij'[i % 10]} then") for i in range(1500)]
+    got = {r.doc_id: r.spans for r in S.report(spark.createDataFrame(texts + words, "doc_id long, text string")).collect()}
+    assert not any(got[i] for i, _ in words)
+    for n in lengths:
+        assert sum(got[i] == f"random:2:{2 + n}" for i, _ in texts if i // 1000 == n) >= 53, n
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert S.report(odd_docs).count() == odd_docs.count()
     assert S.report(no_docs).count() == 0
