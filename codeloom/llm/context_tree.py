@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialise, shuffle_partitions, slices
+from codeloom.llm.common import give_back, materialise, shuffle_partitions, slices
 
-DEPTH = 4
+DEPTH = 5
 CHUNK_BYTES = 12_000_000
-MODEL_ROWS = 300_000
+MODEL_ROWS = 100_000
 CACHE_WORDS = 200_000
 GRAM, WORD = 0, 1
 END = b"\n"
@@ -223,6 +223,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                     yield from flush()
         if ids:
             yield from flush()
+        give_back()
 
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 1
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(run, CHUNKS_DDL)
@@ -248,6 +249,7 @@ def model(grams: DataFrame, partitions: int) -> DataFrame:
             node, zeros, ones, logs, _ = subtrees(keys[n > 0], n[n > 0])[2]
             node, zeros, ones, logs = grouped(((node >> 16) << 8) | (node & 255), zeros, ones, logs)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(zeros), pa.array(ones), pa.array(logs)], names=["node", "zeros", "ones", "below"])
+        give_back()
 
     sums = dealt.mapInArrow(first, "node long, zeros long, ones long, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
     held = grams.sparkSession.sparkContext.broadcast(tops(sums.toPandas()))
@@ -259,6 +261,7 @@ def model(grams: DataFrame, partitions: int) -> DataFrame:
             trees = subtrees(keys[n > 0], n[n > 0]) if (n > 0).any() else {d: (empty,) * 5 for d in range(2, DEPTH + 1)}
             for i in range(0, len(keys), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000]), pa.array(log10_bytes(keys[i : i + 200_000], trees, *held.value))], names=["key", "value"])
+        give_back()
 
     return dealt.mapInArrow(second, "key long, value double")
 

@@ -85,6 +85,15 @@ def test_probabilities_of_a_context_add_up_to_one(spark):
     assert abs((10 ** C.log10_bytes(np.arange(context, context + 256), trees, *tops)).sum() - 1) < 1e-9
 
 
+def test_the_fifth_byte_before_conditions_a_byte(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    other = next(i for i in range(held + 1, 100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    train = [(i, "q1234a r1234b " * 20) for i in range(100, 130)]
+    docs = spark.createDataFrame([*train, (held, "q1234a"), (other, "q1234b")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in C.score(docs).collect()}
+    assert got[held] > got[other] + 1
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert C.score(odd_docs).count() == odd_docs.count()
     assert C.score(no_docs).count() == 0
