@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to vectorised code in slices of about so many bytes.
@@ -39,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key() -> Column:
+    """16 bytes of a row's doc_id and text: rows with the same key are repeats, whatever their other columns."""
+    doc = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("\n", doc, F.concat(F.lit("="), F.col("text")))))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,16 +19,16 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import batch, materialise
+from codeloom.llm.common import batch, materialise, row_key
 
 #: One edit is allowed for so many characters of an item.
 BUDGET_CHARS = 12
 BLOCK_CHARS = 8_000_000
-MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-MATCHES_DDL = "doc_id long, item_id long, distance int, start long, end long"
+MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("key", pa.binary())])
+MATCHES_DDL = "doc_id long, item_id long, distance int, start long, end long, key binary"
 
 
 def normalise(text: str | None) -> str:
@@ -147,8 +147,13 @@ class Matcher:
 
 def contamination(docs: DataFrame, items: DataFrame, budget_chars: int = BUDGET_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, start, end) of every item found in a document; places in the normalised text."""
+    return _found(docs, items, budget_chars, block_chars, F.lit(None).cast("binary")).drop("key")
+
+
+def _found(docs: DataFrame, items: DataFrame, budget_chars: int, block_chars: int, key: Column) -> DataFrame:
+    """The matches, with the key of each one's document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
     size = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     blocks = size // block_chars + 1
@@ -169,9 +174,9 @@ def _scan(docs: DataFrame, block: list[tuple[int, str]], budget_chars: int) -> D
         matcher = Matcher(held.value, budget_chars) if held.value else None
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if matcher and text:
-                    rows += [(doc, matcher.items[i][0], d, s, e) for i, d, s, e in matcher.match(normalise(text))]
+                    rows += [(doc, matcher.items[i][0], d, s, e, key) for i, d, s, e in matcher.match(normalise(text))]
             if rows:
                 yield batch(MATCHES, dict(zip(MATCHES.names, map(list, zip(*rows, strict=True)), strict=True)))
 
@@ -179,6 +184,6 @@ def _scan(docs: DataFrame, block: list[tuple[int, str]], budget_chars: int) -> D
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, budget_chars: int = BUDGET_CHARS) -> DataFrame:
-    """docs without those that hold an item. Ids decide: rows with the same id, or with none, go together."""
-    bad = materialise(contamination(docs, items, budget_chars), "leaks").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without those that hold an item. Each row is judged by its own text, also where ids are null or repeated."""
+    bad = materialise(_found(docs, items, budget_chars, BLOCK_CHARS, row_key()).select(F.col("key").alias("__bad")).distinct(), "leaks")
+    return docs.join(bad, row_key() == F.col("__bad"), "left_anti")

@@ -30,11 +30,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.common import give_back, materialise, slices
+from codeloom.llm.common import give_back, materialise, row_key, slices
 
 TREES, DEPTH, START = 20, 8, 3
 REGION = 12
@@ -105,12 +105,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(48)).astype("<u2")
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("sig", pa.binary()), ("members", pa.list_(pa.int32()))])
-SETS_DDL = "doc_id long, n_shingles long, cls long, sig binary, members array<int>"
+SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("sig", pa.binary()), ("members", pa.list_(pa.int32())), ("key", pa.binary())])
+SETS_DDL = "doc_id long, n_shingles long, cls long, sig binary, members array<int>, key binary"
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, sig, members): cls is a hash of the whole set, null for the empty one."""
+def shingle_sets(docs: DataFrame, k: int, key: Column) -> DataFrame:
+    """(doc_id, n_shingles, cls, sig, members, key): cls is a hash of the whole set, null for the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
@@ -124,11 +124,12 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                     pa.array([c - (1 << 64) if c >> 63 else c for c in cls], pa.int64(), mask=np.array([len(s) == 0 for s in sets])),
                     pa.array([signature(s).tobytes() for s in sets], pa.binary()),
                     pa.array([(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())),
+                    b.column(2).slice(i, j - i),
                 ], schema=SETS)
         shingler.known.clear()
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key")).mapInArrow(run, SETS_DDL)
 
 
 def _paired(a, b, *more) -> list:
@@ -258,8 +259,13 @@ def relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, cls, n_shingles, component_id, kept) of every row of docs; kept: doc_id = component_id."""
-    sets = materialise(shingle_sets(docs, k), "sets")
-    rows = sets.select("doc_id", "n_shingles", "cls")
+    return _grouped(docs, k, percent, F.lit(None).cast("binary")).drop("key", "label")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, key: Column) -> DataFrame:
+    """near_duplicates with the key of each row and the label of its component, which is null without words."""
+    sets = materialise(shingle_sets(docs, k, key), "sets")
+    rows = sets.select("doc_id", "n_shingles", "cls", "key")
     classes = materialise(sets.filter("cls is not null").select("cls", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["cls"]), "classes")
     pairs, families = candidates(classes)
     # a member of a family may be in no pair, where its size misfits the first of each of its regions
@@ -281,14 +287,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "least")
     heads = named.groupBy("label").agg(F.min("least").alias("component"))
-    by_class = materialise(named.join(heads, "label").select("cls", "component"), "by-class")
-    out = rows.join(by_class, "cls", "left").select("doc_id", "cls", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    by_class = materialise(named.join(heads, "label").select("cls", "label", "component"), "by-class")
+    out = rows.join(by_class, "cls", "left").select("doc_id", "cls", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "key", "label")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that of the least doc_id, of repeated rows of it the least text."""
-    kept = near_duplicates(docs, k, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(materialise(kept, "kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")))
-    again = Window.partitionBy("__kept").orderBy(F.col("text").asc_nulls_first())
+    """docs with one document of each component: that of the least doc_id (null where all are), of several rows with it
+    the least text. Rows without words are components of their own; repeats of a doc_id and text are one document."""
+    kept = _grouped(docs, k, percent, row_key()).filter("kept")
+    kept = kept.select(F.col("key").alias("__key"), F.coalesce(F.col("label").cast("string"), F.hex("key")).alias("__label")).distinct()
+    rows = docs.join(materialise(kept, "kept"), row_key() == F.col("__key"))
+    again = Window.partitionBy("__label").orderBy(F.col("text").asc_nulls_first())
     return rows.withColumn("__again", F.row_number().over(again)).filter("__again = 1").select(*docs.columns)

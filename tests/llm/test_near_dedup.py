@@ -78,7 +78,7 @@ def test_members_of_a_crowded_region_that_misfit_its_first(spark, monkeypatch):
     members = {1: list(range(5)), 2: list(range(1000, 1100)), 3: list(range(1000, 1095))}
     members |= {c: list(range(10_000 * c, 10_000 * c + 20 * c)) for c in range(4, 15)}
     sig = bytes(2 * N.TREES * N.DEPTH)
-    sets = spark.createDataFrame([(10 * c, len(m), c, sig, m) for c, m in members.items()], N.SETS_DDL)
+    sets = spark.createDataFrame([(10 * c, len(m), c, sig, m, None) for c, m in members.items()], N.SETS_DDL)
     monkeypatch.setattr(N, "shingle_sets", lambda *_: sets)
     got = {r.doc_id: r.component_id for r in N.near_duplicates(None).collect()}
     assert got == {10 * c: 20 if c == 3 else 10 * c for c in members}

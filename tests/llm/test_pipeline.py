@@ -26,3 +26,15 @@ def test_stages_take_effect(spark, sf):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "token_output"]
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_by_their_own_text(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"}
+    near = text["a"] + " more"
+    rows = [(1, text["a"]), (5, near), (5, text["b"]), (None, text["c"]), (None, text["c"] + " more"), (None, text["d"]), (None, near), (7, text["e"]), (7, text["f"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in near_dedup.deduplicate(docs).collect()]
+    assert sorted(left, key=repr) == sorted([(1, text["a"]), (5, text["b"]), (None, text["c"]), (None, text["d"]), (7, text["e"]), (7, text["f"])], key=repr)
+    items = spark.createDataFrame([(1, text["d"]), (2, text["e"])], "item_id long, text string")
+    left = [(r.doc_id, r.text) for r in decontaminate.decontaminate(docs, items).collect()]
+    assert sorted(left, key=repr) == sorted([r for r in rows if r[1] not in (text["d"], text["e"])], key=repr)
