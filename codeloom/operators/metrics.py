@@ -82,6 +82,12 @@ def module_edges(files: DataFrame, edges: DataFrame, least: int = 3, depth: int
 
 
 def clone_bands(signatures: DataFrame, least: int = 2) -> DataFrame:
-    """(band, value, size, members) of (id, body_minhash): entities that share a band value."""
+    """(band, value, size, label) of (id, body_minhash): band values that entities share, and the least of their ids."""
     rows = signatures.filter("body_minhash is not null").select("id", F.posexplode("body_minhash").alias("band", "value"))
     return rows.groupBy("band", "value").agg(F.countDistinct("id").alias("size"), F.min("id").alias("label")).filter(F.col("size") >= least)
+
+
+def clone_band_members(signatures: DataFrame, least: int = 2) -> DataFrame:
+    """(band, value, id): each entity of each of the clone bands."""
+    rows = signatures.filter("body_minhash is not null").select("id", F.posexplode("body_minhash").alias("band", "value")).distinct()
+    return rows.join(clone_bands(signatures, least).select("band", "value"), ["band", "value"]).select("band", "value", "id")

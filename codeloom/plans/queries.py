@@ -323,6 +323,11 @@ def clone_bands(docs: DataFrame) -> DataFrame:
     return M.clone_bands(with_minhash(docs.select(F.col("doc_id").alias("id"), "text"), "text").select("id", "body_minhash"))
 
 
+@_documents("clone_band_members")
+def clone_band_members(docs: DataFrame) -> DataFrame:
+    return M.clone_band_members(with_minhash(docs.select(F.col("doc_id").alias("id"), "text"), "text").select("id", "body_minhash"))
+
+
 @_documents("content_hash")
 def content_hash(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.lpad(F.lower(F.hex(fnv1a_column(F.col("text")))), 16, "0").alias("content_hash"))

@@ -231,3 +231,14 @@ def test_flow_trees():
 
 def test_entity_codes():
     assert ENTITY["call"] == 6 and ENTITY["control_flow"] == 12 and ENTITY["callable_boundary"] == 19
+
+
+def test_clone_bands_have_their_members(spark, sf):
+    from codeloom.plans.queries import QUERIES
+
+    bands = {(r.band, r.value): (r.size, r.label) for r in QUERIES["clone_bands"](spark, sf).collect()}
+    members = {}
+    for r in QUERIES["clone_band_members"](spark, sf).collect():
+        members.setdefault((r.band, r.value), []).append(r.id)
+    assert bands and {k: (len(v), min(v)) for k, v in members.items()} == bands
+    assert all(len(v) == len(set(v)) for v in members.values())
