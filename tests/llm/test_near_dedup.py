@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import near_dedup as N
+from codeloom.llm.common import Scratch
 
 
 def brute(docs, k, percent=80):
@@ -73,12 +75,35 @@ def test_signatures_of_very_large_sets_differ():
     assert (N.signature(a) == N.signature(b)).mean() < 0.05
 
 
-def test_members_of_a_crowded_region_that_misfit_its_first(spark, monkeypatch):
+def test_members_of_a_crowded_region_that_misfit_its_first(spark):
     """Fourteen sets of one signature; the least class fits none by size, and two are near copies."""
     members = {1: list(range(5)), 2: list(range(1000, 1100)), 3: list(range(1000, 1095))}
     members |= {c: list(range(10_000 * c, 10_000 * c + 20 * c)) for c in range(4, 15)}
     sig = bytes(2 * N.TREES * N.DEPTH)
-    sets = spark.createDataFrame([(10 * c, len(m), c, sig, m, None) for c, m in members.items()], N.SETS_DDL)
-    monkeypatch.setattr(N, "shingle_sets", lambda *_: sets)
-    got = {r.doc_id: r.component_id for r in N.near_duplicates(None).collect()}
-    assert got == {10 * c: 20 if c == 3 else 10 * c for c in members}
+    sets = spark.createDataFrame([(c, len(m), sig, m) for c, m in members.items()], "cls long, n long, sig binary, members array<long>")
+    labels = N.link(sets.select("cls", "n", "sig"), lambda wanted: sets.select("cls", "n", "members").join(wanted, "cls"), 80, Scratch(spark))
+    assert {r.cls: r.label for r in labels.collect() if r.cls != r.label} == {3: 2}
+
+
+def test_a_large_family_makes_few_pairs(spark):
+    """2,000 near copies: the rounds compare a bounded number of pairs a class, and all end in one component."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for d in range(2000):
+        w = list(base)
+        for i in rng.choice(400, 3, replace=False):
+            w[i] = f"x{rng.integers(10**9)}"
+        docs.append((d, " ".join(w)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string").cache()
+    scratch = Scratch(spark)
+    rows = scratch.keep(N.signatures(docs, 5), "signatures")
+    classes = rows.select("cls", F.col("n_shingles").alias("n"), "sig")
+    regions = N.forest(classes, scratch)
+    first = N.deepest(regions)
+    assert first.count() <= 2000
+    sets = scratch.keep(N.whole_sets(docs, rows, 5), "sets")
+    links = scratch.keep(N.confirm(first, sets, 80), "links")
+    labels = N.components(classes.select("cls"), links, scratch)
+    assert N.apart(regions, labels, 80, scratch).count() <= 20 * 2000
+    assert {r.component_id for r in N.near_duplicates(docs, 5).collect()} == {0}
