@@ -7,10 +7,14 @@ its children's; once all counts are in, that gives each node's weight in the mix
 probability of a byte after DEPTH bytes: a number for each (context, byte). Depths whose context never occurred in the
 training texts have no say. A text's score is the sum of log10 probabilities, minus its code length.
 
-Nothing of the model passes through the driver but depths 0 and 1 (at most 256 * 255 + 255 nodes). Scan tasks cut the
-texts into chunks of CHUNK_BYTES, kept compressed, each with its distinct byte strings and words. Their counts are summed over the
-corpus; the trees below each pair of bytes are built by themselves; the results are joined to each chunk's strings and
-go to the chunk's texts by a grouped pair of exchanges. So the model may outgrow any one machine.
+The corpus's strings of DEPTH + 1 bytes and its words travel as blobs: sorted keys as differences, byte planes and
+zstandard, about a byte a string. Scan tasks cut the texts into chunks of CHUNK_BYTES and give a blob of each chunk's
+strings for each bucket; a bucket has the strings that share their two nearest bytes (in a large corpus, a share of the
+third nearest byte as well). Counts of a bucket are merged over the chunks, in parts first where there are many; the
+trees below each pair of bytes are built by themselves; pairs, single bytes and the root follow from their sums; a
+bucket's probabilities go back to the chunks that have its strings, and each chunk's texts are scored. Nothing of the
+model passes through the driver but depths 0 and 1 (at most 256 * 255 + 255 nodes), and no task holds more than a
+bucket's strings or a chunk. A text longer than a chunk is cut behind a word into several.
 
 Words are told apart by 64-bit hashes. Nulls: a null text is an empty one (its end only); a null doc_id counts as
 text "" in the split and trains. Repeated rows count as often as they stand. Without training texts every byte has
@@ -28,14 +32,16 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import give_back, materialise, shuffle_partitions, slices
+from codeloom.llm.common import Scratch, give_back, shuffle_partitions, slices
 
-DEPTH = 5
+DEPTH = 6
 CHUNK_BYTES = 12_000_000
-MODEL_ROWS = 100_000
+#: Bytes of text for one bucket, for one part of the chunks, and for one share of the third nearest byte.
+BUCKET_BYTES, PART_BYTES, SPLIT_BYTES = 8_000_000, 2_000_000_000, 64_000_000_000
+MOST_BUCKETS = 65_536
 CACHE_WORDS = 200_000
 GRAM, WORD = 0, 1
 END = b"\n"
@@ -87,17 +93,22 @@ def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tupl
     return both, np.exp(half + own - both)
 
 
-def subtrees(grams: np.ndarray, counts: np.ndarray, full: int = DEPTH) -> dict[int, tuple[np.ndarray, ...]]:
-    """depth: (node, zeros, ones, log weighted, own weight), for depths 2 to full, of grams that have counts."""
+def subtrees(grams: np.ndarray, counts: np.ndarray, full: int = DEPTH, top: int = 2) -> dict[int, tuple[np.ndarray, ...]]:
+    """depth: (node, zeros, ones, log weighted, own weight), for depths top to full, of grams that have counts."""
     out, below = {}, None
-    for depth in range(full, 1, -1):
+    for depth in range(full, top - 1, -1):
         key, zeros, ones = nodes(grams, counts, depth, full)
         logs, own = weigh(zeros, ones, below)
         out[depth] = (key, zeros, ones, logs, own)
-        below = grouped(((key >> 16) << 8) | (key & 255), logs)[1]
+        below = grouped(parents(key), logs)[1]
     return out
 
 
+def parents(key: np.ndarray) -> np.ndarray:
+    """The nodes one byte of context up."""
+    return ((key >> 16) << 8) | (key & 255)
+
+
 def tops(first: pd.DataFrame) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Depth 1 and depth 0 as (node, zeros, ones, own weight), from depth 1's node, zeros, ones, below."""
     first = first.sort_values("node")
@@ -132,22 +143,23 @@ def log10_bytes(grams: np.ndarray, trees: dict, depth1: tuple, depth0: tuple, fu
     return total
 
 
-def gram_keys(joined: bytes, lengths: np.ndarray, full: int = DEPTH) -> np.ndarray:
+def gram_keys(joined: bytes, lengths: np.ndarray, full: int = DEPTH, given: np.ndarray | None = None) -> np.ndarray:
     """For each byte of the texts (one after the other, of these lengths) the bytes before, nearest first, then it.
 
-    Before a text stand ends.
+    Before a text stand ends. given: how many bytes of each text are only there as context and get no key.
     """
     raw = np.frombuffer(joined, np.uint8).astype(np.int64)
-    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(raw)) - starts
+    place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    early = np.flatnonzero(place < full)
     key = np.zeros(len(raw), np.int64)
     for back in range(1, full + 1):
         before = np.empty_like(raw)
         before[:back] = END[0]
         before[back:] = raw[:-back]
-        before[place < back] = END[0]
+        before[early[place[early] < back]] = END[0]
         key = (key << 8) | before
-    return (key << 8) | raw
+    key = (key << 8) | raw
+    return key if given is None or not given.any() else key[place >= np.repeat(given, lengths)]
 
 
 class Words:
@@ -165,12 +177,65 @@ class Words:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def canonical(text: str | None) -> bytes:
-    return b" ".join((text or "").encode().lower().split()) + END
+def canonical(text: str | bytes | None) -> bytes:
+    raw = text.encode() if isinstance(text, str) else text or b""
+    return b" ".join(raw.lower().split()) + END
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Byte planes of the values, compressed."""
+    planes = values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(blob: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Of keys in order; differences wrap around."""
+    return pack(np.diff(keys, prepend=np.int64(0)))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, "<i8"))
+
+
+def dealt(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each code."""
+    x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
 
-CHUNKS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("docs", pa.binary())])
-CHUNKS_DDL = "chunk long, kind int, key long, n long, docs binary"
+class Plan:
+    """How the strings are dealt out: buckets of grams, as many of words behind them, shares of the third byte, parts."""
+
+    def __init__(self, size: int, least: int, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES, split_bytes: int = SPLIT_BYTES):
+        self.buckets = min(MOST_BUCKETS, max(least, -(-size // bucket_bytes), 1))
+        self.split = min(256, max(1, -(-size // split_bytes)))
+        self.parts = max(1, -(-size // part_bytes))
+
+    def of_grams(self, keys: np.ndarray) -> np.ndarray:
+        near, third = keys >> (8 * (DEPTH - 1)), (keys >> (8 * (DEPTH - 2))) & 255
+        return dealt(near * 256 + third % self.split, self.buckets)
+
+    def of_words(self, keys: np.ndarray) -> np.ndarray:
+        return self.buckets + dealt(keys, self.buckets)
+
+    def of_pair_nodes(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which node, bucket): every bucket that has strings below the pair."""
+        at = np.repeat(np.arange(len(nodes)), self.split)
+        share = np.tile(np.arange(self.split), len(nodes))
+        found = np.unique(np.column_stack([at, dealt((nodes[at] >> 8) * 256 + share, self.buckets)]), axis=0)
+        return found[:, 0], found[:, 1]
+
+
+BLOBS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
+BLOBS_DDL = "chunk long, bucket int, part int, keys binary, counts binary, docs binary"
+#: A chunk's texts: the row they are of, bytes that are context only, whether the text ends here.
+LINES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("given", pa.int32()), ("last", pa.bool_()), ("text", pa.binary())])
 
 
 def _tally(total: dict, keys: np.ndarray, training: np.ndarray) -> None:
@@ -179,140 +244,231 @@ def _tally(total: dict, keys: np.ndarray, training: np.ndarray) -> None:
     total["n"].append(np.bincount(codes[training], minlength=len(distinct)))
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows (chunk, kind, key, n): distinct strings of a chunk and how often its training texts have them; one row a
-    chunk has its documents instead."""
+def _held_out() -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
+
+
+def segments(text: bytes, most: int) -> Iterator[tuple[int, bytes, bool]]:
+    """(bytes that are context only, bytes, whether the text ends here) of runs of whole words, of about most bytes."""
+    start = 0
+    while len(text) - start > most and (at := text.find(b" ", start + most)) >= 0:
+        given = min(start, DEPTH)
+        yield given, text[start - given : at + 1], False
+        start = at + 1
+    given = min(start, DEPTH)
+    yield given, text[start - given :], True
+
+
+def chunked(docs: DataFrame, plan: Plan, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Blobs of each chunk's distinct strings and how often its training texts have them, for each bucket; one row a
+    chunk (bucket -1) has its texts instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seq, words = TaskContext.get().partitionId(), 0, Words()
+        task, seq, row, words = TaskContext.get().partitionId(), 0, 0, Words()
         press = zstandard.ZstdCompressor(level=3)
-        ids: list = []
-        held: list = []
-        texts: list[bytes] = []
+        lines: list[tuple] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq, size
             chunk, totals = (task << 32) + seq, {k: {"keys": [], "n": []} for k in (GRAM, WORD)}
-            for i, j in slices(map(len, texts)):
-                some = texts[i:j]
-                lengths = np.array([len(t) for t in some])
-                training = ~np.array(held[i:j], bool)
-                _tally(totals[GRAM], gram_keys(b"".join(some), lengths), np.repeat(training, lengths))
-                split = [t.split() for t in some]
+            for i, j in slices(len(x[-1]) for x in lines):
+                some = [x[-1] for x in lines[i:j]]
+                given, lengths = np.array([x[3] for x in lines[i:j]]), np.array([len(t) for t in some])
+                training = ~np.array([x[2] for x in lines[i:j]], bool)
+                _tally(totals[GRAM], gram_keys(b"".join(some), lengths, given=given), np.repeat(training, lengths - given))
+                split = [t[g:].split() for t, g in zip(some, given.tolist(), strict=True)]
                 _tally(totals[WORD], words.hashes([w for s in split for w in s]), np.repeat(training, [len(s) for s in split]))
+            part = int(dealt(np.array([chunk]), plan.parts)[0])
+            out: list[tuple] = []
             for kind, t in totals.items():
                 keys, n = grouped(np.concatenate(t["keys"]), np.concatenate(t["n"]))
-                for i in range(0, len(keys), 200_000):
-                    m = len(keys[i : i + 200_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk, np.int64)), pa.array(np.full(m, kind, np.int32)), pa.array(keys[i : i + m]), pa.array(n[i : i + m]), pa.nulls(m, pa.binary())], schema=CHUNKS)
-            lines = pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "text": pa.array(texts, pa.binary())})
+                bucket = (plan.of_grams if kind == GRAM else plan.of_words)(keys)
+                order = np.argsort(bucket, kind="stable")
+                keys, n, bucket = keys[order], n[order], bucket[order]
+                ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)) if len(bucket) else []
+                start = 0
+                for end in ends:
+                    out.append((chunk, int(bucket[start]), part, pack_keys(keys[start:end]), pack(n[start:end]), None))
+                    start = end
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, lines.schema) as w:
-                w.write_table(lines)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())], schema=CHUNKS)
-            ids.clear(), held.clear(), texts.clear()
+            with pa.ipc.new_stream(sink, LINES) as w:
+                w.write_table(pa.table(list(map(list, zip(*lines, strict=True))), schema=LINES))
+            out.append((chunk, -1, part, None, None, press.compress(sink.getvalue().to_pybytes())))
+            for i in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 1000], strict=True), BLOBS, strict=True)], schema=BLOBS)
+            lines.clear()
             seq, size = seq + 1, 0
             pa.default_memory_pool().release_unused()
 
         for b in batches:
-            for doc, out, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids.append(doc), held.append(out), texts.append(canonical(text))
-                size += len(texts[-1])
-                if size >= chunk_bytes:
-                    yield from flush()
-        if ids:
+            for doc, held, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for given, part, last in segments(canonical(text), chunk_bytes):
+                    lines.append(((task << 40) + row, doc, held, given, last, part))
+                    size += len(part)
+                    if size >= chunk_bytes:
+                        yield from flush()
+                row += 1
+        if lines:
             yield from flush()
         give_back()
 
-    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 1
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(run, CHUNKS_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(run, BLOBS_DDL)
 
 
-def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, n = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.argsort(keys)
-    return keys[order], n[order]
+MERGED_DDL = "bucket int, part int, keys binary, counts binary, tokens long, types long"
 
 
-def model(grams: DataFrame, partitions: int) -> DataFrame:
-    """(key, value): log10 probability of the last byte of every gram of grams (key, n), n being training counts."""
-    # all grams that share their two nearest bytes meet in one task: distinct ones, whatever the corpus
-    dealt = grams.repartition(partitions, F.shiftright("key", 8 * (DEPTH - 1)))
+def merged(blobs: DataFrame, by: list[str]) -> DataFrame:
+    """Blobs with equal by as one each: distinct keys and the sums of their counts."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _collected(batches)
-        if (n > 0).any():
-            node, zeros, ones, logs, _ = subtrees(keys[n > 0], n[n > 0])[2]
-            node, zeros, ones, logs = grouped(((node >> 16) << 8) | (node & 255), zeros, ones, logs)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(zeros), pa.array(ones), pa.array(logs)], names=["node", "zeros", "ones", "below"])
+    def run(t: pa.Table) -> pa.Table:
+        keys, n = grouped(np.concatenate([unpack_keys(x) for x in t["keys"].to_pylist()]), np.concatenate([unpack(x, "<i8") for x in t["counts"].to_pylist()]))
         give_back()
+        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "part": pa.array([t["part"][0].as_py()], pa.int32()), "keys": [pack_keys(keys)], "counts": [pack(n)], "tokens": [int(n.sum())], "types": [int((n > 0).sum())]})
 
-    sums = dealt.mapInArrow(first, "node long, zeros long, ones long, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
-    held = grams.sparkSession.sparkContext.broadcast(tops(sums.toPandas()))
+    return blobs.select("bucket", "part", "keys", "counts").groupBy(*by).applyInArrow(run, MERGED_DDL)
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _collected(batches)
-        if len(keys):
+
+def _sums(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+
+
+def model(strings: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
+    """(bucket, keys, numbers): log10 probability of the last byte of every gram of strings (bucket, keys, counts)."""
+
+    def below_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, n in zip(*(b.column(c).to_pylist() for c in ("keys", "counts")), strict=True):
+                keys, n = unpack_keys(keys), unpack(n, "<i8")
+                if (n > 0).any():
+                    node, zeros, ones, logs, _ = subtrees(keys[n > 0], n[n > 0], top=3)[3]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, grouped(parents(node), zeros, ones, logs))), names=["node", "zeros", "ones", "below"])
+        give_back()
+
+    nodes_ddl = "node long, zeros long, ones long, below double"
+    pairs = scratch.keep(_sums(strings.mapInArrow(below_pairs, nodes_ddl)), "pairs")
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For the level above: the nodes with the logs of the level below in the place of its sums."""
+        for b in batches:
+            node, zeros, ones, below = (c.to_numpy() for c in b.columns)
+            logs, _ = weigh(zeros, ones, below)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (parents(node), zeros, ones, logs))), names=["node", "zeros", "ones", "below"])
+
+    # at most 256 * 255 rows
+    held = strings.sparkSession.sparkContext.broadcast(tops(_sums(pairs.mapInArrow(weighed, nodes_ddl)).toPandas()))
+
+    def to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, zeros, ones, below = (c.to_numpy() for c in b.columns)
+            own = weigh(zeros, ones, below)[1]
+            at, bucket = plan.of_pair_nodes(node)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(x[at]) for x in (node, zeros, ones, own))], names=["of", "node", "zeros", "ones", "own"])
+
+    near = pairs.mapInArrow(to_buckets, "of int, node long, zeros long, ones long, own double")
+
+    def numbers(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"bucket": [], "keys": [], "numbers": []}
+        if left.num_rows:
+            keys, n = unpack_keys(left["keys"][0].as_py()), unpack(left["counts"][0].as_py(), "<i8")
             empty = np.zeros(0, np.int64)
-            trees = subtrees(keys[n > 0], n[n > 0]) if (n > 0).any() else {d: (empty,) * 5 for d in range(2, DEPTH + 1)}
-            for i in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000]), pa.array(log10_bytes(keys[i : i + 200_000], trees, *held.value))], names=["key", "value"])
+            trees = subtrees(keys[n > 0], n[n > 0], top=3) if (n > 0).any() else {d: (empty,) * 5 for d in range(3, DEPTH + 1)}
+            node, zeros, ones, own = (right[c].to_numpy() for c in ("node", "zeros", "ones", "own"))
+            order = np.argsort(node)
+            trees[2] = (node[order], zeros[order], ones[order], None, own[order])
+            logs = [log10_bytes(keys[i : i + 200_000], trees, *held.value) for i in range(0, len(keys), 200_000)]
+            out = {"bucket": [left["bucket"][0].as_py()], "keys": [left["keys"][0].as_py()], "numbers": [pack(np.concatenate(logs).astype("<f4"))]}
         give_back()
+        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "numbers": pa.array(out["numbers"], pa.binary())})
+
+    return strings.select("bucket", "keys", "counts").groupBy("bucket").cogroup(near.groupBy("of")).applyInArrow(numbers, "bucket int, keys binary, numbers binary")
+
+
+def _kind(bucket: int, plan: Plan) -> str:
+    return "<f4" if bucket < plan.buckets else "<i8"
+
 
-    return dealt.mapInArrow(second, "key long, value double")
+def looked_up(blobs: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
+    """(of_chunk, bucket, keys, numbers) for the strings of each chunk."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(plan.parts - 1))).alias("part2")
+    found = found.select(F.col("bucket").alias("bucket2"), F.col("keys").alias("keys2"), "numbers", parts)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunks, buckets, keys, out = (left[c].to_pylist() for c in ("chunk", "bucket", "keys")), [], [], []
+        chunks, buckets, keys = chunks
+        if chunks:
+            kind = _kind(buckets[0], plan)
+            every, numbers = unpack_keys(right["keys2"][0].as_py()), unpack(right["numbers"][0].as_py(), kind)
+            out = [pack(numbers[np.searchsorted(every, unpack_keys(k))]) for k in keys]
+        return pa.table({"of_chunk": pa.array(chunks, pa.int64()), "bucket": pa.array(buckets, pa.int32()), "keys": pa.array(keys, pa.binary()), "numbers": pa.array(out, pa.binary())})
+
+    return blobs.select("chunk", "bucket", "part", "keys").groupBy("bucket", "part").cogroup(found.groupBy("bucket2", "part2")).applyInArrow(run, "of_chunk long, bucket int, keys binary, numbers binary")
 
 
-SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double"
+SCORES = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score"]
+SCORES_DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_bytes, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
-    spark = docs.sparkSession
-    chunks = materialise(chunked(docs, chunk_bytes), "chunks")
-    strings = chunks.filter("kind < 2").select("chunk", "kind", "key", "n")
-    totals = materialise(strings.groupBy("kind", "key").agg(F.sum("n").alias("n")), "totals")
-    train_docs = docs.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) != 1).count()
-    sizes = {r.kind: r for r in totals.groupBy("kind").agg(F.sum("n").alias("tokens"), F.sum((F.col("n") > 0).cast("long")).alias("types"), F.count(F.lit(1)).alias("rows")).collect()}
-    tokens = (sizes[WORD].tokens if WORD in sizes else 0) + train_docs
-    types = (sizes[WORD].types if WORD in sizes else 0) + (train_docs > 0)
-    partitions = max(shuffle_partitions(spark), (sizes[GRAM].rows if GRAM in sizes else 0) // MODEL_ROWS)
-    grams = model(totals.filter(f"kind = {GRAM}").select("key", "n"), partitions)
-    values = grams.select(F.lit(GRAM).alias("kind"), "key", "value").unionByName(totals.filter(f"kind = {WORD}").select("kind", "key", F.col("n").cast("double").alias("value")))
-    looked = strings.select("chunk", "kind", "key").join(values, ["kind", "key"]).select(F.col("chunk").alias("of_chunk"), "kind", "key", "value")
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, **limits: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every row.
+
+    limits: bucket_bytes, part_bytes, split_bytes of Plan.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    first = docs.agg(F.sum((~_held_out()).cast("long")).alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    train_docs = first.n or 0
+    plan = Plan(first.size or 0, shuffle_partitions(spark), **limits)
+    chunks = scratch.keep(chunked(docs, plan, chunk_bytes), "chunks")
+    blobs = chunks.filter("bucket >= 0")
+    totals = merged(blobs, ["bucket", "part"])
+    if plan.parts > 1:
+        totals = merged(scratch.keep(totals, "parts"), ["bucket"])
+    totals = scratch.keep(totals, "totals")
+    is_gram = F.col("bucket") < plan.buckets
+    sums = totals.filter(~is_gram).agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    tokens, types = (sums.tokens or 0) + train_docs, (sums.types or 0) + (train_docs > 0)
+    grams = model(totals.filter(is_gram), plan, scratch)
+    found = scratch.keep(grams.unionByName(totals.filter(~is_gram).select("bucket", "keys", F.col("counts").alias("numbers"))), "numbers")
+    looked = looked_up(blobs, found, plan)
     whole = tokens + 0.5 * (types + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = {}
-        kinds, keys, vals = (right.column(c).to_numpy() for c in ("kind", "key", "value"))
-        for k in (GRAM, WORD):
-            some = keys[kinds == k]
-            order = np.argsort(some)
-            tables[k] = some[order], vals[kinds == k][order]
+        every = list(zip(*(right[c].to_pylist() for c in ("bucket", "keys", "numbers")), strict=True))
+        for kind, some in ((GRAM, [x for x in every if x[0] < plan.buckets]), (WORD, [x for x in every if x[0] >= plan.buckets])):
+            keys = np.concatenate([unpack_keys(k) for _, k, _ in some]) if some else np.zeros(0, np.int64)
+            numbers = np.concatenate([unpack(v, _kind(b, plan)) for b, _, v in some]).astype(float) if some else np.zeros(0)
+            order = np.argsort(keys)
+            tables[kind] = keys[order], numbers[order]
         words, out = Words(), []
-        for packed in left.column("docs").to_pylist():
+        for packed in left["docs"].to_pylist():
             lines = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all()
-            texts = lines.column("text").to_pylist()
+            texts, givens, lasts = (lines[c].to_pylist() for c in ("text", "given", "last"))
             for i, j in slices(map(len, texts)):
-                some = texts[i:j]
+                some, given, last = texts[i:j], np.array(givens[i:j]), np.array(lasts[i:j], bool)
                 lengths = np.array([len(t) for t in some])
-                codes, distinct = pd.factorize(gram_keys(b"".join(some), lengths))
+                codes, distinct = pd.factorize(gram_keys(b"".join(some), lengths, given=given))
                 logs = tables[GRAM][1][np.searchsorted(tables[GRAM][0], distinct)]
-                scores = np.add.reduceat(logs[codes], np.cumsum(lengths) - lengths)
-                split = [t.split() for t in some]
+                own = lengths - given
+                scores = np.add.reduceat(logs[codes], np.cumsum(own) - own)
+                split = [t[g:].split() for t, g in zip(some, given.tolist(), strict=True)]
                 n = np.array([len(s) for s in split])
                 codes, distinct = pd.factorize(words.hashes([w for s in split for w in s]))
                 counts = (tables[WORD][1][np.searchsorted(tables[WORD][0], distinct)] if len(distinct) else np.zeros(0))[codes]
                 owner = np.repeat(np.arange(len(some)), n)
-                base = np.bincount(owner, np.log10((counts + 0.5) / whole), len(some)) + math.log10((train_docs + 0.5) / whole)
-                known = np.bincount(owner, counts > 0, len(some)).astype(np.int64) + (train_docs > 0)
-                out.append(pa.table([lines.column("doc_id").slice(i, j - i), lines.column("held_out").slice(i, j - i), pa.array(n + 1, pa.int64()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score"]))
+                base = np.bincount(owner, np.log10((counts + 0.5) / whole), len(some)) + last * math.log10((train_docs + 0.5) / whole)
+                known = np.bincount(owner, counts > 0, len(some)).astype(np.int64) + last * (train_docs > 0)
+                head = [lines[c].slice(i, j - i) for c in SCORES[:3]]
+                out.append(pa.table([*head, pa.array(n + last, pa.int64()), pa.array(own, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())], names=SCORES))
+        give_back()
         return pa.concat_tables(out)
 
-    texts = chunks.filter("kind = 2").select("chunk", "docs")
+    texts = chunks.filter("bucket < 0").select("chunk", "docs")
     scored = texts.groupBy("chunk").cogroup(looked.groupBy("of_chunk")).applyInArrow(run, SCORES_DDL)
+    # the segments of a long text
+    scored = scored.groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in SCORES[3:]])
+    scored = scratch.keep(scored, "scores")
+    scratch.clear("scores")
     bits = -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", bits.alias("bits_per_byte"))

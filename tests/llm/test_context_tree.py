@@ -53,11 +53,11 @@ def brute(texts, depth=C.DEPTH):
     return score
 
 
-@pytest.mark.parametrize("chunk_bytes", [60, 10**7])
-def test_against_the_definition(spark, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "limits"), [(60, {}), (10**7, {}), (9, {"part_bytes": 30, "split_bytes": 50, "bucket_bytes": 20})])
+def test_against_the_definition(spark, chunk_bytes, limits):
     texts = ["the cat sat", "The cat  ran\tfar", "a dog sat", None, "", "zebra ÄÖ", "the the the the", "cat", "on the mat the cat", "unseen QXJ words"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as chunk", "2 as key")
-    got = {r.doc_id: r for r in C.score(docs, chunk_bytes).collect()}
+    got = {r.doc_id: r for r in C.score(docs, chunk_bytes, **limits).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))}
     assert {i: r.held_out for i, r in got.items()} == held
     train = [t for i, t in enumerate(texts) if not held[i]]
@@ -69,7 +69,8 @@ def test_against_the_definition(spark, chunk_bytes):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(words[w] > 0 for w in tokens), total)
         assert abs(r.base_score - sum(math.log10((words[w] + 0.5) / (total + 0.5 * (types + 1))) for w in tokens)) < 1e-9
-        assert abs(r.score - score(t)) < 1e-6
+        assert r.n_bytes == len(C.canonical(t))
+        assert abs(r.score - score(t)) < 1e-6 * max(1, r.n_bytes)
 
 
 def test_probabilities_of_a_context_add_up_to_one(spark):
@@ -85,11 +86,38 @@ def test_probabilities_of_a_context_add_up_to_one(spark):
     assert abs((10 ** C.log10_bytes(np.arange(context, context + 256), trees, *tops)).sum() - 1) < 1e-9
 
 
-def test_the_fifth_byte_before_conditions_a_byte(spark):
+def test_blobs_come_back(spark):
+    keys = np.sort(np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 1000))
+    assert (C.unpack_keys(C.pack_keys(keys)) == keys).all()
+    assert (C.unpack(C.pack(keys), "<i8") == keys).all()
+    assert len(C.unpack(C.pack(np.zeros(0, np.int64)), "<i8")) == 0
+
+
+def test_segments_are_whole_words():
+    text = C.canonical("one two three four five six seven" * 3)
+    for most in (1, 5, 12, 1000):
+        parts = list(C.segments(text, most))
+        assert b"".join(t[g:] for g, t, _ in parts) == text
+        assert [w for g, t, _ in parts for w in t[g:].split()] == text.split()
+        assert [last for *_, last in parts] == [False] * (len(parts) - 1) + [True]
+
+
+def test_a_very_long_text_is_scored_as_a_whole(spark):
+    rng = np.random.default_rng(1)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 300, 40_000))
+    docs = spark.createDataFrame([(1, text), (2, "w1 w2"), (3, text[:5000])], "doc_id long, text string")
+    whole, cut = ({r.doc_id: r for r in C.score(docs, n).collect()} for n in (10**7, 10_000))
+    assert len(cut) == 3
+    for d, r in whole.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.n_bytes) == (cut[d].n_tokens, cut[d].n_known, cut[d].train_tokens, cut[d].n_bytes)
+        assert abs(r.score - cut[d].score) < 1e-6 * r.n_bytes
+
+
+def test_the_sixth_byte_before_conditions_a_byte(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     other = next(i for i in range(held + 1, 100) if zlib.crc32(str(i).encode()) % 5 == 1)
-    train = [(i, "q1234a r1234b " * 20) for i in range(100, 130)]
-    docs = spark.createDataFrame([*train, (held, "q1234a"), (other, "q1234b")], "doc_id long, text string")
+    train = [(i, "q12345a r12345b " * 20) for i in range(100, 130)]
+    docs = spark.createDataFrame([*train, (held, "q12345a"), (other, "q12345b")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in C.score(docs).collect()}
     assert got[held] > got[other] + 1
 
