@@ -2,7 +2,8 @@
 
 The target repetition rate of a source is weight * total / documents, its weight being a share of all weights. Each
 document's count inverts the Poisson distribution with that mean at a uniform number drawn from a hash of its doc_id
-and the seed, so that every run, on any number of machines, gives the same copies. Copies are dealt out by a hash in
+and the seed, so that every run, on any number of machines, gives the same copies. Only the rate, one number, travels
+with a row; workers sum the distribution around its mean when they first meet a rate. Copies are dealt out by a hash in
 random order: rows come in that order, partition after partition.
 
 Nulls: a null source is a source of its own; a null doc_id draws by its text. Sources without a weight get none of the
@@ -13,37 +14,53 @@ except for null ids. The columns ``copy`` and ``n_copies`` are added; input colu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import materialise
 
-#: Below so many sources the table of rates (some hundred bytes a row) is broadcast; above, it is joined salted.
-BROADCAST_SOURCES = 10_000
+#: The table of rates (source, rate) is broadcast up to so many sources and bytes of their names, and joined salted beyond.
+BROADCAST_SOURCES, BROADCAST_BYTES = 10_000, 1_000_000
 SALTS = 64
-TAIL = 1e-17
-
-
-def poisson_cdf(rate: float) -> list[float]:
-    """P(count <= k) for k = 0, 1, ... until the rest is below TAIL."""
-    if not rate > 0:
-        return []
-    out, total, k, most = [], 0.0, 0, rate + 40 * math.sqrt(rate) + 40
-    while k <= most:
-        term = math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
-        total += term
-        out.append(min(total, 1.0))
-        if k > rate and term < TAIL:
-            break
-        k += 1
+#: The distribution is summed over so many standard deviations on both sides of the mean, and so many counts more.
+SPREAD, MORE = 12, 40
+
+
+@lru_cache(20_000)
+def poisson_cdf(rate: float) -> tuple[int, np.ndarray]:
+    """(k, P(count <= k), P(count <= k + 1), ...); what lies outside is below 1e-17. Only rates up to 400 are kept whole
+    from 0; beyond, the window is 24 standard deviations wide."""
+    spread = SPREAD * math.sqrt(rate) + MORE
+    first = max(0, math.floor(rate - spread))
+    steps = np.arange(first + 1, math.ceil(rate + spread) + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(rate / steps))]) + (first * math.log(rate) - rate - math.lgamma(first + 1))
+    return first, np.minimum(np.cumsum(np.exp(logs)), 1.0)
+
+
+def poisson_counts(rates: np.ndarray, uniforms: np.ndarray) -> np.ndarray:
+    """The least k whose P(count <= k) is above the uniform number; 0 for rates that aren't above 0."""
+    out = np.zeros(len(rates), np.int32)
+    order = np.argsort(rates, kind="stable")
+    edges = np.flatnonzero(np.diff(rates[order], prepend=np.nan) != 0)
+    for i, j in zip(edges, np.append(edges[1:], len(order)), strict=True):
+        some = order[i:j]
+        if (rate := float(rates[some[0]])) > 0:
+            first, cdf = poisson_cdf(rate)
+            out[some] = first + np.minimum(np.searchsorted(cdf, uniforms[some], side="right"), len(cdf) - 1)
     return out
 
 
+def counted_by(rate: pd.Series, uniform: pd.Series) -> pd.Series:
+    return pd.Series(poisson_counts(rate.to_numpy(float), uniform.to_numpy(float)))
+
+
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, exponent: float = 0.5, total: float = 1.0) -> DataFrame:
-    """(source, n_docs, rate, cdf); weights default to n_docs ** exponent; total is the output's size over the input's."""
+    """(source, n_docs, rate); weights default to n_docs ** exponent; total is the output's size over the input's."""
     counts = materialise(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs")), "mix-counts")
     if weights is None:
         counts = counts.withColumn("weight", F.pow(F.col("n_docs").cast("double"), F.lit(float(exponent))))
@@ -52,13 +69,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, ex
         counts = counts.join(given, "source", "left").fillna(0.0, ["weight"])
     sums = counts.agg(F.sum("weight").alias("w"), F.sum("n_docs").alias("n")).first()
     scale = total * (sums.n or 0) / sums.w if sums.w else 0.0
-    rated = counts.withColumn("rate", F.col("weight") * F.lit(scale) / F.col("n_docs")).select("source", "n_docs", "rate")
-
-    def with_cdf(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(cdf=[poisson_cdf(r) for r in f.rate])
-
-    return rated.mapInPandas(with_cdf, "source string, n_docs long, rate double, cdf array<double>")
+    return counts.withColumn("rate", F.col("weight") * F.lit(scale) / F.col("n_docs")).select("source", "n_docs", "rate")
 
 
 def uniform(seed: int, *columns) -> F.Column:
@@ -69,16 +80,17 @@ def uniform(seed: int, *columns) -> F.Column:
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, exponent: float = 0.5, total: float = 1.0, seed: int = 20240229) -> DataFrame:
     """docs, each as often as its count says, in a global random order, with copy (from 0) and n_copies."""
     columns = [c for c in docs.columns if c not in ("copy", "n_copies")]
-    rates = materialise(source_rates(docs, weights, exponent, total).withColumnRenamed("source", "__source").select("__source", "cdf"), "mix-rates")
+    rates = materialise(source_rates(docs, weights, exponent, total).withColumnRenamed("source", "__source").select("__source", F.col("rate").alias("__rate")), "mix-rates")
     ident = F.xxhash64(F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.col("doc_id").cast("string")))
     rows = docs.select(*columns, ident.alias("__ident"))
-    if rates.count() <= BROADCAST_SOURCES:
+    size = rates.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("__source")).alias("bytes")).first()
+    if size.n <= BROADCAST_SOURCES and (size.bytes or 0) <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("__source")))
     else:
         salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("__salt_of", F.pmod("__ident", F.lit(SALTS)).cast("int")).join(salted, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__salt_of") == F.col("__salt")))
     u = uniform(seed, "__ident")
-    counted = joined.select(*columns, "__ident", F.size(F.filter("cdf", lambda c: c <= u)).alias("n_copies"))
+    counted = joined.select(*columns, "__ident", F.pandas_udf(counted_by, "int")("__rate", u).alias("n_copies"))
     copies = counted.filter("n_copies > 0").select(*columns, "__ident", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     order = copies.withColumn("__order", F.xxhash64(F.lit(seed + 1), "__ident", "copy"))
     return order.repartitionByRange("__order").sortWithinPartitions("__order").select(*columns, "copy", "n_copies")

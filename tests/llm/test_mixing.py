@@ -1,14 +1,19 @@
 import math
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import mixing as M
 
 
 def test_cdf_is_poisson():
     for rate in (0.01, 0.5, 3.0, 40.0, 2000.0):
-        cdf = M.poisson_cdf(rate)
-        mean = sum(1 - x for x in cdf)
-        assert abs(mean - rate) < 1e-6 * max(1, rate) and cdf == sorted(cdf)
-    assert abs(M.poisson_cdf(2.0)[1] - 3 * math.exp(-2)) < 1e-12
+        first, cdf = M.poisson_cdf(rate)
+        mean = first + sum(1 - x for x in cdf)
+        assert abs(mean - rate) < 1e-6 * max(1, rate) and cdf.tolist() == sorted(cdf.tolist())
+    assert abs(M.poisson_cdf(2.0)[1][1] - 3 * math.exp(-2)) < 1e-12
 
 
 def test_rates_and_counts(spark):
@@ -39,3 +44,38 @@ def test_odd_rows(odd_docs, no_docs):
     assert got.columns == [c for c in odd_docs.columns if c != "copy"] + ["copy", "n_copies"]
     assert got.filter("source is null").count() > 0
     assert M.mix(no_docs).count() == 0
+
+
+def naive_count(rate, u):
+    """Sums the distribution from 0 in exact fractions of its logs."""
+    k, total = 0, 0.0
+    while rate > 0:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        if total > u or k > rate + 40 * math.sqrt(rate) + 60:
+            return k
+        k += 1
+    return 0
+
+
+def test_inverse_against_the_sum_from_zero():
+    rng = np.random.default_rng(5)
+    for rate in (0.0, 1e-9, 0.03, 0.7, 1.0, 3.5, 40.0, 600.0, 5000.0):
+        u = rng.random(50)
+        assert M.poisson_counts(np.full(50, rate), u).tolist() == [naive_count(rate, x) for x in u]
+    rates, u = rng.choice([0.2, 2.0, 9.0], 500), rng.random(500)
+    assert M.poisson_counts(rates, u).tolist() == [naive_count(r, x) for r, x in zip(rates, u, strict=True)]
+    big = M.poisson_counts(np.full(2000, 1e6), rng.random(2000))
+    assert abs(big.mean() - 1e6) < 120 and 800 < big.std() < 1200
+    assert sum(len(M.poisson_cdf(r)[1]) for r in (1e6, 1e8)) < 300_000
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_every_documents_count(spark, sf, monkeypatch, broadcast):
+    """Both ways of joining, against counts summed in Python."""
+    if not broadcast:
+        monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rates = {r.source: r.rate for r in M.source_rates(docs).collect()}
+    by_hand = {r.doc_id: naive_count(rates[r.source], r.u) for r in docs.select("doc_id", "source", M.uniform(20240229, F.xxhash64(F.col("doc_id").cast("string"))).alias("u")).collect()}
+    got = Counter(r.doc_id for r in M.mix(docs).collect())
+    assert {d: got[d] for d in by_hand} == by_hand
