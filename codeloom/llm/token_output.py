@@ -16,12 +16,14 @@ input are left alone. An empty table writes no shard, with an empty dictionary.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,68 +37,122 @@ DICT_BYTES = 64 * 1024
 SAMPLE_DOCS = 2_000
 #: Pieces whose ids a Python worker keeps.
 CACHE_PIECES = 700_000
-#: Pieces encoded in one call.
-CALL_PIECES = 4_096
+#: Pieces encoded in one call, and bytes of text whose pieces are told apart at once.
+CALL_PIECES, SLICE_CHARS = 256, 4_000_000
+
+
+#: What the probes of a tokenizer put beside white space, and the steps of a normalizer that act within pieces.
+PROBES = ["a", "Z", "ab", "é", "ß", "日", "й", "7", "42", ".", ",", "it's", "'", "--", "(x", "y)", "_", "é.", "a1b"]
+INNER_STEPS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "Replace"}
+
+
+def parts_at_space(tokenizer, spec: dict) -> bool:
+    """Whether the ids of a text are those of its ASCII white-space pieces, one after the other.
+
+    True only for tokenizers whose pre-tokenizer keeps what a pattern matches and removes all else, white space with it,
+    and whose normalizer acts within pieces; probes across every white-space character must agree.
+    """
+    normalizer = spec.get("normalizer") or {}
+    steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
+    first = spec.get("pre_tokenizer") or {}
+    first = (first.get("pretokenizers") or [{}])[0] if first.get("type") == "Sequence" else first
+    removes = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+    if not removes or any(x.get("type") not in INNER_STEPS for x in steps) or (spec["model"].get("continuing_subword_prefix") or ""):
+        return False
+
+    def ids(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    own = {p: ids(p) for p in PROBES}
+    return all(ids(f"{p}{gap}{q}") == own[p] + own[q] for gap in (" ", "\t", "\n", "\x0b", "\f", "\r", " \n ") for p in PROBES for q in PROBES)
 
 
 class PieceEncoder:
     """Ids of whole texts through the tokenizers library, each distinct white-space piece encoded once.
 
-    For tokenizers that split at white space and drop it (by_piece), the ids of a text are the ids of its pieces one
-    after the other, and upper-case ASCII letters may be lowered first when the normalizer lowers them. Pieces to encode
-    are joined by a special token, whose id parts the result again. Texts that hold the start of a special token's
-    string are encoded whole.
+    For tokenizers that split at white space and drop it (by_piece; None: found out by parts_at_space), the ids of a text
+    are the ids of its pieces one after the other, and upper-case ASCII letters are lowered first when the normalizer
+    lowers them. Pieces to encode are joined by a special token, whose id parts the result again. Texts that hold the
+    start of a special token's string are encoded whole, and so are all texts with other tokenizers.
     """
 
-    def __init__(self, path: str, by_piece: bool = True):
+    def __init__(self, path: str, by_piece: bool | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
-        self.by_piece = by_piece and bool(special)
+        plain = len(special) == len(self.tokenizer.get_added_tokens_decoder())
+        self.by_piece = bool(special) and plain and (parts_at_space(self.tokenizer, spec) if by_piece is None else by_piece)
         self.mark, self.mark_text = special[0] if special else (-1, "")
-        self.marks = [t[:2].encode() for _, t in special]
-        self.known: dict[bytes, bytes] = {}
+        self.marks = sorted({t[:2] for _, t in special})
+        self.lower = self.by_piece and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
+        # A stop or comma after an ASCII letter may be a piece of its own for the pattern.
+        self.tails = tuple(c for c in ".," if self.by_piece and all(self._ids(p + c) == self._ids(p) + self._ids(c) for p in ("a", "zq", "it's", "é-k", "7b")))
+        self.known: dict[str, bytes] = {"": b""}
         self.most = CACHE_PIECES
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._ids(text), "<u4").tobytes()
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         known = self.known
         for at in range(0, len(pieces), CALL_PIECES):
             some = pieces[at : at + CALL_PIECES]
-            ids = np.array(self.tokenizer.encode(f" {self.mark_text} ".join(p.decode() for p in some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark_text} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
             raw, start = ids.tobytes(), 0
             for p, end in zip(some, ends.tolist(), strict=True):
                 known[p] = raw[start:end]
                 start = end + 4
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        raw = [(t or "").encode() for t in texts]
-        whole = [not self.by_piece or any(m in r for m in self.marks) for r in raw]
-        split = [[] if w else r.lower().split() for r, w in zip(raw, whole, strict=True)]
+    def _known(self, pieces: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known = {"": b""}
         known = self.known
-        missing = set(chain.from_iterable(split)).difference(known)
-        # A stop or comma after an ASCII letter is a piece of its own for the pattern of these tokenizers.
-        tailed = [p for p in missing if p[-1:] in (b".", b",") and p[-2:-1].isalpha()]
-        bare = {p[:-1] for p in tailed}.union((b".", b","))
-        missing.difference_update(tailed)
-        missing.update(p for p in bare if p not in known)
-        self._learn(list(missing))
+        missing = [p for p in pieces if p not in known]
+        tailed = [p for p in missing if p[-1:] in self.tails and "a" <= p[-2:-1] <= "z"] if self.tails else []
+        if tailed:
+            rest = {p[:-1] for p in tailed}.union(self.tails)
+            missing = list(set(missing).difference(tailed).union(p for p in rest if p not in known))
+        self._learn(missing)
         for p in tailed:
             known[p] = known[p[:-1]] + known[p[-1:]]
-        return [self._whole(t or "") if w else b"".join(map(known.__getitem__, s)) for t, w, s in zip(texts, whole, split, strict=True)]
-
+        return [known[p] for p in pieces]
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
-
-
-def encoder(path: str, by_piece: bool = True) -> PieceEncoder:
+    def encode(self, texts: pa.Array | list) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts) or not self.by_piece:
+            return [self._whole(t) for t in texts.to_pylist()]
+        whole = reduce(pc.or_, [pc.match_substring(texts, m) for m in self.marks])
+        out: list[bytes] = []
+        plain = pc.if_else(whole, "", texts)
+        for i, j in slices(pc.binary_length(plain).to_pylist(), SLICE_CHARS):
+            part = plain.slice(i, j - i)
+            split = pc.ascii_split_whitespace(pc.ascii_lower(part) if self.lower else part)
+            coded = split.flatten().dictionary_encode()
+            ids = self._known(coded.dictionary.to_pylist())
+            codes = coded.indices.to_numpy()
+            lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            flat, n = np.frombuffer(b"".join(ids), "<u4"), lengths[codes]
+            ends = np.cumsum(n)
+            found = flat[np.repeat((np.cumsum(lengths) - lengths)[codes] - (ends - n), n) + np.arange(len(n) and ends[-1])]
+            edges = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+            out += [found[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._whole(texts[i].as_py())
+        return out
+
+
+_encoders: dict[tuple[str, bool | None], PieceEncoder] = {}
+
+
+def encoder(path: str, by_piece: bool | None = None) -> PieceEncoder:
     """One encoder a worker process, so that what it has learnt serves later tasks."""
     import os
 
@@ -129,7 +185,7 @@ SHARDS = pa.schema([
 SHARDS_DDL = "part int, shard int, tokens_before long, n_docs int, n_tokens long, dict_sha256 string, doc_ids array<long>, lengths array<long>, offsets array<long>, payload binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_piece: bool = True, sample_docs: int = SAMPLE_DOCS, shard_bytes: int = SHARD_BYTES, cache_pieces: int = CACHE_PIECES) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_piece: bool | None = None, sample_docs: int = SAMPLE_DOCS, shard_bytes: int = SHARD_BYTES, cache_pieces: int = CACHE_PIECES) -> None:
     """Write the ids of docs (doc_id, text) below path, in ascending doc_id order."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -138,7 +194,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_p
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([serialize(x + end, width) for x in encoder(tokenizer_path, by_piece).encode(b.column(0).to_pylist())], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([serialize(x + end, width) for x in encoder(tokenizer_path, by_piece).encode(b.column(0))], pa.binary())], names=["ids"])
 
     n = max(1, docs.count())
     share = min(1.0, sample_docs / n)
@@ -170,9 +226,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_p
             return out
 
         for b in batches:
-            texts, docs_ = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for i, j in slices(len(t or "") for t in texts):
-                for doc, x in zip(docs_[i:j], encode(texts[i:j]), strict=True):
+            texts, docs_ = b.column(1), b.column(0).to_pylist()
+            for i, j in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_CHARS):
+                for doc, x in zip(docs_[i:j], encode(texts.slice(i, j - i)), strict=True):
                     x += end
                     ids.append(doc)
                     lengths.append(len(x) // 4)
@@ -183,7 +239,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_p
         if ids:
             yield flush()
         if len(own.known) > cache_pieces:
-            own.known.clear()
+            own.known = {"": b""}
         give_back()
 
     docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(pack, SHARDS_DDL).write.option("compression", "none").parquet(f"{path}/shards")

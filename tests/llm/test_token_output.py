@@ -47,3 +47,25 @@ def test_empty_table(spark):
     path = new_path(spark, "t")
     T.write(spark.createDataFrame([], "doc_id long, text string"), path, tokenizer_path())
     assert T.read(spark, path).count() == 0
+
+
+def test_a_tokenizer_that_keeps_white_space_is_given_whole_texts(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["Hello World, it's here.", "  two  spaces\n\n", "", "a <|endoftext|> b", "É\t日本"]
+    assert not T.PieceEncoder(path).by_piece
+    t = Tokenizer.from_file(path)
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in T.PieceEncoder(path).encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = T.round_trip(docs, path, end_id=50256).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(x) + 1 for x in want]
+
+
+def test_hostile_texts_against_whole_texts():
+    rng = np.random.default_rng(11)
+    parts = [" ", "\t", "\n", "\x0b", "\x85", " ", "a", "Z", "é", "é", "İ", "ß", "'s", "'LL", "'", ".", ",", "..", "7", "٣", "日", "<|", "|>", "_", "​", "ﬁ", "Σ", "x."]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(1500)]
+    encoder = T.PieceEncoder(tokenizer_path())
+    assert encoder.by_piece
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert got == [x[:-1] for x in expected(texts)]
