@@ -73,6 +73,17 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("\n", doc, F.concat(F.lit("="), F.col("text")))))
 
 
+#: Rows of text that go to a Python worker at once: Spark's 10,000 long ones fill an executor beside the JVM's heap.
+TEXT_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold no more than TEXT_ROWS rows from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

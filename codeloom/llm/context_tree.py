@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, give_back, shuffle_partitions, slices
+from codeloom.llm.common import Scratch, give_back, shuffle_partitions, slices, text_batches
 
 DEPTH = 6
 CHUNK_BYTES = 12_000_000
@@ -416,6 +416,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, **limits: int) -> Dat
     limits: bucket_bytes, part_bytes, split_bytes of Plan.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    text_batches(spark)
     first = docs.agg(F.sum((~_held_out()).cast("long")).alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
     train_docs = first.n or 0
     plan = Plan(first.size or 0, shuffle_partitions(spark), **limits)

@@ -37,14 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.common import Scratch, give_back, row_key, slices
+from codeloom.llm.common import Scratch, give_back, row_key, slices, text_batches
 
 TREES, DEPTH, START = 20, 8, 3
 REGION = 12
 FAMILY_DEPTH = 5
 #: Members and shingles of a block, and shingles that one step of a block's comparison takes.
-BLOCK, BLOCK_SHINGLES, STEP = 1024, 2_000_000, 8192
-CACHE_WORDS = 600_000
+BLOCK, BLOCK_SHINGLES, STEP = 1024, 500_000, 4096
+CACHE_WORDS = 250_000
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15
 
@@ -143,7 +143,9 @@ def whole_sets(docs: DataFrame, picked: DataFrame, k: int) -> DataFrame:
             texts = b.column(1).to_pylist()
             for i, j in slices(len(t or b"") for t in texts):
                 sets = shingler.sets(texts[i:j])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(ends), pa.int64()), members], schema=schema)
         shingler.known.clear()
         give_back()
 
@@ -320,6 +322,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """near_duplicates with the key of each row and the label of its component, which is null without words."""
     scratch = Scratch(docs.sparkSession)
+    text_batches(docs.sparkSession)
     rows = scratch.keep(signatures(docs, k), "signatures")
     best = F.min(F.struct("key", F.col("n_shingles").alias("n"), "sig")).alias("best")
     classes = scratch.keep(rows.filter("cls is not null").groupBy("cls").agg(best).select("cls", "best.*"), "classes")

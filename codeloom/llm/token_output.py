@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import batch, give_back, new_path, slices
+from codeloom.llm.common import batch, give_back, new_path, slices, text_batches
 
 SHARD_BYTES = 4_000_000
 DICT_BYTES = 64 * 1024
@@ -188,6 +188,7 @@ SHARDS_DDL = "part int, shard int, tokens_before long, n_docs int, n_tokens long
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_piece: bool | None = None, sample_docs: int = SAMPLE_DOCS, shard_bytes: int = SHARD_BYTES, cache_pieces: int = CACHE_PIECES) -> None:
     """Write the ids of docs (doc_id, text) below path, in ascending doc_id order."""
     spark = docs.sparkSession
+    text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     end = np.array([end_id], "<u4").tobytes()
     width = 2 if max(encoder(tokenizer_path, by_piece).tokenizer.get_vocab_size(), end_id) < 65536 else 4

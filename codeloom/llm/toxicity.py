@@ -6,8 +6,9 @@ and over the probabilities of all earlier categories. While training, those come
 document (out-of-fold predictions), so that later models don't trust them more than they deserve; afterwards each
 category is fitted once more on all training rows.
 
-Training takes a bounded sample of the labelled rows: at most SAMPLE_DOCS, chosen by a hash of doc_id. Scoring covers
-every whole text.
+Training takes a bounded sample of the labelled rows: about SAMPLE_DOCS, chosen by a hash of doc_id and text (repeats are
+one row). Features that fewer than LEAST_SEEN of them have are dropped before the driver gets the rest, and of those that
+differ between the classes each model keeps the KEPT strongest. Scoring covers every whole text.
 
 Nulls: a null or blank text has no features and gets the base rates; rows with a null label are not trained on;
 without training rows, or with one class only, a category's probability is the base rate (0 without any row). Repeated
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import give_back, slices
+from codeloom.llm.common import Scratch, give_back, row_key, slices, text_batches
 
-SAMPLE_DOCS = 4_000
+SAMPLE_DOCS = 6_000
 FOLDS = 3
 #: Hash space of the features, and how many of them a category's model keeps.
 FEATURES = 1 << 20
@@ -37,7 +38,7 @@ KEPT = 400
 LEAST_Z = 3.5
 LEAST_SEEN = 6
 #: Words whose scores a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 THRESHOLD = 0.5
 _OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -155,21 +156,46 @@ FEATURE_ROWS = "labels array<double>, feats array<int>, vals array<float>"
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_docs: int = SAMPLE_DOCS, folds: int = FOLDS) -> Chain:
     """categories: 0/1 columns over labels, in the order of the chain."""
-    names = list(categories)
+    spark, scratch, names = docs.sparkSession, Scratch(docs.sparkSession), list(categories)
+    text_batches(spark)
     wanted = labels.select(F.col("doc_id").alias("__labelled"), F.array(*[c.cast("double") for c in categories.values()]).alias("labels")).filter(~F.exists("labels", lambda x: x.isNull()))
     n = wanted.count()
-    share = 1.0 if n <= sample_docs else sample_docs / n
-    wanted = wanted.filter(F.pmod(F.xxhash64("__labelled"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__labelled")).select("doc_id", "labels", "text")
+    rows = docs.select("doc_id", "text", row_key().alias("key")).join(wanted, F.col("doc_id") == F.col("__labelled")).select("key", "doc_id", "labels", "text")
+    rows = rows.filter(_drawn(0, sample_docs, n))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [doc_features(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in got], pa.list_(pa.float32()))], names=["doc_id", "labels", "feats", "vals"])
-
-    table = sample.mapInArrow(extract, "doc_id long, labels array<double>, feats array<int>, vals array<float>").limit(2 * sample_docs).toArrow().sort_by("doc_id")
-    rows = [(f.values.to_numpy(), v.values.to_numpy(), lab) for f, v, lab in zip(table["feats"], table["vals"], table["labels"].to_pylist(), strict=True)]
-    return train_arrays(rows, names, folds)
+            got = [doc_features(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in got], pa.list_(pa.float32()))], names=["key", "doc_id", "labels", "feats", "vals"])
+
+    rows = scratch.keep(rows.mapInArrow(extract, f"key binary, doc_id long, {FEATURE_ROWS}").dropDuplicates(["key", "labels"]), "features")
+    if (drawn := rows.count()) > 2 * sample_docs:  # ids with many texts
+        rows = scratch.keep(rows.filter(_drawn(1, sample_docs, drawn)), "features")
+    # one bit a feature: which are seen often enough to be kept at all
+    often = rows.select(F.explode("feats").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SEEN)
+    bits = np.zeros(FEATURES, bool)
+    bits[[r.f for r in often.select("f").toLocalIterator()]] = True
+    held = spark.sparkContext.broadcast(np.packbits(bits))
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.unpackbits(held.value).astype(bool)
+        for b in batches:
+            if b.num_rows:
+                feats, vals = b.column(2), b.column(3)
+                flat = on[feats.flatten().to_numpy()]
+                ends = np.concatenate([[0], np.cumsum(flat)])[feats.offsets.to_numpy() - feats.offsets[0].as_py()].astype(np.int32)
+                kept = [pa.ListArray.from_arrays(pa.array(ends), x.flatten().filter(pa.array(flat))) for x in (feats, vals)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *kept], names=["key", "labels", "feats", "vals"])
+
+    table = rows.select("key", "labels", "feats", "vals").mapInArrow(frequent, f"key binary, {FEATURE_ROWS}").toArrow().sort_by("key")
+    scratch.clear()
+    return train_arrays([(f.values.to_numpy(), v.values.to_numpy(), lab) for f, v, lab in zip(table["feats"], table["vals"], table["labels"].to_pylist(), strict=True)], names, folds)
+
+
+def _drawn(seed: int, wanted: int, of: int) -> Column:
+    """True for about wanted of so many rows, by their key."""
+    share = min(1.0, wanted / max(of, 1))
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(1_000_000)) < int(share * 1_000_000)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, decide: str = "toxic") -> DataFrame:
