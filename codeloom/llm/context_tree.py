@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -65,7 +66,7 @@ def grouped(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and sums of values."""
     if not len(keys):
         return (keys, *values)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return (keys[first], *(np.add.reduceat(v[order], first) for v in values))
@@ -146,35 +147,54 @@ def log10_bytes(grams: np.ndarray, trees: dict, depth1: tuple, depth0: tuple, fu
 def gram_keys(joined: bytes, lengths: np.ndarray, full: int = DEPTH, given: np.ndarray | None = None) -> np.ndarray:
     """For each byte of the texts (one after the other, of these lengths) the bytes before, nearest first, then it.
 
-    Before a text stand ends. given: how many bytes of each text are only there as context and get no key.
+    Before a text stand ends. given: how many bytes of each text are only there as context (full of them, or none) and
+    get no key.
     """
-    raw = np.frombuffer(joined, np.uint8).astype(np.int64)
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    early = np.flatnonzero(place < full)
-    key = np.zeros(len(raw), np.int64)
-    for back in range(1, full + 1):
-        before = np.empty_like(raw)
-        before[:back] = END[0]
-        before[back:] = raw[:-back]
-        before[early[place[early] < back]] = END[0]
-        key = (key << 8) | before
-    key = (key << 8) | raw
-    return key if given is None or not given.any() else key[place >= np.repeat(given, lengths)]
+    given = np.zeros(len(lengths), np.int64) if given is None else given
+    raw = np.frombuffer(joined, np.uint8)
+    # all texts with full bytes of context before them
+    spans = lengths - given + full
+    own = np.ones(int(spans.sum()), bool)
+    starts = np.cumsum(spans) - spans
+    own[(starts[:, None] + np.arange(full)).ravel()] = False
+    bare = given == 0
+    held = own.copy()
+    held[(starts[~bare, None] + np.arange(full)).ravel()] = True
+    row = np.full(len(own), END[0], np.uint8)
+    row[held] = raw
+    # read backwards, the eight bytes from there on are those before a byte, nearest first
+    back = np.concatenate([row[::-1], np.full(8, END[0], np.uint8)])
+    eight = np.ndarray((len(own),), ">u8", buffer=back.data, offset=1, strides=(1,)).astype(np.uint64)[::-1][own]
+    return ((eight >> np.uint64(64 - 8 * full)) << np.uint64(8) | row[own]).view(np.int64)
 
 
 class Words:
+    """64-bit hashes of words, each distinct one hashed once."""
+
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
+    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of distinct words, which of them each word is, how many words each text has)."""
+        split = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pa.array(texts, pa.binary()).view(pa.string())))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.view(pa.binary()).to_pylist()
+        known, digest = self.known, xxhash.xxh3_64_intdigest
         if len(known) > CACHE_WORDS:
             known.clear()
-        digest = xxhash.xxh3_64_intdigest
-        for w in set(words).difference(known):
-            h = digest(w)
-            known[w] = h - (1 << 64) if h >> 63 else h
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        for w in distinct:
+            if w not in known:
+                h = digest(w)
+                known[w] = h - (1 << 64) if h >> 63 else h
+        hashed = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        codes, n = coded.indices.to_numpy(), np.diff(split.offsets.to_numpy())
+        # a text without words is split into one empty word
+        blank = np.fromiter((not w for w in distinct), bool, len(distinct))
+        if blank.any():
+            on = ~blank[codes]
+            n = np.add.reduceat(np.append(on, 0), np.cumsum(n) - n).astype(np.int64) * (n > 0)
+            codes = codes[on]
+        return hashed, codes, n.astype(np.int64)
 
 
 def canonical(text: str | bytes | None) -> bytes:
@@ -238,10 +258,12 @@ BLOBS_DDL = "chunk long, bucket int, part int, keys binary, counts binary, docs
 LINES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("given", pa.int32()), ("last", pa.bool_()), ("text", pa.binary())])
 
 
-def _tally(total: dict, keys: np.ndarray, training: np.ndarray) -> None:
-    codes, distinct = pd.factorize(keys)
-    total["keys"].append(distinct)
-    total["n"].append(np.bincount(codes[training], minlength=len(distinct)))
+def tallied(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each is one of the training texts'."""
+    both = np.sort((keys << 1) | training)
+    keys = both >> 1
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(both & 1, first)
 
 
 def _held_out() -> Column:
@@ -250,7 +272,7 @@ def _held_out() -> Column:
 
 def segments(text: bytes, most: int) -> Iterator[tuple[int, bytes, bool]]:
     """(bytes that are context only, bytes, whether the text ends here) of runs of whole words, of about most bytes."""
-    start = 0
+    start, most = 0, max(most, DEPTH)
     while len(text) - start > most and (at := text.find(b" ", start + most)) >= 0:
         given = min(start, DEPTH)
         yield given, text[start - given : at + 1], False
@@ -271,20 +293,20 @@ def chunked(docs: DataFrame, plan: Plan, chunk_bytes: int = CHUNK_BYTES) -> Data
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq, size
-            chunk, totals = (task << 32) + seq, {k: {"keys": [], "n": []} for k in (GRAM, WORD)}
+            chunk, totals = (task << 32) + seq, {GRAM: [], WORD: []}
             for i, j in slices(len(x[-1]) for x in lines):
                 some = [x[-1] for x in lines[i:j]]
                 given, lengths = np.array([x[3] for x in lines[i:j]]), np.array([len(t) for t in some])
                 training = ~np.array([x[2] for x in lines[i:j]], bool)
-                _tally(totals[GRAM], gram_keys(b"".join(some), lengths, given=given), np.repeat(training, lengths - given))
-                split = [t[g:].split() for t, g in zip(some, given.tolist(), strict=True)]
-                _tally(totals[WORD], words.hashes([w for s in split for w in s]), np.repeat(training, [len(s) for s in split]))
+                totals[GRAM].append(tallied(gram_keys(b"".join(some), lengths, given=given), np.repeat(training, lengths - given)))
+                hashed, codes, n = words.hashes([t[g:] for t, g in zip(some, given.tolist(), strict=True)])
+                totals[WORD].append((hashed, np.bincount(codes[np.repeat(training, n)], minlength=len(hashed))))
             part = int(dealt(np.array([chunk]), plan.parts)[0])
             out: list[tuple] = []
             for kind, t in totals.items():
-                keys, n = grouped(np.concatenate(t["keys"]), np.concatenate(t["n"]))
+                keys, n = grouped(*(np.concatenate(x) for x in zip(*t, strict=True)))
                 bucket = (plan.of_grams if kind == GRAM else plan.of_words)(keys)
-                order = np.argsort(bucket, kind="stable")
+                order = np.argsort((bucket % plan.buckets).astype(np.uint16), kind="stable")  # below MOST_BUCKETS
                 keys, n, bucket = keys[order], n[order], bucket[order]
                 ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)) if len(bucket) else []
                 start = 0
@@ -406,6 +428,18 @@ def looked_up(blobs: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     return blobs.select("chunk", "bucket", "part", "keys").groupBy("bucket", "part").cogroup(found.groupBy("bucket2", "part2")).applyInArrow(run, "of_chunk long, bucket int, keys binary, numbers binary")
 
 
+def found_in(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The numbers of keys in a table (keys in order, numbers) that has them all; looked up in order, which is faster."""
+    if not len(keys):
+        return np.zeros(0)
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    out = np.empty(len(keys))
+    out[order] = np.repeat(table[1][np.searchsorted(table[0], ranked[first])], np.diff(np.append(first, len(ranked))))
+    return out
+
+
 SCORES = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score"]
 SCORES_DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double"
 
@@ -449,14 +483,10 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, **limits: int) -> Dat
             for i, j in slices(map(len, texts)):
                 some, given, last = texts[i:j], np.array(givens[i:j]), np.array(lasts[i:j], bool)
                 lengths = np.array([len(t) for t in some])
-                codes, distinct = pd.factorize(gram_keys(b"".join(some), lengths, given=given))
-                logs = tables[GRAM][1][np.searchsorted(tables[GRAM][0], distinct)]
                 own = lengths - given
-                scores = np.add.reduceat(logs[codes], np.cumsum(own) - own)
-                split = [t[g:].split() for t, g in zip(some, given.tolist(), strict=True)]
-                n = np.array([len(s) for s in split])
-                codes, distinct = pd.factorize(words.hashes([w for s in split for w in s]))
-                counts = (tables[WORD][1][np.searchsorted(tables[WORD][0], distinct)] if len(distinct) else np.zeros(0))[codes]
+                scores = np.add.reduceat(found_in(tables[GRAM], gram_keys(b"".join(some), lengths, given=given)), np.cumsum(own) - own)
+                hashed, codes, n = words.hashes([t[g:] for t, g in zip(some, given.tolist(), strict=True)])
+                counts = found_in(tables[WORD], hashed)[codes]
                 owner = np.repeat(np.arange(len(some)), n)
                 base = np.bincount(owner, np.log10((counts + 0.5) / whole), len(some)) + last * math.log10((train_docs + 0.5) / whole)
                 known = np.bincount(owner, counts > 0, len(some)).astype(np.int64) + last * (train_docs > 0)

@@ -93,6 +93,24 @@ def test_blobs_come_back(spark):
     assert len(C.unpack(C.pack(np.zeros(0, np.int64)), "<i8")) == 0
 
 
+def test_keys_against_plain_slices():
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 100, rng.integers(1, 20))) + b"\n" for _ in range(50)]
+    pad = b"\n" * C.DEPTH
+    want = [int.from_bytes((pad + t)[i : i + C.DEPTH][::-1] + t[i : i + 1], "big") for t in texts for i in range(len(t))]
+    assert C.gram_keys(b"".join(texts), np.array([len(t) for t in texts])).tolist() == want
+    given = [C.DEPTH if i % 3 == 1 and len(t) > C.DEPTH else 0 for i, t in enumerate(texts)]
+    want = [int.from_bytes(((b"" if g else pad) + t)[i : i + C.DEPTH][::-1] + ((b"" if g else pad) + t)[i + C.DEPTH : i + C.DEPTH + 1], "big") for g, t in zip(given, texts) for i in range(len(t) - g)]
+    assert C.gram_keys(b"".join(texts), np.array([len(t) for t in texts]), given=np.array(given)).tolist() == want
+
+
+def test_words_of_texts():
+    words = C.Words()
+    hashed, codes, n = words.hashes([b"a b a\n", b"\n", b"b c ", b""])
+    assert n.tolist() == [3, 0, 2, 0] and len({hashed[c] for c in codes}) == 3
+    assert codes.tolist()[0] == codes.tolist()[2] and codes.tolist()[1] == codes.tolist()[3]
+
+
 def test_segments_are_whole_words():
     text = C.canonical("one two three four five six seven" * 3)
     for most in (1, 5, 12, 1000):
