@@ -42,7 +42,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return simhash.report(table(spark, sf_dir, "documents"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

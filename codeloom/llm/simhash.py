@@ -5,9 +5,10 @@ that word. Each term's 64-bit hash votes on the signed bits, as often as the ter
 exploding the terms, as sums with partial aggregation: two counters of 32 bits share a long, so that 32 sums count 64
 bits and no array is built for a bit. A fingerprint is 16 hexadecimal digits.
 
-find_near gives all pairs of fingerprints within a Hamming radius by permuted block tables: the bits are cut into
-radius + TABLE_BLOCKS blocks; two fingerprints within the radius agree in TABLE_BLOCKS of them at least, so that each
-choice of TABLE_BLOCKS blocks is a table keyed by their bits. Equal fingerprints are one entry, so copies make no pairs.
+find_near gives all fingerprints within a Hamming radius of those asked for by permuted block tables: the bits are cut
+into radius + m blocks; two fingerprints within the radius agree in m of them at least, so that each choice of m blocks
+is a table keyed by their bits. m grows with the number of fingerprints, so that a key has some KEY_ROWS of unrelated
+ones at most. Equal fingerprints are one entry, so copies make no pairs, and a pair counts in the first table that has it.
 
 Nulls: a null text is an empty one; texts without words have no votes and the fingerprint of zeros. Equal texts have
 equal fingerprints. Rows with equal or null doc_id are kept apart. Extra columns are left alone. An empty table gives an
@@ -16,20 +17,25 @@ empty result.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.common import ascii_lower, materialise
+from codeloom.llm.common import Scratch, ascii_lower
 
 BITS = 64
-RADIUS = 6
-TABLE_BLOCKS = 2
-#: Buckets of doc_id ranges in which the next document is looked up: one for so many rows, and the most of them.
-BUCKET_ROWS, BUCKETS = 64, 20_000
+RADIUS = 3
+#: Unrelated fingerprints that a key of a block table has on average, at most.
+KEY_ROWS = 0.25
+#: Rows whose id is divisible by this are the queries of the search.
+QUERY_STEP = 100
+#: Buckets of doc_id ranges in which the next document is looked up: one for so many rows, and the most of them. Their
+#: bounds are quantiles of a hashed sample of SAMPLE_IDS ids a bucket; a larger bucket is a longer sort, which spills.
+BUCKET_ROWS, BUCKETS, SAMPLE_IDS = 64, 20_000, 20
 _LOW = 0x0000000100000001
 _BLANK = " \t\n\x0b\f\r"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -73,30 +79,37 @@ def likeness(a: Column, b: Column) -> Column:
     return (1 - distance(a, b) / F.lit(float(BITS))).cast("double")
 
 
+def bounds_of(docs: DataFrame) -> list[int]:
+    """Ids that cut docs into ranges of about BUCKET_ROWS rows, BUCKETS ranges at most."""
+    n = docs.count()
+    wanted = max(1, min(BUCKETS, n // BUCKET_ROWS))
+    share = min(1.0, SAMPLE_IDS * wanted / max(n, 1))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    ids = np.sort(docs.filter(F.col("doc_id").isNotNull() & drawn).select("doc_id").distinct().toArrow()["doc_id"].to_numpy())
+    return sorted({int(ids[len(ids) * i // wanted]) for i in range(1, wanted)}) if len(ids) else []
+
+
 def bucketed(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with bucket, ghost: buckets are ranges of doc_id, and each also has the first row of the
     range that follows in descending order (after the last range: the first one), marked as ghost.
 
-    Only numbers reach the driver: the bounds and the largest id of each bucket.
+    Only the bounds reach the driver; a table of one row a bucket is broadcast.
     """
-    n = docs.count()
-    wanted = max(1, min(BUCKETS, n // BUCKET_ROWS))
-    bounds = sorted({int(x) for x in docs.select("doc_id").dropna().approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.2 / wanted)}) if wanted > 1 else []
+    bounds = bounds_of(docs)
+    n_bounds = len(bounds)
     limits = F.broadcast(docs.sparkSession.createDataFrame([(bounds,)], "limits array<long>"))
     # the number of bounds from the id upwards, by halving: buckets ascend as ids descend, and null ids come last
-    n_bounds = len(bounds)
     steps = ", ".join(str(1 << i) for i in reversed(range(max(1, n_bounds.bit_length()))))
     smaller = f"aggregate(array({steps}), 0, (at, step) -> if(at + step <= {n_bounds} and limits[at + step - 1] < doc_id, at + step, at))"
     below = F.expr(f"if(doc_id is null, {n_bounds + 1}, {n_bounds} - {smaller})")
     rows = docs.join(limits).select("doc_id", "text", below.cast("int").alias("bucket"))
-    largest = sorted((r.bucket, r.top) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
-    if not largest:
-        return rows.withColumn("ghost", F.lit(0))
-    before = {b: largest[i - 1][0] for i, (b, _) in enumerate(largest)}
-    tops = [t for _, t in largest if t is not None]
-    first = rows.filter(F.col("doc_id").isin(tops) | F.col("doc_id").isNull()).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    ghosts = first.select("doc_id", "text", to[F.col("bucket")].alias("bucket"), F.lit(1).alias("ghost"))
+    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    # at most BUCKETS + 1 rows, so one task orders them
+    circle = Window.partitionBy(F.lit(0)).orderBy("bucket")
+    last = F.max("bucket").over(Window.partitionBy(F.lit(0)))
+    before = F.broadcast(tops.select("top", F.coalesce(F.lag("bucket").over(circle), last).alias("before"), F.lit(1).alias("ghost")))
+    first = rows.select("doc_id", "text").join(before, F.col("doc_id").eqNullSafe(F.col("top")))
+    ghosts = first.groupBy("before", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("before").alias("bucket"), F.lit(1).alias("ghost"))
     return rows.withColumn("ghost", F.lit(0)).unionByName(ghosts)
 
 
@@ -131,16 +144,45 @@ def simhash(docs: DataFrame) -> DataFrame:
     return fingerprints(rows, ["uid", "doc_id"], "text").select("doc_id", "fingerprint")
 
 
-def find_near(prints: DataFrame, radius: int = RADIUS, table_blocks: int = TABLE_BLOCKS) -> DataFrame:
-    """(a, b, distance) of all different fingerprints (column fingerprint of prints) within the radius, a < b."""
-    n = radius + table_blocks
-    cuts = [BITS * i // n for i in range(n + 1)]
-    entries = materialise(prints.select("fingerprint").dropna().distinct(), "fingerprints")
-    bits = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", i, 8), 16, 2), 32, "0") for i in range(1, BITS // 4, 8)])
-    entries = entries.withColumn("bits", bits)
-    blocks = [F.substring("bits", a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    keys = [F.xxhash64(F.lit(t), *[blocks[i] for i in chosen]) for t, chosen in enumerate(combinations(range(n), table_blocks))]
-    tables = entries.select("fingerprint", F.explode(F.array(*keys)).alias("key"))
-    other = tables.select(F.col("fingerprint").alias("b"), "key")
-    d = distance(F.col("a"), F.col("b"))
-    return tables.select(F.col("fingerprint").alias("a"), "key").join(other, "key").filter("a < b").withColumn("distance", d).filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+def table_blocks(n: float, radius: int = RADIUS) -> int:
+    """Blocks that a key is made of for n fingerprints: the fewest whose bits leave KEY_ROWS of them to a key."""
+    wanted = math.log2(max(n, 1) / KEY_ROWS)
+    return next((m for m in range(1, 12) if BITS * m / (radius + m) >= wanted), 12)
+
+
+def find_near(asked: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(a, b, distance) of all fingerprints b (column fingerprint of prints) within the radius of a (of asked)."""
+    entries, queries = (x.select("fingerprint").dropna().distinct() for x in (prints, asked))
+    m = blocks or table_blocks(entries.count(), radius)
+    cuts = [BITS * i // (radius + m) for i in range(radius + m + 1)]
+    parts = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    masks = [sum(chosen) for chosen in combinations(parts, m)]
+    masks = [x - (1 << 64) if x >> 63 else x for x in masks]
+
+    def tables(rows: DataFrame, name: str) -> DataFrame:
+        keyed = rows.select(as_long(F.col("fingerprint")).alias(name), F.posexplode(F.array(*[F.lit(x) for x in masks])).alias(f"{name}_table", "mask"))
+        return keyed.select(name, f"{name}_table", F.col(name).bitwiseAND(F.col("mask")).alias(f"{name}_key"))
+
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(mask)) == 0, F.lit(t)) for t, mask in enumerate(masks)])
+    same = (F.col("a_table") == F.col("b_table")) & (F.col("a_key") == F.col("b_key")) & (F.bit_count(x) <= radius) & (first == F.col("a_table"))
+    near = tables(queries, "a").join(tables(entries, "b"), same)
+    text = [F.lpad(F.hex(c), 16, "0").alias(c) for c in ("a", "b")]
+    return near.select(*text, F.bit_count(x).alias("distance"))
+
+
+def with_near(prints: DataFrame, radius: int = RADIUS, step: int = QUERY_STEP) -> DataFrame:
+    """prints (doc_id, fingerprint, ...) with near_docs, for rows whose id is divisible by step: how many rows, itself
+    among them, have a fingerprint within the radius. Null for the others."""
+    is_query = F.coalesce(F.col("doc_id") % step == 0, F.lit(False))
+    counts = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).select(F.col("fingerprint").alias("b"), "n")
+    queries = prints.filter(is_query)
+    near = find_near(queries, prints, radius).join(counts, "b").groupBy("a").agg(F.sum("n").alias("near_docs"))
+    found = queries.join(near, F.col("fingerprint") == F.col("a"), "left").drop("a")
+    return found.unionByName(prints.filter(~is_query).withColumn("near_docs", F.lit(None).cast("long")))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """edited_fingerprints of docs, with near_docs."""
+    scratch = Scratch(docs.sparkSession)
+    return with_near(scratch.keep(edited_fingerprints(docs), "fingerprints"))
