@@ -4,19 +4,22 @@ Base patterns (fixed values, below) give spans ``assign``, ``access`` and ``hex`
 a candidate. Its encoding is inferred (decimal, hexadecimal, base 32, base 64) and three tests ask whether its symbols
 look drawn at random from that alphabet: chi-squared uniformity (over symbols for small alphabets, over character
 classes for base 64), Wald-Wolfowitz runs above and below the middle of the alphabet, and lag-one serial correlation.
-Fisher's method combines them into one p-value of randomness. Words, paths and names fail the battery; which failures
-count is decided over the whole corpus by Benjamini-Hochberg at FDR, each p-value divided by a weight that grows with
-the token's length up to 1, since short tokens are the ones that the tests can't judge; a weighted p-value above FDR is
-never a failure, so that of random tokens of any length at most a share of FDR is lost. Candidates that aren't rejected and carry
-MIN_BITS are spans of kind ``random``.
-
-Positions are code points, ends exclusive. Nulls: a null text is an empty one, without spans. Rows are independent up to
-the threshold; repeated rows give repeated results; extra columns are left alone. An empty table gives an empty result.
+Fisher's method combines them into one p-value of randomness, which is spread evenly over 0 to 1 for random tokens and
+close to 0 for words, paths and names.
+
+Which candidates are reported is decided over the whole corpus, for each class of lengths by itself, since the tests tell
+short tokens apart less well: in a class, those with p of a half or more tell how many random tokens it has (Storey's
+estimate), hence how many of those above any limit are none. The least limit is taken that keeps the share of false
+ones among the reported at FDR or below; it is never above a half, and never so low that a token passes which random
+ones would be in one case of a hundred. Reported candidates that carry MIN_BITS are spans of kind ``random``.
+
+Spans of one text are placed in time that grows with the power 1.5 of their number. Positions are code points, ends
+exclusive. Nulls: a null text is an empty one, without spans. Rows are independent up to the limits; repeated rows give
+repeated results; extra columns are left alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +41,10 @@ MIN_BITS = 90.0
 FDR = 0.05
 #: p-values are kept in steps of a hundredth of a decade, down to 1e-30.
 STEPS, LOWEST = 100, 30
+#: Steps of a p-value of a half and of a hundredth.
+HALF, HUNDREDTH = 30, 200
+#: Least lengths of the classes above the first.
+LENGTHS = [28, 40, 64, 128]
 
 
 def _least(pattern: str, n: int) -> str:
@@ -48,11 +55,9 @@ def _least(pattern: str, n: int) -> str:
 def spans_of(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
     """array<struct<start, end, token>> of the leftmost non-overlapping matches, token being the group or the match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    zipped = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("gap"), kept.alias("token"))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    token = F.transform(found, lambda m: F.regexp_extract(m, pattern, group)) if group else found
     empty = "array<struct<start:bigint,end:bigint,token:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(empty).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -60,12 +65,39 @@ def spans_of(text: Column, pattern: str, group: int | None = None, least: int =
         span = F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), x["token"].alias("token"))
         return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    spans = F.aggregate(zipped, start, add, lambda acc: acc["out"])
+    def placed(block: Column) -> Column:
+        """Spans of a block, counted from its start, and its length."""
+        return F.aggregate(block, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(empty).alias("out")), add)
+
+    def joined(blocks: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        starts = F.aggregate(blocks, none, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        moved = F.zip_with(blocks, starts, lambda b, o: F.transform(b["out"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"), s["token"].alias("token"))))
+        return F.flatten(moved)
+
+    zipped = F.arrays_zip(found.alias("m"), gaps.alias("gap"), token.alias("token"))
+    spans = let(zipped, lambda z: let(F.transform(in_blocks(z), placed), joined))
     if least:
         spans = F.filter(spans, lambda s: F.length(s["token"]) >= least)
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(empty))
 
 
+def in_blocks(items: Column) -> Column:
+    """An array (one element at least) cut into runs of about the square root of its length."""
+    width = F.ceil(F.sqrt(F.size(items))).cast("int")
+    return let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / w).cast("int")), lambda i: F.slice(items, i * w + 1, w)))
+
+
+def apart(tokens: Column, known: Column) -> Column:
+    """The tokens (in order, none over another) that overlap no known span."""
+
+    def of_block(block: Column) -> Column:
+        reach = F.filter(known, lambda k: (k["start"] < F.element_at(block, -1)["end"]) & (F.element_at(block, 1)["start"] < k["end"]))
+        return let(reach, lambda near: F.filter(block, lambda t: ~F.exists(near, lambda k: (k["start"] < t["end"]) & (t["start"] < k["end"]))))
+
+    return F.when((F.size(known) == 0) | (F.size(tokens) == 0), tokens).otherwise(F.flatten(F.transform(in_blocks(tokens), of_block)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -85,29 +117,36 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
 
-def chi_p(statistic: Column, freedom: int) -> Column:
+def chi_p(statistic: Column, freedom: Column) -> Column:
     """Upper tail of chi-squared by the Wilson-Hilferty cube root, one-sided."""
     k = 2.0 / (9.0 * freedom)
-    z = (F.pow(statistic / F.lit(float(freedom)), F.lit(1.0 / 3.0)) - F.lit(1.0 - k)) / F.lit(k**0.5)
+    z = (F.pow(statistic / freedom, F.lit(1.0 / 3.0)) - (1.0 - k)) / F.sqrt(k)
     return let(z, lambda z: let(two_sided(z) / 2, lambda p: F.when(z > 0, p).otherwise(1 - p)))
 
 
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-#: name: (pattern of a whole token, alphabet, bits a symbol, groups of the alphabet for chi-squared)
-ENCODINGS = {
-    "decimal": ("^[0-9]+$", DIGITS, 3.32, list(DIGITS)),
-    "hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 4.0, list("0123456789abcdef")),
-    "base32": ("^[A-Z2-7]+=*$", LOWER + "234567", 5.0, list(LOWER + "234567")),
-    "base64": ("^.*$", LOWER.upper() + LOWER + DIGITS + "+/", 6.0, [LOWER.upper(), LOWER, DIGITS, "+/"]),
-}
-
-
-def battery(token: Column, encoding: str) -> Column:
-    """p of randomness of a token in that encoding."""
-    _, alphabet, _, groups = ENCODINGS[encoding]
-    bare = F.translate(F.rtrim(F.translate(token, "=", " ")), "-_", "+/")
-    bare = bare if encoding == "base64" else F.lower(bare)
-    shares = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(len(g) / len(alphabet)).alias("share")) for g in groups])
+#: (name, pattern of a whole token, alphabet, bits a symbol, groups of the alphabet for chi-squared); the first that fits
+ENCODINGS = [
+    ("decimal", "^[0-9]+$", DIGITS, 3.32, list(DIGITS)),
+    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 4.0, list("0123456789abcdef")),
+    ("base32", "^[A-Z2-7]+=*$", LOWER + "234567", 5.0, list(LOWER + "234567")),
+    ("base64", "^.*$", LOWER.upper() + LOWER + DIGITS + "+/", 6.0, [LOWER.upper(), LOWER, DIGITS, "+/"]),
+]
+
+
+def encoding(token: Column) -> Column:
+    """alphabet, bits, case (whether it is told apart) and groups of the first encoding that fits."""
+    out = None
+    for name, pattern, alphabet, bits, groups in reversed(ENCODINGS):
+        shares = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(len(g) / len(alphabet)).alias("share")) for g in groups])
+        own = F.struct(F.lit(alphabet).alias("alphabet"), F.lit(bits).alias("bits"), F.lit(name == "base64").alias("case"), shares.alias("groups"))
+        out = own if out is None else F.when(token.rlike(pattern), own).otherwise(out)
+    return out
+
+
+def battery(token: Column, code: Column) -> Column:
+    """p of randomness of a token in its encoding."""
+    trimmed = F.translate(F.rtrim(F.translate(token, "=", " ")), "-_", "+/")
 
     def tests(x: Column) -> Column:
         lead = F.slice(x, F.lit(2), F.size(x) - 1)
@@ -132,26 +171,26 @@ def battery(token: Column, encoding: str) -> Column:
             off = n - F.length(F.call_function("translate", bare, g["group"], F.lit(""))) - n * g["share"]
             return total + off * off / (n * g["share"])
 
-        p1 = chi_p(F.aggregate(shares, F.lit(0.0), add), len(groups) - 1)
-        index = F.transform(F.split(bare, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - F.lit((len(alphabet) + 1) / 2))
+        p1 = chi_p(F.aggregate(code["groups"], F.lit(0.0), add), (F.size(code["groups"]) - 1).cast("double"))
+        middle = (F.length(code["alphabet"]) + 1) / 2
+        index = F.transform(F.split(bare, ""), lambda c: F.instr(code["alphabet"], c).cast("double") - middle)
         half = let(let(index, tests), lambda o: -(F.log(p1) + F.log(o["runs"]) + F.log(o["serial"])))
         # chi-squared with six degrees of freedom has a closed upper tail
         return let(half, lambda h: F.greatest(F.lit(10.0**-LOWEST), F.exp(-h) * (1 + h + h * h / 2)))
 
-    return let(bare, combined)
+    return let(F.when(code["case"], trimmed).otherwise(F.lower(trimmed)), combined)
 
 
 def candidate(s: Column) -> Column:
-    """start, end, bits and step (of minus log10 of the weighted p-value) of a token."""
-    bare = F.rtrim(F.translate(s["token"], "=", " "))
-    kinds = list(ENCODINGS)
-    bits, p = F.lit(ENCODINGS["base64"][2]), battery(s["token"], "base64")
-    for k in reversed(kinds[:-1]):
-        fits = s["token"].rlike(ENCODINGS[k][0])
-        bits, p = F.when(fits, F.lit(ENCODINGS[k][2])).otherwise(bits), F.when(fits, battery(s["token"], k)).otherwise(p)
-    weight = F.least(F.lit(1.0), F.length(bare) / F.lit(2.0 * TOKEN_LEAST))
-    step = F.round(-F.log10(p / weight) * STEPS).cast("int")
-    return F.struct(s["start"].alias("start"), s["end"].alias("end"), (bits * F.length(bare)).alias("bits"), weight.alias("weight"), step.alias("step"))
+    """start, end, bits, length class and step (of minus log10 of the p-value) of a token."""
+    length = F.length(F.rtrim(F.translate(s["token"], "=", " ")))
+    size = sum((F.when(length >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0))
+
+    def tested(code: Column) -> Column:
+        step = F.round(-F.log10(battery(s["token"], code)) * STEPS).cast("int")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (code["bits"] * length).alias("bits"), size.alias("size"), step.alias("step"))
+
+    return let(encoding(s["token"]), tested)
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -165,13 +204,13 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
         spans_of(F.col("text"), _least(TOKEN, TOKEN_LEAST)).alias("token"),
     )
     known = F.concat("assign", "access", "hex")
-    free = F.filter("token", lambda t: ~F.exists(known, lambda k: (k["start"] < t["end"]) & (t["start"] < k["end"])))
+    base = base.withColumn("token", apart(F.col("token"), known))
+    free = F.col("token")
     tested = F.transform(free, candidate)
     plain = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS[:3]]
     rows = materialise(base.select("doc_id", *plain, F.when(F.size(free) > 0, tested).alias("tested")), "secrets")
-    limit = F.broadcast(_threshold(rows.select(F.explode("tested").alias("t")).select("t.weight", "t.step"), fdr))
-    rows = rows.join(limit)
-    passed = F.filter(F.coalesce("tested", F.expr("array()").cast(rows.schema["tested"].dataType)), lambda t: (t["bits"] >= MIN_BITS) & (t["step"] < F.col("limit")))
+    rows = rows.join(F.broadcast(limits(rows.select(F.explode("tested").alias("t")).select("t.*"), fdr)))
+    passed = F.filter(F.coalesce("tested", F.expr("array()").cast(rows.schema["tested"].dataType)), lambda t: (t["bits"] >= MIN_BITS) & (t["step"] <= F.coalesce(F.get("limits", t["size"]), F.lit(-1))))
 
     def named(spans, i: int) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind_at"), s["end"].alias("end"), F.lit(KINDS[i]).alias("kind")))
@@ -179,16 +218,18 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     return rows.select("doc_id", F.array_sort(F.concat(*[named(F.col(k), i) for i, k in enumerate(KINDS[:3])], named(passed, 3))).alias("spans"))
 
 
-def _threshold(steps: DataFrame, fdr: float) -> DataFrame:
-    """One row, limit: tokens whose step reaches it are no secrets. Benjamini-Hochberg on counts by step."""
-    # At most a few thousand different steps, whatever the corpus.
-    counts = steps.withColumn("step", F.least("step", F.lit(STEPS * LOWEST))).groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
-    below = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    ranked = counts.select("step", F.sum("n").over(below).alias("rank"), (F.sum("w").over(whole)).alias("total"))
-    passes = ranked.filter(F.pow(F.lit(10.0), -F.col("step") / F.lit(float(STEPS))) * F.col("total") <= F.lit(fdr) * F.col("rank"))
-    least = math.ceil(-STEPS * math.log10(fdr))
-    return passes.agg(F.greatest(F.coalesce(F.min("step"), F.lit(1 << 30)), F.lit(least)).alias("limit"))
+def limits(tested: DataFrame, fdr: float) -> DataFrame:
+    """One row, limits: for each class of lengths the last step that is reported."""
+    # at most LOWEST * STEPS + 1 different steps a class, whatever the corpus
+    counts = tested.filter(F.col("bits") >= MIN_BITS).groupBy("size", "step").agg(F.count(F.lit(1)).alias("n"))
+    upwards = Window.partitionBy("size").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    random = (F.sum(F.when(F.col("step") <= HALF, F.col("n")).otherwise(0)).over(Window.partitionBy("size")) + 1) / F.lit(1 - 10 ** (-HALF / STEPS))
+    ranked = counts.select("size", "step", F.sum("n").over(upwards).alias("reported"), random.alias("random"))
+    true = F.col("random") * (1 - F.pow(F.lit(10.0), -F.col("step") / F.lit(float(STEPS))))
+    fits = (F.col("step") <= HALF) | ((F.col("step") <= HUNDREDTH) & (true >= (1 - fdr) * F.col("reported")))
+    last = ranked.filter(fits).groupBy("size").agg(F.max("step").alias("last"))
+    found = last.agg(F.map_from_entries(F.collect_list(F.struct("size", "last"))).alias("found"))
+    return found.select(F.array(*[F.coalesce(F.try_element_at("found", F.lit(i)), F.lit(-1)) for i in range(len(LENGTHS) + 1)]).alias("limits"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -63,6 +63,92 @@ def test_random_tokens_of_any_length_among_words(spark):
         assert sum(got[i] == f"random:2:{2 + n}" for i, _ in texts if i // 1000 == n) >= 53, n
 
 
+def test_share_of_false_ones_among_the_reported(spark):
+    """Random tokens of 24 characters, the hardest length, among three times as many identifiers with digits and mixed
+    case, and of 64: README has the shares. Some identifiers pass all three tests as well as random tokens do."""
+    import base64
+    import random
+
+    rng = random.Random(21)
+    words = ["get", "User", "Account", "By", "Name", "2", "max", "Retry", "Count", "Http", "Client", "id", "V10", "Default", "Config", "Path", "64", "To", "Xml", "parse"]
+    for n, least, most in ((24, 0.5, 0.2), (64, 0.9, 0.05)):
+        true = [(i, "x " + base64.b64encode(rng.randbytes(n * 3 // 4)).decode()) for i in range(300)]
+        false = [(1000 + i, "x " + "".join(rng.choice(words) for _ in range(n))[:n]) for i in range(900)]
+        got = {r.doc_id: "random" in r.spans for r in S.report(spark.createDataFrame(true + false, "doc_id long, text string")).collect()}
+        hits, wrong = sum(got[i] for i, _ in true), sum(got[i] for i, _ in false)
+        assert hits >= least * len(true) and wrong <= most * (hits + wrong), (n, hits, wrong)
+
+
+def battery_by_hand(token):
+    """The p-value again, test by test, from the definitions."""
+    import math
+
+    bare = token.rstrip("=").replace("-", "+").replace("_", "/")
+    for name, pattern, alphabet, bits, groups in S.ENCODINGS:
+        if re.search(pattern, token):
+            break
+    bare = bare if name == "base64" else bare.lower()
+    two = lambda z: min(1.0, max(1e-30, math.erfc(abs(z) / math.sqrt(2))))
+    n = len(bare)
+    chi = sum((sum(c in g for c in bare) - n * len(g) / len(alphabet)) ** 2 / (n * len(g) / len(alphabet)) for g in groups)
+    k = 2 / (9 * (len(groups) - 1))
+    z = ((chi / (len(groups) - 1)) ** (1 / 3) - (1 - k)) / math.sqrt(k)
+    p1 = two(z) / 2 if z > 0 else 1 - two(z) / 2
+    x = [alphabet.index(c) + 1 - (len(alphabet) + 1) / 2 for c in bare]
+    up = sum(v > 0 for v in x)
+    runs = 1 + sum((a > 0) != (b > 0) for a, b in zip(x, x[1:]))
+    both = 2 * up * (n - up)
+    var = both * (both - n) / (n * n * (n - 1))
+    z2 = (runs - (both / n + 1)) / math.sqrt(var) if var > 0 else math.sqrt(n)
+    z3 = sum(a * b for a, b in zip(x, x[1:])) / sum(a * a for a in x) * math.sqrt(n)
+    h = -sum(math.log(p) for p in (p1, two(z2), two(z3)))
+    return bits * n, max(1e-30, math.exp(-h) * (1 + h + h * h / 2))
+
+
+def test_battery_and_limits_by_hand(spark):
+    """Every candidate's p-value, the limits of each class and the reported spans."""
+    import base64
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    tokens = [base64.b64encode(rng.randbytes(rng.randrange(15, 120))).decode() for _ in range(120)]
+    tokens += [str(rng.randrange(10**30, 10**31)) for _ in range(20)] + [base64.b32encode(rng.randbytes(25)).decode() for _ in range(20)]
+    tokens += ["".join(rng.choice(["in", "ter", "Na", "tion", "al_", "2", "x"]) for _ in range(12)) + "abcdefgh" for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string")
+    rows = df.select("doc_id", S.candidate(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("token"))).alias("t")).collect()
+    tested = {}
+    for r in rows:
+        bits, p = battery_by_hand(tokens[r.doc_id])
+        assert abs(r.t.bits - bits) < 1e-6 and abs(r.t.step + 100 * math.log10(p)) <= 1 + 0.02 * r.t.step, tokens[r.doc_id]
+        tested[r.doc_id] = (r.t.bits, r.t.size, r.t.step)
+    want = {}
+    for size in range(len(S.LENGTHS) + 1):
+        steps = sorted(s for b, c, s in tested.values() if c == size and b >= S.MIN_BITS)
+        m = (sum(s <= S.HALF for s in steps) + 1) / (1 - 10 ** (-S.HALF / 100))
+        good = [s for s in steps if s <= S.HALF or s <= S.HUNDREDTH and m * (1 - 10 ** (-s / 100)) >= (1 - S.FDR) * sum(x <= s for x in steps)]
+        want[size] = max(good, default=-1)
+    got = {r.doc_id: r.spans for r in S.report(df).collect()}
+    for d, (bits, size, step) in tested.items():
+        assert ("random" in got[d]) == (bits >= S.MIN_BITS and step <= want[size]), tokens[d]
+
+
+def test_many_spans_of_one_text(spark):
+    """All kinds in turn, thousands of them, in time that doesn't grow with their square."""
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        text = "".join(f"token=value{i:06d} AKIA{i:016d} {i:032x} plain_words_here_that_are_long/{i:09d} " for i in range(n // 4))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        check(df, [(1, text)])
+        took.append(time.time() - began)
+    assert took[1] < 8 * max(took[0], 2), took
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert S.report(odd_docs).count() == odd_docs.count()
     assert S.report(no_docs).count() == 0
