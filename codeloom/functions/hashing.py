@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 BASIS, PRIME, MIX = 0xCBF29CE484222325, 0x100000001B3, 0x9E3779B97F4A7C15
 TOKENS, HASHES, BANDS = 5, 16, 4
+#: Shingles that advance together.
+STEP = 8192
 _MASK = (1 << 64) - 1
 
 
@@ -40,30 +43,66 @@ def fnv1a_column(text: Column) -> Column:
     return F.aggregate(pairs, F.lit(BASIS - (1 << 64)), step)
 
 
+_TOKEN = re.compile(r"[^\W_]+")
+
+
 def tokens_of(text: str) -> list[bytes]:
     """Runs of alphanumeric characters, A-Z lowered."""
-    return "".join(c if c.isalnum() else " " for c in text).encode().lower().split()
+    return " ".join(_TOKEN.findall(text)).encode().lower().split()
 
 
 def body_minhash(text: str | None) -> list[int] | None:
-    """The four band values: minima over four seeded hashes and all five-token shingles; None below five tokens.
-
-    All windows and seeds advance together: the shingles are padded to one width, a byte column at a time.
-    """
-    tokens = tokens_of(text or "")
-    n = len(tokens) - TOKENS + 1
-    if n < 1:
-        return None
-    shingles = [b" ".join(tokens[i : i + TOKENS]) for i in range(n)]
-    lengths = np.array([len(s) for s in shingles])
-    raw = np.zeros((n, lengths.max()), np.uint64)
-    for i, s in enumerate(shingles):
-        raw[i, : len(s)] = np.frombuffer(s, np.uint8)
-    seeds = np.array([BASIS ^ ((i + 1) * MIX & _MASK) for i in range(HASHES)], np.uint64)
-    h = np.repeat(seeds[:, None], n, axis=1)
-    for j in range(raw.shape[1]):
-        h = np.where(lengths > j, (h ^ raw[:, j]) * np.uint64(PRIME), h)
-    return [int(x) for x in h.min(axis=1).reshape(BANDS, -1).min(axis=1)]
+    """The four band values: minima over four seeded hashes and all five-token shingles; None below five tokens."""
+    return minhashes([text])[0]
+
+
+def minhashes(texts: list[str | None]) -> list[list[int] | None]:
+    """body_minhash of each text. Shingles lie in one buffer as they stand, token, blank, token; those of many texts
+    advance together by a byte, the longest first, so that the ones that have ended drop off the end."""
+    tokens = [tokens_of(t or "") for t in texts]
+    out: list[list[int] | None] = [None] * len(texts)
+    seeds = np.array([BASIS ^ ((i + 1) * MIX & _MASK) for i in range(HASHES)], np.uint64)[:, None]
+    kept = [i for i, t in enumerate(tokens) if len(t) >= TOKENS]
+    if not kept:
+        return out
+    raw = np.frombuffer(b" ".join(b" ".join(tokens[i]) for i in kept), np.uint8).astype(np.uint64)
+    sizes = np.array([len(t) for i in kept for t in tokens[i]])
+    starts = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
+    counts = np.array([len(tokens[i]) - TOKENS + 1 for i in kept])
+    first = np.cumsum(counts + TOKENS - 1) - (counts + TOKENS - 1)
+    at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    begin, length = starts[at], starts[at + TOKENS - 1] + sizes[at + TOKENS - 1] - starts[at]
+    owner = np.repeat(np.arange(len(kept)), counts)
+    least = np.full((HASHES, len(kept)), _MASK, np.uint64)
+    for i in range(0, len(at), STEP):
+        some = np.argsort(-length[i : i + STEP], kind="stable") + i
+        ends, h = length[some], np.repeat(seeds, len(some), axis=1)
+        alive = len(some)
+        for j in range(int(ends[0])):
+            while alive and ends[alive - 1] <= j:
+                alive -= 1
+            h[:, :alive] = (h[:, :alive] ^ raw[begin[some[:alive]] + j]) * np.uint64(PRIME)
+        back = np.empty_like(h)
+        back[:, some - i] = h
+        own = owner[i : i + STEP]
+        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        least[:, own[edges]] = np.minimum(least[:, own[edges]], np.minimum.reduceat(back, edges, axis=1))
+    bands = least.reshape(BANDS, -1, len(kept)).min(axis=1)
+    for n, i in enumerate(kept):
+        out[i] = [int(x) for x in bands[:, n]]
+    return out
+
+
+def _slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def with_minhash(df: DataFrame, text: str, column: str = "body_minhash") -> DataFrame:
@@ -72,6 +111,7 @@ def with_minhash(df: DataFrame, text: str, column: str = "body_minhash") -> Data
     @F.pandas_udf("array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: None if (m := body_minhash(t)) is None else [x - (1 << 64) if x >> 63 else x for x in m])
+            found = [m for some in _slices(s.tolist()) for m in minhashes(some)]
+            yield pd.Series([m and [x - (1 << 64) if x >> 63 else x for x in m] for m in found], dtype=object)
 
     return df.withColumn(column, sign(F.col(text)))

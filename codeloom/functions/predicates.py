@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,43 +16,62 @@ TEST_PATHS = [
     r"%\_test.cc", r"%\_test.cpp", r"%\_test.cxx", "%.t.sol", "%.bats", r"%\_spec.rb", r"%\_test.rb", "%/test.rs", "%/tests.rs", "test.rs", "tests.rs",
 ]
 TOOLING_PATHS = ["%/bench/%", "%/benches/%", "%/benchmark/%", "%/benchmarks/%", "bench/%", "benches/%", "%/scripts/%", "%/script/%", "scripts/%", "script/%", "%/docs/%", "docs/%", "%/.claude/%", ".claude/%"]
+# Folders, folder sequences and endings of generated files.
 EXCLUDED_DIRS = ["target", "node_modules", "dist", "build", "vendor", "third_party", "third-party", "bower_components", ".next", ".nuxt", "grammars"]
 EXCLUDED_SEQUENCES = ["priv/static", "alembic/versions", "migrations/versions"]
 GENERATED_SUFFIXES = [".min.js", ".min.mjs", ".min.cjs", ".min.css", ".bundle.js", ".bundle.mjs", ".pb.go", ".gen.go", ".gen.ts", ".gen.tsx", ".gen.js", ".gen.mjs", ".gen.cjs"]
+# Extensions of front-end assets.
 ASSET_EXTENSIONS = ["js", "mjs", "cjs", "jsx", "ts", "tsx", "css", "scss", "sass", "less", "vue", "svelte"]
+# Names that tell a reader little, names of data methods, names that every object has.
 LOW_ORIENTATION = ["new", "push", "pop", "size", "len", "length", "begin", "end", "clone", "merge", "dig", "unwrap", "default", "hash", "into", "from", "as_str", "as_ref", "as_mut", "to_string", "tostring", "configureawait", "true", "false", "none", "null", "notnull", "nil"]
 DATA_METHODS = ["equals", "hashcode", "tostring", "compareto", "clone", "copy", "builder", "of", "valueof", "with", "deconstruct"]
 OBJECT_METHODS = ["ToString", "Equals", "GetHashCode", "GetType", "Clone", "CompareTo", "Dispose", "DisposeAsync", "Finalize", "MemberwiseClone", "toString", "equals", "hashCode", "clone", "compareTo", "finalize", "close", "hash", "encode", "==", "!=", "<", "<=", ">", ">="]
+# Fixed value: accessor names.
 ACCESSOR = "^(get|set|is|has)($|_|[A-Z])"
+# Extensions of each language.
 LANGUAGES = {
-    "typescript": "ts mts cts", "tsx": "tsx", "javascript": "js jsx mjs cjs", "c": "c h", "cpp": "cpp cc cxx c++ hpp hh hxx h++", "go": "go", "java": "java", "csharp": "cs", "kotlin": "kt kts", "swift": "swift", "python": "py",
-    "ruby": "rb", "php": "php", "lua": "lua", "scala": "scala sc sbt", "dart": "dart", "elixir": "ex exs", "solidity": "sol", "haskell": "hs", "bash": "sh bash zsh ksh bats", "rust": "rs",
+    "typescript": ["ts", "mts", "cts"], "tsx": ["tsx"], "javascript": ["js", "jsx", "mjs", "cjs"], "c": ["c", "h"], "cpp": ["cpp", "cc", "cxx", "c++", "hpp", "hh", "hxx", "h++"],
+    "go": ["go"], "java": ["java"], "csharp": ["cs"], "kotlin": ["kt", "kts"], "swift": ["swift"], "python": ["py"], "ruby": ["rb"], "php": ["php"], "lua": ["lua"],
+    "scala": ["scala", "sc", "sbt"], "dart": ["dart"], "elixir": ["ex", "exs"], "solidity": ["sol"], "haskell": ["hs"], "bash": ["sh", "bash", "zsh", "ksh", "bats"], "rust": ["rs"],
 }
-EXTENSIONS = {e: lang for lang, es in LANGUAGES.items() for e in es.split()}
+EXTENSIONS = {e: lang for lang, es in LANGUAGES.items() for e in es}
+# Other names of languages, and extensions that only the pattern search takes.
+ALIASES = {"ts": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "rb": "ruby", "golang": "go", "rs": "rust", "c++": "cpp", "c#": "csharp", "cs": "csharp", "kt": "kotlin", "sh": "bash", "shell": "bash", "ex": "elixir", "hs": "haskell", "sol": "solidity"}
+SEARCH_ONLY = {"pyi": "python", "pyw": "python", "phtml": "php", "rake": "ruby", "gemspec": "ruby", "ino": "cpp", "ipp": "cpp", "tpp": "cpp", "csx": "csharp"}
+
+
+def canonical_language(name: str | None) -> str | None:
+    """The language of a name, an alias or an extension with or without its stop; None if there is none."""
+    low = (name or "").strip().lower().removeprefix(".")
+    return low if low in LANGUAGES else ALIASES.get(low) or EXTENSIONS.get(low)
+
+
+def search_language(path: str) -> str | None:
+    """The language in which pattern search reads a file."""
+    extension = path.rpartition("/")[2].rpartition(".")[2].lower()
+    return EXTENSIONS.get(extension) or SEARCH_ONLY.get(extension)
 
 
 def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def _like(path: Column, pattern: str) -> Column:
-    """ASCII-insensitive LIKE; where the pattern has wildcards at its ends only, a plain string test."""
-    bare = pattern.strip("%")
-    low = F.lower(path)
-    if "%" in bare or "_" in bare.replace(r"\_", ""):
-        return low.like(pattern.lower())
-    bare = bare.replace(r"\_", "_").lower()
-    if pattern[0] == "%" and pattern[-1] == "%":
-        return low.contains(bare)
-    return low.endswith(bare) if pattern[0] == "%" else low.startswith(bare) if pattern[-1] == "%" else low == bare
+def like_regex(patterns: list[str]) -> str:
+    """One regular expression for LIKE patterns, without regard to ASCII case: a path is looked through once."""
+
+    def one(pattern: str) -> str:
+        body = re.sub(r"\\_|%|_|[^\w%]", lambda m: "_" if m[0] == r"\_" else ".*" if m[0] == "%" else "." if m[0] == "_" else re.escape(m[0]), pattern.strip("%"))
+        return ("" if pattern[0] == "%" else "^") + body + ("" if pattern[-1] == "%" else r"\z")
+
+    return "(?is)" + "|".join(map(one, patterns))
 
 
 def is_test_path(path: Column) -> Column:
-    return _any([_like(path, p) for p in TEST_PATHS])
+    return path.rlike(like_regex(TEST_PATHS))
 
 
 def is_tooling_path(path: Column) -> Column:
-    return _any([_like(path, p) for p in TOOLING_PATHS])
+    return path.rlike(like_regex(TOOLING_PATHS))
 
 
 def extension(path: Column) -> Column:

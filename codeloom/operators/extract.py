@@ -14,6 +14,8 @@ from codeloom.functions.hashing import body_minhash
 from codeloom.operators.lineage import cut
 from codeloom.schema import DROPPED, ENTITIES, SYMBOLS
 
+#: Files whose numbers are summed by one task.
+RUN = 4096
 TAGGED = f"tag string, file_id long, seq int, {ENTITIES.replace('id long, kind', 'kind', 1).replace('file_id long, ', '')}, message string, severity string"
 _COLUMNS = [c.split()[0] for c in TAGGED.replace("array<long>", "x").split(", ")]
 
@@ -58,17 +60,21 @@ def parse(contents: DataFrame) -> DataFrame:
 
 def split(tagged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, symbols, diagnostics); ids follow file order, then reading order."""
-    tagged = cut(tagged, "parsed")
+    # kinds that aren't stored get no id: ids of kept and of newly parsed files are the same
+    tagged = cut(tagged.filter((F.col("tag") != "e") | ~F.col("kind").isin(DROPPED)), "parsed")
 
     def numbered(tag: str) -> DataFrame:
         rows = tagged.filter(F.col("tag") == tag)
-        # ranks inside a file, plus what earlier files have: no window over all rows
-        sizes = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-        before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])  # one row a file
+        # ranks inside a file, plus what earlier files have: files in runs of RUN, sums in each and over the runs
+        sizes = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.floor(F.col("file_id") / RUN))
+        runs = sizes.groupBy("run").agg(F.sum("n").alias("all")).withColumn("one", F.lit(1))  # one row for RUN files
+        earlier = runs.select("run", F.coalesce(F.sum("all").over(Window.partitionBy("one").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+        within = F.coalesce(F.sum("n").over(Window.partitionBy("run").orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        before = sizes.withColumn("within", within).join(earlier, "run").select("file_id", (F.col("within") + F.col("earlier")).alias("before"))
         inside = F.row_number().over(Window.partitionBy("file_id").orderBy("seq"))
         return rows.withColumn("i", inside).join(before.select("file_id", "before"), "file_id").withColumn("id", (F.col("before") + F.col("i")).cast("long"))
 
     names = lambda ddl: [c.split()[0] for c in ddl.replace("array<long>", "x").split(", ")]
-    entities = numbered("e").filter(~F.col("kind").isin(DROPPED)).select(*names(ENTITIES))
+    entities = numbered("e").select(*names(ENTITIES))
     diagnostics = numbered("d").select("id", "file_id", "message", "severity")
     return entities, numbered("s").select(*names(SYMBOLS)), diagnostics

@@ -6,15 +6,18 @@ joined level by level, so that the number of jobs depends on the depth and never
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.operators.lineage import cut
 
 LOCAL_EDGES = 200_000
 PASSES, EPSILON = 50, 1e-9
+SPREAD_ROUNDS = 24
 
 
 def adjacency(edges: DataFrame, reverse: bool = False, kinds: list[int] | None = None) -> DataFrame:
@@ -84,17 +87,36 @@ def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def ancestry_depth(entities: DataFrame) -> DataFrame:
-    """(name, depth): how many types a class has above it by extends, over names, cycles cut."""
+    """(name, depth): how many types a class has above it by extends, over names, on the longest way up without a type
+    twice.
+
+    Types are settled from the top: one whose supertypes are all settled is one deeper than the deepest of them, so that
+    rounds follow the depth and diamonds cost nothing. What is left has a cycle above it; only there ways are spelt out.
+    """
     ext = cut(entities.filter("kind = 15 and name <> enclosing_function").select(F.col("enclosing_function").alias("sub"), F.col("name").alias("super")).distinct(), "extends")
-    walk = cut(entities.filter("kind = 1").select("name", F.col("name").alias("cur"), F.array("name").alias("visited")).distinct(), "walk")
-    done, depth = walk.select("name", F.lit(0).alias("depth")), 0
-    while True:
-        depth += 1
-        walk = cut(walk.join(ext, walk.cur == ext.sub).filter(~F.array_contains("visited", F.col("super"))).select("name", F.col("super").alias("cur"), F.array_append("visited", F.col("super")).alias("visited")), "walk")
-        if not walk.limit(1).count():
+    classes = cut(entities.filter("kind = 1").select("name").distinct(), "classes")
+    names = classes.union(ext.select("sub")).union(ext.select("super")).distinct()
+    settled = cut(names.join(ext.select(F.col("sub").alias("name")), "name", "left_anti").select("name", F.lit(0).alias("depth")), "settled")
+    open_ = ext
+    while open_.limit(1).count():
+        above = settled.select(F.col("name").alias("super"), "depth")
+        ready = open_.join(above, "super", "left").groupBy("sub").agg(F.max("depth").alias("depth"), F.bool_and(F.col("depth").isNotNull()).alias("all")).filter("all")
+        ready = cut(ready.select(F.col("sub").alias("name"), (F.col("depth") + 1).alias("depth")), "ready")
+        if not ready.limit(1).count():
             break
-        done = done.unionByName(walk.select("name", F.lit(depth).alias("depth")).distinct())
-    return done.groupBy("name").agg(F.max("depth").alias("depth"))
+        settled = cut(settled.unionByName(ready), "settled")
+        open_ = cut(open_.join(ready.select(F.col("name").alias("sub")), "sub", "left_anti"), "open")
+    else:
+        return classes.join(settled, "name")
+    cyclic = open_.select(F.col("sub").alias("name")).distinct()
+    walk = cut(classes.join(cyclic, "name", "left_semi").select("name", F.col("name").alias("cur"), F.array("name").alias("way")), "walk")
+    found = [classes.join(settled, "name"), walk.select("name", F.lit(0).alias("depth"))]
+    while walk.limit(1).count():
+        steps = cut(walk.join(open_, walk.cur == open_["sub"]).filter(~F.array_contains("way", F.col("super"))).select("name", "way", "super"), "steps")
+        ends = steps.join(settled.select(F.col("name").alias("super"), "depth"), "super").select("name", (F.size("way") + F.col("depth")).alias("depth"))
+        found += [ends, steps.select("name", F.size("way").alias("depth"))]
+        walk = cut(steps.join(cyclic.select(F.col("name").alias("super")), "super", "left_semi").select("name", F.col("super").alias("cur"), F.array_append("way", F.col("super")).alias("way")), "walk")
+    return reduce(DataFrame.unionByName, found).groupBy("name").agg(F.max("depth").alias("depth"))
 
 
 def hierarchy(entities: DataFrame, name: str, up: bool = True) -> DataFrame:
@@ -122,62 +144,89 @@ def hierarchy(entities: DataFrame, name: str, up: bool = True) -> DataFrame:
     return entities.sparkSession.createDataFrame(sorted(seen.items()), "name string, depth int")
 
 
+def modularity_choice(links: dict[int, int], total: dict[int, int], own: int, degree: int, m: int) -> int:
+    """The community that a node of this degree best joins, by the textbook gain: its links there, less the links that a
+    random graph of the same degrees would give it. links and total leave the node itself out; within EPSILON the
+    smaller number wins."""
+    gains = {c: links.get(c, 0) / m - degree * total[c] / (2 * m * m) for c in {own, *links}}
+    enough = max(gains.values()) - EPSILON
+    return min(c for c, g in gains.items() if g >= enough)
+
+
 def louvain(nodes: list[int], edges: list[tuple[int, int]]) -> dict[int, int]:
     """Single-level local moving: node -> community (its smallest starting member's place in nodes).
 
-    Nodes move in the given order; parallel edges add weight, self-edges don't count; gains within EPSILON are ties,
-    which go to the smaller community id.
+    Nodes take their turns in the given order until a pass moves none, PASSES times at most; parallel edges add weight,
+    edges from a node to itself don't count.
     """
-    weight: dict[int, dict[int, int]] = {n: defaultdict(int) for n in nodes}
-    m = 0
-    for a, b in edges:
-        if a != b and a in weight and b in weight:
-            weight[a][b] += 1
-            weight[b][a] += 1
-            m += 1
     label = {n: i for i, n in enumerate(nodes)}
-    if not m:
-        return label
-    degree = {n: sum(weight[n].values()) for n in nodes}
-    total = {label[n]: degree[n] for n in nodes}
-    for _ in range(PASSES):
-        moved = False
+    around: dict[int, Counter] = {n: Counter() for n in nodes}
+    for a, b in edges:
+        if a != b and a in around and b in around:
+            around[a][b] += 1
+            around[b][a] += 1
+    degree = {n: sum(c.values()) for n, c in around.items()}
+    m = sum(degree.values()) // 2
+    total = Counter({label[n]: d for n, d in degree.items()})
+    for _ in range(PASSES if m else 0):
+        before = dict(label)
         for n in nodes:
-            to: dict[int, int] = defaultdict(int)
-            for b, w in weight[n].items():
-                to[label[b]] += w
-            own, k = label[n], degree[n]
-            leave = -to.get(own, 0) / m + k * (total[own] - k) / (2 * m * m)
-            best, gain = own, 0.0
-            for c in sorted(to):
-                if c == own:
-                    continue
-                g = leave + to[c] / m - k * total[c] / (2 * m * m)
-                if g > gain + EPSILON or abs(g - gain) <= EPSILON and c < best:
-                    best, gain = c, g
-            if best != own:
-                total[own] -= k
-                total[best] = total.get(best, 0) + k
-                label[n] = best
-                moved = True
-        if not moved:
+            total[label[n]] -= degree[n]
+            links = Counter()
+            for b, w in around[n].items():
+                links[label[b]] += w
+            label[n] = modularity_choice(links, total, label[n], degree[n], m)
+            total[label[n]] += degree[n]
+        if label == before:
             break
     return label
 
 
+def spread_communities(files: DataFrame, edges: DataFrame, rounds: int = SPREAD_ROUNDS) -> DataFrame:
+    """(file_id, label) by local moving without a driver: in each round a hashed half of the files moves at once to the
+    neighbouring community of greatest modularity gain (ties: the smallest), by joins and sums. For graphs that are too
+    large to be walked in order; its communities needn't equal louvain's."""
+    pairs = edges.filter("resolved and to_file_id is not null and from_file_id <> to_file_id").select(F.col("from_file_id").alias("a"), F.col("to_file_id").alias("b"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    both = cut(both, "weights")
+    labels = cut(files.select("id", F.col("id").alias("label")).join(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("degree")), "id", "left").fillna(0, ["degree"]), "labels")
+    twice = both.agg(F.sum("w").alias("m")).first().m or 0
+    for i in range(rounds if twice else 0):
+        total = labels.groupBy("label").agg(F.sum("degree").alias("total"))
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("w").alias("links"))
+        own = labels.select("id", F.col("label").alias("own"), "degree")
+        tried = near.unionByName(labels.select("id", "label", F.lit(0).cast("long").alias("links"))).groupBy("id", "label").agg(F.sum("links").alias("links"))
+        tried = tried.join(own, "id").join(total, "label")
+        rest = F.col("total") - F.when(F.col("label") == F.col("own"), F.col("degree")).otherwise(0)
+        gain = F.col("links") * F.lit(float(twice)) - F.col("degree") * rest
+        best = tried.groupBy("id").agg(F.max_by(F.col("label"), F.struct(gain, -F.col("label"))).alias("best"))
+        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
+        moved = cut(labels.join(best, "id", "left").select("id", F.when(turn, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label"), "degree", F.col("label").alias("was")), "labels")
+        changed = moved.filter("label <> was").limit(1).count()
+        labels = moved.drop("was")
+        if not changed and i:
+            break
+    return labels.select(F.col("id").alias("file_id"), "label")
+
+
 def communities(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(file_id, community_id): Louvain over all resolved edges; communities are numbered by their least path.
 
-    The moving phase is sequential by definition; it takes the file graph, one row a file and edge, to the driver.
+    Local moving in order is sequential by definition; graphs of LOCAL_EDGES edges and files at most (checked) are
+    walked on the driver, larger ones by spread_communities.
     """
-    rows = files.select("id", "path").orderBy("path").collect()
-    pairs = [(r[0], r[1]) for r in edges.filter("resolved and to_file_id is not null").select("from_file_id", "to_file_id").collect()]
-    label = louvain([r.id for r in rows], pairs)
-    least: dict[int, str] = {}
-    for r in rows:
-        least.setdefault(label[r.id], r.path)
-    number = {c: i for i, c in enumerate(sorted(least, key=least.get))}
-    return files.sparkSession.createDataFrame([(r.id, number[label[r.id]]) for r in rows], "file_id long, community_id long")
+    pairs = edges.filter("resolved and to_file_id is not null").select("from_file_id", "to_file_id")
+    local = pairs.limit(LOCAL_EDGES + 1).toPandas()
+    rows = files.select("id", "path").limit(LOCAL_EDGES + 1).toPandas().sort_values("path")
+    if max(len(local), len(rows)) <= LOCAL_EDGES:
+        label = louvain(rows.id.tolist(), list(zip(local.from_file_id.tolist(), local.to_file_id.tolist(), strict=True)))
+        labels = files.sparkSession.createDataFrame(list(label.items()), "file_id long, label long")
+    else:
+        labels = spread_communities(files, edges)
+    named = cut(labels.join(files.select(F.col("id").alias("file_id"), "path"), "file_id"), "labels")
+    least = named.groupBy("label").agg(F.min("path").alias("least"))
+    number = least.select("label", (F.row_number().over(Window.orderBy("least")) - 1).cast("long").alias("community_id"))  # one row a community
+    return named.join(number, "label").select("file_id", "community_id")
 
 
 def module_cycles(edges: list[tuple[str, str]]) -> list[list[str]]:

@@ -67,8 +67,13 @@ def resolve_imports(files: DataFrame, entities: DataFrame) -> DataFrame:
     stems = F.transform(F.sequence(F.lit(0), F.greatest(F.size("parts") - 1, F.lit(0))), lambda j: F.struct(F.lit(STEM).alias("step"), j.cast("int").alias("rank"), F.try_element_at(F.col("parts"), F.size("parts") - j).alias("key")))
     keys = F.concat(_one(EXACT, F.col("near")), _one(BARE, F.regexp_replace("near", _NO_EXT, "")), _one(BARE, F.col("near")), _one(MODULE, F.col("raw")), _keys(SUFFIX, _tails(F.col("parts"))), stems, _keys(PACKAGE, _tails(F.col("parts"))), _one(PACKAGE, F.try_element_at(F.col("parts"), F.lit(-1))))
     wanted = rows.select("id", "file_id", "from_lang", F.explode(keys).alias("k")).select("id", "file_id", "from_lang", "k.step", "k.rank", "k.key").filter("key is not null and key <> ''")
-    hits = wanted.join(file_keys(files, entities), ["step", "key"]).filter((F.col("target") != F.col("file_id")) & ((F.col("step") == EXACT) | F.col("from_lang").isNull() | F.col("from_lang").eqNullSafe(F.col("lang"))))
-    found = hits.groupBy("id", "step", "rank").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))
+    # a key's targets are counted before they meet the imports: common names (index, utils) are a row for each language
+    targets = file_keys(files, entities).groupBy("step", "key", "lang").agg(F.countDistinct("target").alias("all"), F.min("target").alias("low"), F.max("target").alias("high"))
+    hits = wanted.join(targets, ["step", "key"]).filter((F.col("step") == EXACT) | F.col("from_lang").isNull() | F.col("from_lang").eqNullSafe(F.col("lang")))
+    # of one or two targets the importer itself is told apart; of three, two others are left anyway
+    own = ((F.col("low") == F.col("file_id")) | (F.col("high") == F.col("file_id"))).cast("int")
+    hits = hits.withColumn("others", F.col("all") - own).filter("others > 0").withColumn("other", F.when(F.col("low") == F.col("file_id"), F.col("high")).otherwise(F.col("low")))
+    found = hits.groupBy("id", "step", "rank").agg(F.sum("others").alias("n"), F.min("other").alias("target"))
     decided = found.filter((F.col("n") == 1) | F.col("step").isin(STOPS)).groupBy("id").agg(F.min(F.struct("step", "rank", "n", "target")).alias("best"))
     to = decided.select("id", F.when(F.col("best.n") == 1, F.col("best.target")).alias("to_file_id"))
     return rows.select("id", "file_id").join(to, "id", "left").select(F.col("id").alias("from_entity_id"), F.col("file_id").alias("from_file_id"), "to_file_id", F.lit(None).cast("long").alias("to_entity_id"), F.lit(EDGE["import"]).alias("kind"))

@@ -24,6 +24,7 @@ def watch(spark: SparkSession, changes: DataFrame, root: str, db: str, checkpoin
 
 
 def bursts(changes: DataFrame, gap: str = DEBOUNCE, late: str = "10 seconds") -> DataFrame:
-    """(begin, end, changes) of bursts of changes, each ended by a gap: the debounce in event time."""
-    marked = changes.withWatermark("at", late).groupBy(F.session_window("at", gap), F.substring_index("path", "/", 0).alias("tree")).agg(F.count(F.lit(1)).alias("changes"))
-    return marked.select(F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("end"), "changes")
+    """(folder, begin, end, changes) of bursts of changes in a folder, each ended by a gap: the debounce in event time.
+    Folders are keys of their own, so that state is spread over tasks."""
+    marked = changes.withWatermark("at", late).groupBy(F.session_window("at", gap), F.regexp_extract("path", r"^(.*)/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("changes"))
+    return marked.select("folder", F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("end"), "changes")
