@@ -1,23 +1,26 @@
 """Code-graph views over the benchmark tables, so that every operator runs on them and DuckDB can check it.
 
 The same SQL text serves both engines; only constructs that mean the same in both are used. A part is a file, a
-line item an entity, and parts that one order holds in large quantities are linked.
+line item an entity, and parts on neighbouring lines of an order are linked. Spark writes the views once a session and
+input, as an index would be, and later queries read that.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import predicates as P
+from codeloom.operators.lineage import cut, exists, shared_folder
 from codeloom.schema import Tables
 
-#: Least quantity of two items of an order that makes an edge; larger values give sparser graphs.
-EDGE_QUANTITY = 43
-
 PATHS = """SELECT p_partkey AS id, 'src/' || lower(replace(p_brand, '#', '')) || '/' ||
-  CASE WHEN p_size % 10 = 0 THEN 'tests' WHEN p_size % 17 = 0 THEN 'vendor' ELSE lower(replace(p_type, ' ', '_')) END || '/part_' || CAST(p_partkey AS STRING) ||
-  CASE p_partkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.go' WHEN 3 THEN '.java' ELSE '.txt' END AS path,
+  CASE WHEN p_size % 10 = 0 THEN 'tests' WHEN p_size % 17 = 0 THEN 'vendor' WHEN p_size % 17 = 3 THEN 'scripts' WHEN p_size % 17 = 5 THEN 'assets' WHEN p_size % 17 = 7 THEN 'templates'
+       WHEN p_size % 17 = 9 THEN 'db/migrations/versions' ELSE lower(replace(p_type, ' ', '_')) END || '/part_' || CAST(p_partkey AS STRING) ||
+  CASE WHEN p_partkey % 5 = 1 AND p_size % 6 = 0 THEN '.gen.ts' WHEN p_partkey % 5 = 2 AND p_size % 6 = 0 THEN '_test.go' WHEN p_partkey % 5 = 2 AND p_size % 6 = 1 THEN '.pb.go'
+       WHEN p_partkey % 5 = 0 THEN '.py' WHEN p_partkey % 5 = 1 THEN '.ts' WHEN p_partkey % 5 = 2 THEN '.go' WHEN p_partkey % 5 = 3 THEN '.java' ELSE '.txt' END AS path,
   p_partkey % 25 AS community_id FROM part"""
 
 #: One row for each order line: duplicates of the key are folded.
@@ -27,18 +30,21 @@ LINES = """SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l
 KINDED = """SELECT o * 10 + n AS id, p AS file_id, o, n, s, q,
   CASE WHEN (o + n) % 16 < 5 THEN 0 WHEN (o + n) % 16 < 9 THEN 6 WHEN (o + n) % 16 < 12 THEN 12 WHEN (o + n) % 16 = 12 THEN 1 WHEN (o + n) % 16 = 13 THEN 2 WHEN (o + n) % 16 = 14 THEN 16 ELSE 15 END AS kind FROM p_lines"""
 
-#: Type k extends type k / 2 (rounded down), so that the hierarchy is a tree seven deep.
+#: Type k extends type k / 2 (rounded down), so that the hierarchy is a tree seven deep. Every other interface has a name
+#: of its own, and half of the implements entities name the one on the line before, if there is one.
 ENTITIES = """SELECT id, kind, file_id,
   CASE WHEN kind IN (0, 6) THEN CASE WHEN s % 7 = 0 THEN 'getItem' ELSE 'fn' || CAST(s % 40 AS STRING) END WHEN kind = 12 THEN 'if'
+       WHEN kind = 2 AND q % 2 = 0 THEN 'I' || CAST(id AS STRING) WHEN kind = 16 AND q % 2 = 0 THEN 'I' || CAST(id - 1 AS STRING)
        WHEN kind IN (1, 2) THEN 'T' || CAST(s % 64 AS STRING) WHEN kind = 15 THEN 'T' || CAST(CAST((s % 64 - s % 2) / 2 AS BIGINT) AS STRING) ELSE 'T' || CAST(o % 64 AS STRING) END AS name,
   n * 1000 + 10 * q AS start_byte, n * 1000 + 10 * q + CASE WHEN kind = 0 THEN 400 WHEN kind IN (1, 2) THEN 3000 ELSE 5 END AS end_byte,
   n * 20 + q AS start_line, n * 20 + q + CASE WHEN kind = 0 THEN q % 12 ELSE 0 END AS end_line,
   CASE WHEN kind IN (6, 12) THEN 'fn' || CAST(o % 40 AS STRING) WHEN kind IN (15, 16) THEN 'T' || CAST(s % 64 AS STRING) END AS enclosing_function,
   CASE WHEN n % 3 = 0 THEN NULL ELSE 'T' || CAST(s % 8 AS STRING) END AS owner_type FROM p_kinded"""
 
-EDGES = f"""SELECT a.o * 100 + a.n * 10 + b.n AS id, a.p AS from_file_id, CASE WHEN b.ls = 'F' THEN b.p END AS to_file_id,
-  CASE WHEN a.rf = 'R' THEN 1 ELSE 0 END AS kind, b.ls = 'F' AS resolved, a.o * 10 + a.n AS from_entity_id, CASE WHEN b.ls = 'F' THEN b.o * 10 + b.n END AS to_entity_id
-  FROM p_lines a JOIN p_lines b ON a.o = b.o AND a.n < b.n WHERE a.q >= {EDGE_QUANTITY} AND b.q >= {EDGE_QUANTITY} AND a.p <> b.p"""
+#: Neighbouring lines of an order are linked; in every seventh order in both directions.
+EDGES = """SELECT o * 100 + n * 10 + m AS id, p AS from_file_id, CASE WHEN ok THEN p2 END AS to_file_id, kind, ok AS resolved, o * 10 + n AS from_entity_id, CASE WHEN ok THEN o * 10 + m END AS to_entity_id FROM (
+  SELECT a.o, a.n, b.n AS m, a.p, b.p AS p2, CASE WHEN a.rf = 'R' THEN 1 ELSE 0 END AS kind, b.ls = 'F' AS ok FROM p_lines a JOIN p_lines b ON b.o = a.o AND b.n = a.n + 1 WHERE a.p <> b.p
+  UNION ALL SELECT a.o, b.n, a.n, b.p, a.p, CASE WHEN a.rf = 'R' THEN 1 ELSE 0 END, b.ls = 'F' FROM p_lines a JOIN p_lines b ON b.o = a.o AND b.n = a.n + 1 WHERE a.p <> b.p AND a.o % 7 = 0) x"""
 
 CHURN = """SELECT l_partkey AS file_id, count(*) AS churn FROM lineitem WHERE l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 90 DAY GROUP BY l_partkey"""
 
@@ -60,25 +66,42 @@ files AS (SELECT p.id, p.path, p.community_id, {like_sql(P.TEST_PATHS)} AS is_te
 """
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
+#: (application, input, shared folder): the views that this session has written.
+_WRITTEN: dict[tuple[str, str, str], dict[str, str]] = {}
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from codeloom.operators.metrics import complexity, fan_metrics
 
     for t in ("part", "lineitem"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
     def view(name: str, sql: str) -> DataFrame:
-        df = spark.sql(sql)
+        df = cut(spark.sql(sql), name)
         df.createOrReplaceTempView(name)
         return df
 
     paths = view("p_paths", PATHS)
     view("p_lines", LINES)
-    view("p_kinded", KINDED)
-    entities = spark.sql(ENTITIES)
-    edges = spark.sql(EDGES)
+    kinded = view("p_kinded", KINDED)
+    entities = cut(spark.sql(ENTITIES), "entities")
+    edges = cut(spark.sql(EDGES), "edges")
     fans = fan_metrics(paths.select("id"), edges)
     churn = spark.sql(CHURN).withColumnRenamed("file_id", "id")
     files = paths.join(complexity(paths.select("id"), entities), "id").join(churn, "id", "left").join(fans, "id").fillna(0, ["churn"])
     files = files.withColumns({"is_test_path": P.is_test_path(F.col("path")), "is_tooling_path": P.is_tooling_path(F.col("path")), "lang": P.language(F.col("path"))})
-    members = paths.select("community_id", F.col("id").alias("file_id"))
-    return Tables(files, entities, edges, members)
+    return {"p_kinded": kinded, "entities": entities, "resolved_edges": edges, "files": files, "community_members": paths.select("community_id", F.col("id").alias("file_id"))}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    key = (spark.sparkContext.applicationId, sf_dir, shared_folder(spark))
+    if not (key in _WRITTEN and all(exists(spark, f"{p}/_SUCCESS") for p in _WRITTEN[key].values())):
+        _WRITTEN[key] = {}
+        for name, df in _derived(spark, sf_dir).items():
+            path = f"{shared_folder(spark)}/projection-{name}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            _WRITTEN[key][name] = path
+    views = {name: spark.read.parquet(path) for name, path in _WRITTEN[key].items()}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return Tables(views["files"], views["entities"], views["resolved_edges"], views["community_members"])

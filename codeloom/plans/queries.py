@@ -40,10 +40,15 @@ def seed(t: Tables, column: str = "from_file_id") -> DataFrame:
     return t.resolved_edges.filter("resolved").groupBy(F.col(column).alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
 
 
-_NOISE = "(regexp_matches('/' || path, '/(" + "|".join(x.replace(".", "\\.") for x in P.EXCLUDED_DIRS) + ")(/|$)') OR lang IS NULL)"
+_GENERATED = (
+    "(len(list_intersect(string_split(path, '/'), ['" + "', '".join(P.EXCLUDED_DIRS) + "'])) > 0 OR "
+    + " OR ".join([f"contains('/' || path, '/{x}/')" for x in P.EXCLUDED_SEQUENCES] + [f"suffix(path, '{x}')" for x in P.GENERATED_SUFFIXES]) + ")"
+)
+_NOISE = f"({_GENERATED} OR (list_contains(string_split(path, '/'), 'assets') AND lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN ('{"', '".join(P.ASSET_EXTENSIONS)}')) OR len(list_intersect(string_split(path, '/'), ['templates', 'template'])) > 0 OR lang IS NULL)"
+_SHOWN = f"(NOT is_test_path AND NOT {_GENERATED} AND lang IS NOT NULL)"
 
 
-@query("hotspots", f"kept AS (SELECT * FROM files WHERE NOT is_test_path AND NOT {_NOISE})", "SELECT path AS file, complexity, churn, CASE WHEN (SELECT count(DISTINCT churn) FROM kept) > 1 THEN complexity * churn ELSE complexity END AS score FROM kept")
+@query("hotspots", f"kept AS (SELECT * FROM files WHERE {_SHOWN})", "SELECT path AS file, complexity, churn, CASE WHEN (SELECT count(DISTINCT churn) FROM kept) > 1 THEN complexity * churn ELSE complexity END AS score FROM kept")
 def hotspots(t: Tables) -> DataFrame:
     return M.hotspots(t.files)
 
