@@ -52,7 +52,12 @@ def tree(root: int, callees: dict[int, list[int]], skipped: set[int] = frozenset
 
 
 def size(node: dict) -> int:
-    return 1 + sum(size(c) for c in node.get("calls", ()))
+    n, stack = 0, [node]
+    while stack:
+        at = stack.pop()
+        n += 1
+        stack += at.get("calls", ())
+    return n
 
 
 def flow_trees(files: DataFrame, entities: DataFrame, edges: DataFrame, roots: DataFrame) -> list[dict]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -27,6 +28,7 @@ class Rule:
     thresholds: dict[str, float] = field(default_factory=dict)
     strings: dict[str, str] = field(default_factory=dict)
     remediation: str = ""
+    fixtures: list[dict] = field(default_factory=list)
 
     def sql(self) -> str:
         return (f"WITH RECURSIVE {self.ctes} " if "RECURSIVE" in self.ctes else f"WITH {self.ctes} " if self.ctes else "").replace("RECURSIVE RECURSIVE", "RECURSIVE") + self.body
@@ -116,24 +118,22 @@ def finding_id(rule: str, file: str, start: int, end: int) -> str:
     return fnv1a_hex(f"{rule}\0{file}\0{start}\0{end}".encode())
 
 
-def scan(spark: SparkSession, rules: list[Rule]) -> tuple[list[dict], list[dict]]:
-    """(findings, diagnostics): a rule that fails is reported and the rest go on."""
-    findings, diagnostics = [], []
-    for rule in rules:
+def self_test(spark: SparkSession, rule: Rule) -> list[dict]:
+    """A rule's own fixtures: tables with rows, and the rows that its query must give, in any order, as often as they
+    are listed."""
+    out = []
+    for i, case in enumerate(rule.fixtures):
         try:
-            df = run_rule(spark, rule)
-            if missing := {"file", "line"} - set(df.columns):
-                raise ValueError(f"the query lacks {sorted(missing)}")
-            rows = df.orderBy("file", "line").collect()
+            for name, rows in case["tables"].items():
+                spark.createDataFrame([tuple(r) for r in rows["rows"]], rows["columns"]).createOrReplaceTempView(name)
+            got = run_rule(spark, rule)
+            want = Counter(json.dumps(r, sort_keys=True) for r in case["expect"])
+            columns = {c for r in case["expect"] for c in r}
+            have = Counter(json.dumps({k: v for k, v in r.asDict().items() if k in columns or not columns}, sort_keys=True, default=str) for r in got.collect())
+            out.append({"rule": rule.id, "case": f"fixture {i}", "passed": want == have})
         except Exception as e:  # noqa: BLE001 - a user's query may fail in any way
-            diagnostics.append({"rule_id": rule.id, "message": str(e).splitlines()[0]})
-            continue
-        for r in rows:
-            d = r.asDict()
-            evidence = {k: v for k, v in d.items() if k not in ("file", "line", "start_byte", "end_byte", "end_line")}
-            start, end = d.get("start_byte") or 0, d.get("end_byte") or 0
-            findings.append({"id": finding_id(rule.id, d["file"], start, end), "rule_id": rule.id, "severity": rule.severity, "message": render(rule.message, d), "file": d["file"], "line": d["line"], "start_byte": start, "end_byte": end, "evidence": json.dumps(evidence, sort_keys=True), "remediation": rule.remediation})
-    return findings, diagnostics
+            out.append({"rule": rule.id, "case": f"fixture {i}", "passed": False, "message": str(e).splitlines()[0]})
+    return out
 
 
 def load_pack(path: str | Path) -> tuple[list[Rule], list[dict]]:
@@ -148,10 +148,12 @@ def load_pack(path: str | Path) -> tuple[list[Rule], list[dict]]:
             diagnostics.append({"file": str(file), "message": str(e)})
             continue
         for x in entries:
+            if x.get("kind") == "pattern":
+                continue
             if x.get("kind") != "sql" or not {"id", "message", "query"} <= x.keys() or x.get("severity", "warning") not in SEVERITIES:
                 diagnostics.append({"file": str(file), "message": f"rule {x.get('id', '?')} lacks a field or is of an unknown kind"})
                 continue
-            rules.append(Rule(x["id"], x.get("severity", "warning"), x["message"], x["query"], "", {k: float(v) for k, v in x.get("thresholds", {}).items()}, x.get("strings", {}), x.get("remediation", "")))
+            rules.append(Rule(x["id"], x.get("severity", "warning"), x["message"], x["query"], "", {k: float(v) for k, v in x.get("thresholds", {}).items()}, x.get("strings", {}), x.get("remediation", ""), x.get("fixtures", [])))
     return rules, diagnostics
 
 

@@ -32,10 +32,10 @@ def clone_tables(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bands.select("id", F.concat(F.lit("clone-band-"), F.col("first").cast("string"), F.lit("-"), F.col("band").cast("string")).alias("label")), members
 
 
-def derive(files: DataFrame, entities: DataFrame, symbols: DataFrame, diagnostics: DataFrame, churn: DataFrame) -> Tables:
+def derive(files: DataFrame, entities: DataFrame, symbols: DataFrame, diagnostics: DataFrame, churn: DataFrame, modules: list[tuple[str, str]] | None = None) -> Tables:
     """All tables from the raw ones; files: id, path, mtime, size, content_hash, lang."""
     files = files.withColumns({"is_test_path": P.is_test_path(F.col("path")), "is_tooling_path": P.is_tooling_path(F.col("path"))})
-    edges = cut(resolve(files, entities), "edges")
+    edges = cut(resolve(files, entities, modules), "edges")
     members = G.communities(files, edges)
     full = files.join(M.complexity(files, entities), "id").join(M.fan_metrics(files, edges), "id").join(churn, "path", "left").fillna(0, ["churn"]).join(members.withColumnRenamed("file_id", "id"), "id", "left")
     bands, band_members = clone_tables(entities)
@@ -68,6 +68,23 @@ def load(spark: SparkSession, path: str) -> Tables:
     return Tables(**{name: spark.read.parquet(f"file://{os.path.abspath(path)}/{name}") for name in TABLES})
 
 
+def sources_of(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """(path, text) of indexed files with a language, read by the executors; undecodable ones have no text."""
+    read = S.with_contents(spark, root, files.filter("lang is not null").select("path", "mtime", "size"))
+    return cut(read.select("path", F.try_validate_utf8(F.decode("content", "UTF-8")).alias("text")), "sources")
+
+
+def extract_counts(spark: SparkSession, path: str) -> dict:
+    """Extraction of a tree without an index: rows of each table, and what went wrong."""
+    entities, symbols, diagnostics = E.split(E.parse(S.with_contents(spark, path)))
+    said = [r.asDict() for r in diagnostics.orderBy("id").limit(1000).collect()]
+    return {"entities": entities.count(), "symbols": symbols.count(), "diagnostics": said}
+
+
+def counts(tables: Tables) -> dict:
+    return {name: getattr(tables, name).count() for name in ("files", "entities", "symbols", "diagnostics")}
+
+
 def build(spark: SparkSession, root: str, path: str, force: bool = False) -> dict:
     """Bring the index up to date. Unchanged files keep their parsed rows; nothing happens where nothing changed."""
     path = os.path.abspath(path)
@@ -97,5 +114,5 @@ def build(spark: SparkSession, root: str, path: str, force: bool = False) -> dic
     entities, symbols, diagnostics = E.split(tagged)
     raw = cut(listed.select("id", "path", "mtime", "size", "content_hash", "lang"), "files")
     rev = (state or {}).get("rev", 0) + 1
-    write(derive(raw, cut(entities, "entities"), symbols, diagnostics, S.churn(spark, root)), path, rev)
+    write(derive(raw, cut(entities, "entities"), symbols, diagnostics, S.churn(spark, root), S.go_modules(root)), path, rev)
     return counts | {"rev": rev, "written": True}

@@ -9,11 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions import predicates as P
 from codeloom.operators import graph as G
 from codeloom.operators import lookups as L
 from codeloom.operators import metrics as M
-from codeloom.operators import patterns, rules
-from codeloom.plans import index, navmap
+from codeloom.operators import patterns
+from codeloom.operators.lineage import cut
+from codeloom.plans import index, navmap, scan
 from codeloom.schema import ENTITY, Tables
 
 
@@ -174,12 +176,27 @@ def _context_pack(t: Tables, q: dict) -> dict:
 
 
 def _find_pattern(t: Tables | None, q: dict) -> dict:
+    """Files are read and searched by the executors; the shown matches come back, and how many there are."""
+    from codeloom.sources.files import listing, with_contents
+
+    spark = SparkSession.active()
+    path = q.get("filePath") or q.get("file") or need(q, "path")
+    if not os.path.exists(path):
+        raise QueryError("not_found", f"no file {path}")
+    listed = listing(spark, path)
+    if os.path.isfile(path):
+        listed = listed.withColumn("path", F.lit(os.path.abspath(path)))
+    sources = with_contents(spark, path, listed).select("path", F.decode("content", "UTF-8").alias("text"))
+    langs = F.udf(P.search_language, "string")  # a dictionary of endings, one call a file
     try:
-        found = patterns.search_paths(need(q, "pattern"), q.get("filePath") or q.get("file") or need(q, "path"), {k: q[k] for k in patterns.RELATIONS if k in q})
-    except (SyntaxError, ValueError) as e:
+        found = cut(patterns.search_all(sources.withColumn("lang", langs("path")), need(q, "pattern"), {k: q[k] for k in patterns.RELATIONS if k in q}, q.get("language")), "matches")
+    except patterns.InvalidPattern as e:
         raise QueryError("invalid_pattern", str(e)) from e
-    shown = found[: patterns.SHOWN]
-    return {"matches": shown, **({"guide": {"total": len(found), "shown": len(shown)}} if len(found) > len(shown) else {})}
+    if found.filter("problem is not null").limit(1).count():
+        raise QueryError("pattern_too_complex", f"more than {patterns.STEPS} steps")
+    total = found.count()
+    shown = rows(found.drop("problem").orderBy("file", "start_line", "start_col", F.desc("end_byte")).limit(patterns.SHOWN))
+    return {"matches": shown, **({"guide": {"total": total, "shown": len(shown)}} if total > len(shown) else {})}
 
 
 MODES: dict[str, Callable] = {
@@ -208,9 +225,15 @@ def run_query(spark: SparkSession, q: dict, tables: Tables | None = None) -> dic
             return envelope(state) if state else failure("db_error", "no index there")
         if mode == "scan":
             t = tables or index.load(spark, need(q, "dbPath"))
-            t.register(spark)
-            findings, problems = rules.scan(spark, rules.merge(rules.BUILTIN, *([rules.load_pack(q["rules"])[0]] if "rules" in q else [])))
-            return envelope({"findings": findings, "diagnostics": problems})
+            root = q.get("repoRoot")
+            sources = index.sources_of(spark, root, t.files) if root else None
+            packs = scan.load_packs(root, [q["rules"]] if "rules" in q else [])
+            findings, payload = scan.scan(spark, t, sources, root, packs, q.get("apply", False), q.get("force", False))
+            if "severityThreshold" in q:
+                payload["exceeded"] = scan.reaches(findings, q["severityThreshold"])
+            return envelope(payload)
+        if mode == "rules":
+            return envelope({"list": lambda: scan.list_packs(q.get("repoRoot")), "seed": lambda: scan.seed_packs(need(q, "repoRoot"), q.get("force", False)), "remove": lambda: scan.remove_packs(need(q, "repoRoot")), "test": lambda: scan.self_tests(spark, scan.load_packs(q.get("repoRoot")), q.get("limit", 100))}[q.get("do", "list")]())
         if mode not in MODES:
             return failure("unknown_mode", f"no mode {mode}")
         t = tables if tables is not None or mode == "find_pattern" else index.load(spark, need(q, "dbPath"))

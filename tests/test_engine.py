@@ -8,7 +8,7 @@ from codeloom.functions import hashing as H
 from codeloom.functions import predicates as P
 from codeloom.operators import graph as G
 from codeloom.operators import patterns, rules
-from codeloom.plans import index, modes, navmap
+from codeloom.plans import index, modes, navmap, scan
 from codeloom.schema import ENTITY
 
 
@@ -178,8 +178,10 @@ def test_rules_suppressions_and_packs(spark, tmp_path):
     got, problems = rules.load_pack(tmp_path)
     assert [r.id for r in got] == ["mine"] and len(problems) == 1
     spark.createDataFrame([("a", 9), ("b", 1)], "path string, size int").createOrReplaceTempView("files")
-    findings, failed = rules.scan(spark, [*got, rules.Rule("broken", "info", "", "SELECT nope FROM files")])
+    found, failed = scan.sql_findings(spark, [*got, rules.Rule("broken", "info", "", "SELECT nope FROM files")])
+    findings = [r.asDict() for r in found.collect()]
     assert [(f["file"], f["message"], f["severity"]) for f in findings] == [("a", "a is big", "error")] and [f["rule_id"] for f in failed] == ["broken"]
+    assert findings[0]["id"] == rules.finding_id("mine", "a", 0, 0)
     marks = rules.suppressions("a", "# loom-ignore-file mine -- known\n") + rules.suppressions("z", "x\n// loom-ignore other\n")
     left, stale = rules.suppress(findings, marks)
     assert left == [] and [m["file"] for m in stale] == ["z"]
