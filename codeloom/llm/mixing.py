@@ -35,7 +35,7 @@ def log_factorial(n: Column) -> Column:
     y = n + 9.0
     up = reduce(lambda a, b: a * b, [n + float(i) for i in range(1, 9)])
     series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * y * y * y * y * y * y * y)
-    return series - F.log(up)
+    return F.when(n <= 1, 0.0).otherwise(series - F.log(up))
 
 
 def poisson_count(rate: Column, uniform: Column) -> Column:
