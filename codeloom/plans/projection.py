@@ -38,7 +38,7 @@ ENTITIES = """SELECT id, kind, file_id,
        WHEN kind IN (1, 2) THEN 'T' || CAST(s % 64 AS STRING) WHEN kind = 15 THEN 'T' || CAST(CAST((s % 64 - s % 2) / 2 AS BIGINT) AS STRING) ELSE 'T' || CAST(o % 64 AS STRING) END AS name,
   n * 1000 + 10 * q AS start_byte, n * 1000 + 10 * q + CASE WHEN kind = 0 THEN 400 WHEN kind IN (1, 2) THEN 3000 ELSE 5 END AS end_byte,
   n * 20 + q AS start_line, n * 20 + q + CASE WHEN kind = 0 THEN q % 12 ELSE 0 END AS end_line,
-  CASE WHEN kind IN (6, 12) THEN 'fn' || CAST(o % 40 AS STRING) WHEN kind IN (15, 16) THEN 'T' || CAST(s % 64 AS STRING) END AS enclosing_function,
+  CASE WHEN kind IN (6, 12) THEN 'fn' || CAST(o % 40 AS STRING) WHEN kind = 15 THEN 'T' || CAST(s % 64 AS STRING) WHEN kind = 16 THEN 'T' || CAST(s % 8 AS STRING) END AS enclosing_function,
   CASE WHEN n % 3 = 0 THEN NULL ELSE 'T' || CAST(s % 8 AS STRING) END AS owner_type FROM p_kinded"""
 
 #: Neighbouring lines of an order are linked; in every seventh order in both directions.
