@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from codeloom.operators import lookups as L
 from codeloom.operators import metrics as M
 from codeloom.operators import resolve as S
 from codeloom.operators import rules as R
+from codeloom.operators.lineage import cut
 from codeloom.plans.projection import like_sql, oracle_prefix, tables
 from codeloom.schema import Tables
 
@@ -269,7 +271,14 @@ def call_edges_same_file(t: Tables) -> DataFrame:
     return S.resolve_calls(files, t.entities, none).filter("to_entity_id is not null").select("from_entity_id", "to_entity_id")
 
 
-@query("subsystems", "g AS (SELECT community_id, regexp_extract(path, '^(.*)/', 1) AS folder, count(*) AS n FROM files GROUP BY ALL)", "SELECT community_id, CASE WHEN max(n) * 3 >= sum(n) * 2 THEN arg_max(folder, n) ELSE 'cluster' END AS name, CAST(sum(n) AS BIGINT) AS size FROM g GROUP BY community_id HAVING sum(n) > 1")
+@query(
+    "subsystems",
+    f"g AS (SELECT community_id, path, regexp_extract(path, '^(.*)/', 1) AS folder FROM files WHERE NOT {_GENERATED}), c AS (SELECT community_id, folder, count(*) AS n FROM g GROUP BY ALL), "
+    "top AS (SELECT community_id, arg_min(folder, (-n, folder)) AS folder, CAST(sum(n) AS BIGINT) AS size FROM c GROUP BY community_id HAVING sum(n) > 1), first AS (SELECT community_id, min(path) AS path FROM g GROUP BY community_id), "
+    "one AS (SELECT community_id, size, list_last(string_split(folder, '/')) AS name, string_split(list_last(string_split(path, '/')), '.')[1] AS stem FROM top JOIN first USING (community_id)), "
+    "two AS (SELECT community_id, size, CASE WHEN count(*) OVER (PARTITION BY name) > 1 AND stem <> name THEN name || '/' || stem ELSE name END AS name FROM one)",
+    "SELECT community_id, size, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' #' || community_id ELSE name END AS name FROM two",
+)
 def subsystems(t: Tables) -> DataFrame:
     from codeloom.plans.navmap import subsystem_names
 
@@ -346,15 +355,121 @@ def clone_band_members(docs: DataFrame) -> DataFrame:
     return M.clone_band_members(with_minhash(docs.select(F.col("doc_id").alias("id"), "text"), "text").select("id", "body_minhash"))
 
 
-@_documents("content_hash")
+@_documents("content_hash", "SELECT doc_id, lpad(lower(to_hex(CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: CAST('0x' || p AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS UBIGINT))), 16, '0') AS content_hash FROM documents")
 def content_hash(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.lpad(F.lower(F.hex(fnv1a_column(F.col("text")))), 16, "0").alias("content_hash"))
 
 
 @_documents("pattern_atoms", "SELECT doc_id FROM documents WHERE contains(text, 'token') AND contains(text, '=')")
 def pattern_atoms(docs: DataFrame) -> DataFrame:
-    """Prefilter of the pattern search: a text that lacks an atom can't match."""
-    return docs.filter(F.col("text").contains("token") & F.col("text").contains("=")).select("doc_id")
+    """Prefilter of the pattern search: a text that lacks a word of the pattern can't match. The sign is no word."""
+    from codeloom.operators.patterns import literal_atoms
+
+    for word in literal_atoms("token = $V", "go"):
+        docs = docs.filter(F.col("text").contains(word))
+    return docs.filter(F.col("text").contains("=")).select("doc_id")
+
+
+@_documents("pattern_search")
+def pattern_search(docs: DataFrame) -> DataFrame:
+    """What follows the word token and a sign, in every text read as tokens."""
+    from codeloom.operators.patterns import search
+
+    hits = search(docs.select(F.col("doc_id").cast("string").alias("path"), "text"), "token=$V", lang="go")
+    return hits.select(F.col("file").cast("long").alias("doc_id"), "start_byte", "text")
+
+
+@query("shortest_path_length", f"{_PAIRS}, {_SEED}, {_reach('out', 12)}, far AS (SELECT id, min(depth) AS d FROM reach_out GROUP BY id), last AS (SELECT id, d FROM far ORDER BY d DESC, id LIMIT 1)", "SELECT (SELECT id FROM seed) AS source, id AS target, d AS edges, true AS linked FROM last")
+def shortest_path_length(t: Tables) -> DataFrame:
+    """The path to the file farthest from the seed: its ends and length, and whether each step is an edge."""
+    pairs = cut(G.adjacency(t.resolved_edges), "pairs")
+    start = seed(t).first().id
+    far = G.reachable(pairs, seed(t), 12).orderBy(F.desc("depth"), "id").first()
+    path = G.shortest_path(t.resolved_edges, start, far.id)
+    steps = t.files.sparkSession.createDataFrame(list(zip(path, path[1:], strict=False)), "src long, dst long")
+    missing = steps.join(pairs, ["src", "dst"], "left_anti")
+    return steps.agg(F.lit(path[0]).alias("source"), F.lit(path[-1]).alias("target"), F.count(F.lit(1)).cast("int").alias("edges")).join(missing.agg((F.count(F.lit(1)) == 0).alias("linked")))
+
+
+@query("entity_fans", "ends AS (SELECT from_entity_id AS f, to_entity_id AS t FROM resolved_edges WHERE kind = 0 AND resolved)", 'SELECT id AS entity, (SELECT count(*) FROM ends WHERE f = id) AS "out", (SELECT count(*) FROM ends WHERE t = id) AS "in" FROM (SELECT f AS id FROM ends UNION SELECT t FROM ends)')
+def entity_fans(t: Tables) -> DataFrame:
+    from codeloom.plans.navmap import call_fans
+
+    return call_fans(t.resolved_edges)
+
+
+@query("edge_scope", "changed AS (SELECT id FROM files WHERE id % 400 = 7)", "SELECT id FROM changed UNION SELECT from_file_id FROM resolved_edges WHERE resolved AND to_file_id IN (SELECT id FROM changed)")
+def edge_scope(t: Tables) -> DataFrame:
+    return S.scope_of(t.files.filter("id % 400 = 7").select("id"), t.resolved_edges)
+
+
+@query("index_counts", "", "SELECT 'files' AS name, count(*) AS n FROM files UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'resolved_edges', count(*) FROM resolved_edges")
+def index_counts(t: Tables) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, df in (("files", t.files), ("entities", t.entities), ("resolved_edges", t.resolved_edges))])
+
+
+@query("severe_findings", "", "SELECT severity, count(*) AS n FROM (SELECT 'warning' AS severity FROM files WHERE complexity > 8 UNION ALL SELECT 'info' FROM files WHERE NOT is_test_path AND fan_in <= 2 AND fan_out >= 2) GROUP BY severity")
+def severe_findings(t: Tables) -> DataFrame:
+    """Findings of two rules by severity, through the scan's own tables."""
+    from dataclasses import replace
+
+    from codeloom.plans.scan import sql_findings
+
+    t.register(t.files.sparkSession)
+    rules = [replace(R.BY_ID[i], thresholds={**R.BY_ID[i].thresholds, **_LOWER[i]}) for i in ("file-complexity-hotspot", "low-fan-in-high-fan-out-file")]
+    findings, _ = sql_findings(t.files.sparkSession, rules)
+    return findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Imports over the parts: a part imports the one before it, by path, by dotted path, by name or from nowhere.
+_IMPORTS = """SELECT p.id, p.id AS file_id, 9 AS kind, CASE p.id % 4 WHEN 0 THEN './' || regexp_extract(q.path, '([^/]*)$', 1) WHEN 1 THEN replace(regexp_replace(q.path, '[.][^./]{1,4}$', ''), '/', '.')
+  WHEN 2 THEN regexp_replace(regexp_extract(q.path, '([^/]*)$', 1), '[.][^./]{1,4}$', '') ELSE 'no.such.thing' END AS name FROM p_paths p JOIN p_paths q ON q.id = p.id - 5"""
+
+
+@query(
+    "import_edges",
+    f"imp AS ({_IMPORTS}), me AS (SELECT i.id, i.name, f.lang, f.path FROM imp i JOIN files f ON f.id = i.file_id), bare AS (SELECT id AS to_id, lang, path, regexp_replace(path, '[.][^./]{{1,4}}$', '') AS b FROM files), "
+    # by path from the importer's folder, whatever the language
+    "near AS (SELECT me.id, to_id, 0 AS step FROM me JOIN bare ON bare.path = regexp_extract(me.path, '^(.*)/', 1) || substr(me.name, 2) WHERE me.name LIKE './%' AND to_id <> me.id), "
+    # by the last 6 to 2 parts of a dotted path, the longest first
+    "parts AS (SELECT id, lang, list_filter(string_split_regex(regexp_replace(regexp_replace(name, '^([.]/)+', ''), '(/[^/]{1,60})[.](js|jsx|ts|tsx|mjs|py|rb|php|h|hpp|lua|sol)$', '\\1'), '[./:]+'), lambda x: x <> '') AS ps FROM me), "
+    "tails AS (SELECT id, lang, k, array_to_string(ps[len(ps) - k + 1:], '/') AS t FROM parts, (SELECT unnest([2, 3, 4, 5, 6]) AS k) WHERE k <= len(ps)), "
+    "by_tail AS (SELECT id, k, list_distinct(list(to_id)) AS found FROM tails JOIN bare ON (b = t OR suffix(b, '/' || t)) AND tails.lang IS NOT DISTINCT FROM bare.lang AND to_id <> id GROUP BY id, k), "
+    "tail AS (SELECT id, arg_max(found[1], k) AS to_id, 1 AS step FROM by_tail WHERE len(found) = 1 GROUP BY id), "
+    # by the name of a file, from the last part backwards; several end the search
+    "stems AS (SELECT id, lang, i, ps[len(ps) - i] AS s FROM parts, (SELECT unnest(range(0, 8)) AS i) WHERE i < len(ps)), "
+    "by_stem AS (SELECT id, i, list_distinct(list(to_id)) AS found FROM stems JOIN bare ON regexp_extract(b, '([^/]*)$', 1) = s AND stems.lang IS NOT DISTINCT FROM bare.lang AND to_id <> id GROUP BY id, i), "
+    "stem AS (SELECT id, arg_min(CASE WHEN len(found) = 1 THEN found[1] END, i) AS to_id, 2 AS step FROM by_stem GROUP BY id), "
+    "best AS (SELECT id, arg_min(to_id, step) AS to_id FROM (SELECT * FROM near UNION ALL SELECT * FROM tail UNION ALL SELECT * FROM stem) GROUP BY id)",
+    "SELECT me.id AS from_entity_id, me.id AS from_file_id, best.to_id AS to_file_id FROM me LEFT JOIN best USING (id) WHERE me.lang IS NOT NULL",
+)
+def import_edges(t: Tables) -> DataFrame:
+    known = t.files.filter("lang is not null")
+    entities = t.files.sparkSession.sql(_IMPORTS).join(known.select("id"), "id", "left_semi")
+    return S.resolve_imports(t.files, entities).select("from_entity_id", "from_file_id", "to_file_id")
+
+
+#: Calls of methods by receivers whose type the file declares, over the classes of the projection.
+_CALLS = """SELECT id, 6 AS kind, 'v' || CAST(s % 5 AS STRING) || '.m' || CAST(q % 30 AS STRING) AS name, p AS file_id, CAST(NULL AS STRING) AS enclosing_function, CAST(NULL AS STRING) AS owner_type FROM (SELECT o * 10 + n AS id, * FROM p_lines WHERE n = 1) x
+  UNION ALL SELECT id, 18, 'K' || CAST(s % 40 AS STRING), p, 'v' || CAST(s % 5 AS STRING), NULL FROM (SELECT o * 10 + n AS id, * FROM p_lines WHERE n = 2) x
+  UNION ALL SELECT id, 0, 'm' || CAST(q % 30 AS STRING), p, NULL, 'K' || CAST(s % 40 AS STRING) FROM (SELECT o * 10 + n AS id, * FROM p_lines WHERE n = 3 AND o % 97 = 0) x
+  UNION ALL SELECT id, CASE WHEN s % 4 = 0 THEN 2 ELSE 1 END, 'K' || CAST(s % 40 AS STRING), p, NULL, NULL FROM (SELECT o * 10 + n AS id, * FROM p_lines WHERE n = 4) x
+  UNION ALL SELECT id, 16, 'K' || CAST(4 * (s % 10) AS STRING), p, 'K' || CAST(s % 40 AS STRING), NULL FROM (SELECT o * 10 + n AS id, * FROM p_lines WHERE n = 5 AND o % 31 = 0) x"""
+
+
+@query(
+    "typed_calls",
+    f"ents AS ({_CALLS}), call AS (SELECT e.id, e.file_id, split_part(e.name, '.', 1) AS recv, split_part(e.name, '.', 2) AS key FROM ents e JOIN files f ON f.id = e.file_id WHERE e.kind = 6 AND f.lang = 'java'), "
+    "ty AS (SELECT c.id, c.key, (SELECT arg_max(v.name, v.id) FROM ents v WHERE v.kind = 18 AND v.file_id = c.file_id AND v.enclosing_function = c.recv) AS type FROM call c), "
+    "owners AS (SELECT DISTINCT name AS type, name AS owner FROM ents WHERE kind IN (1, 2) UNION SELECT name, enclosing_function FROM ents WHERE kind = 16), "
+    "hits AS (SELECT ty.id, list_distinct(list(m.id)) AS found FROM ty JOIN owners USING (type) JOIN ents m ON m.kind = 0 AND m.owner_type = owners.owner AND m.name = ty.key WHERE owners.owner NOT IN (SELECT name FROM ents WHERE kind = 2) GROUP BY ty.id)",
+    "SELECT id, found[1] AS found FROM hits WHERE len(found) = 1",
+)
+def typed_calls(t: Tables) -> DataFrame:
+    """Calls bound by the type of their receiver."""
+    entities = cut(t.files.sparkSession.sql(_CALLS), "calls")
+    calls = S.receivers(entities).join(t.files.filter("lang = 'java'").select(F.col("id").alias("file_id"), "lang"), "file_id")
+    return S.type_calls(calls, S.typed_receivers(calls, entities), entities)
 
 
 @query("louvain_communities")
