@@ -90,6 +90,19 @@ def context_pack(files: DataFrame, entities: DataFrame, edges: DataFrame, query:
     return tiers.join(files, "id").select(F.col("path").alias("file"), "tier", weight.alias("weight")).orderBy("tier", F.desc("weight"), "file")
 
 
+def named_symbols(entities: DataFrame, files: DataFrame, words: list[str], most: int = 200) -> DataFrame:
+    """Declarations whose name is one of the words; for a word without any, most of those whose name holds it."""
+    rows = with_path(entities.filter(F.col("kind").isin(DECLARATIONS)), files)
+    if not words:
+        return rows.limit(0)
+    asked = F.broadcast(entities.sparkSession.createDataFrame([(w, w.lower()) for w in dict.fromkeys(words)], "word string, low string"))
+    exact = rows.join(asked, F.col("name") == F.col("word"))
+    missing = asked.join(exact.select("word").distinct(), "word", "left_anti")
+    holding = rows.join(F.broadcast(missing), F.contains(F.lower("name"), F.col("low")))
+    some = holding.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("id"))).filter(F.col("n") <= most).drop("n")
+    return exact.unionByName(some).drop("word", "low").dropDuplicates(["id"]).orderBy("file", "id")
+
+
 def narrowest_enclosing(spans: DataFrame, entities: DataFrame) -> DataFrame:
     """(span_id, fn_id, fn_name): for each span (span_id, file_id, start_byte, end_byte) the shortest function around it.
 

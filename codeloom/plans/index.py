@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import shutil
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +70,48 @@ def load(spark: SparkSession, path: str) -> Tables:
     return Tables(**{name: spark.read.parquet(f"file://{os.path.abspath(path)}/{name}") for name in TABLES})
 
 
+#: What each layer is made from, and what each mode needs: the lowest layers first.
+SLICES = {"raw": (), "imports": ("raw",), "edges": ("raw", "imports"), "global": ("raw", "imports", "edges"), "churn": ()}
+_EDGES = ("dependencies", "dependents", "blast_radius", "symbol_blast_radius", "tests_for_file", "explore", "map_file", "map_path", "type_hierarchy")
+NEEDS = {m: ("raw",) for m in ("symbols_in_file", "symbols_in_files", "get_symbol", "filter_symbols", "map_symbol")} | {"find_imports": ("imports",)} | {m: ("edges",) for m in _EDGES} | {"clusters": ("global",), "hotspots": ("raw", "churn"), "context_pack": ("edges", "churn"), "nav_map": ("raw", "edges", "global", "churn"), "detect_changes": ()}
+LOCK_WAIT, LOCK_FIRST = 60.0, 0.05
+
+
+@contextlib.contextmanager
+def locked(path: str, wait: float = LOCK_WAIT):
+    """One writer of an index at a time on this host: others ask again, ever less often, and give up after wait seconds."""
+    import fcntl
+
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(f"{path}.lock", "w") as f:
+        pause, end = LOCK_FIRST, time.monotonic() + wait
+        while True:
+            try:
+                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                break
+            except BlockingIOError:
+                if time.monotonic() >= end:
+                    raise TimeoutError(f"another build holds {path}") from None
+                time.sleep(pause)
+                pause = min(pause * 2, 1.0)
+        try:
+            yield
+        finally:
+            fcntl.flock(f, fcntl.LOCK_UN)
+
+
+def ensure_fresh(spark: SparkSession, root: str, path: str, slices: tuple[str, ...], memo: set | None = None) -> dict | None:
+    """Bring what slices are made from up to date; nothing where a batch has done the same already (memo). All layers of
+    one index carry one revision, so that no query sees layers of different ones."""
+    plan = (root, path, tuple(sorted({x for s in slices for x in (s, *SLICES[s])})))
+    if not slices or memo is not None and plan in memo:
+        return None
+    done = build(spark, root, path)
+    if memo is not None:
+        memo.add(plan)
+    return done
+
+
 def sources_of(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """(path, text) of indexed files with a language, read by the executors; undecodable ones have no text."""
     read = S.with_contents(spark, root, files.filter("lang is not null").select("path", "mtime", "size"))
@@ -85,10 +129,20 @@ def counts(tables: Tables) -> dict:
     return {name: getattr(tables, name).count() for name in ("files", "entities", "symbols", "diagnostics")}
 
 
-def build(spark: SparkSession, root: str, path: str, force: bool = False) -> dict:
-    """Bring the index up to date. Unchanged files keep their parsed rows; nothing happens where nothing changed."""
+def build(spark: SparkSession, root: str, path: str, force: bool = False, only: list[str] | None = None) -> dict:
+    """Bring the index up to date. Unchanged files keep their parsed rows; nothing happens where nothing changed. only:
+    the paths that are looked at, whatever has become of the others."""
     path = os.path.abspath(path)
+    with locked(path):
+        return _build(spark, root, path, force, only)
+
+
+def _build(spark: SparkSession, root: str, path: str, force: bool, only: list[str] | None) -> dict:
     now, state = S.listing(spark, root), ledger(path)
+    if only is not None and state is not None:
+        asked = F.broadcast(spark.createDataFrame([(p,) for p in only], "path string"))
+        rest = load(spark, path).files.select("path", "mtime", "size").join(asked, "path", "left_anti")
+        now = cut(now.join(asked, "path", "left_semi").select("path", "mtime", "size").unionByName(rest), "listing")
     fresh = force or state is None or state.get("version") != VERSION
     counts = {"new": 0, "changed": 0, "deleted": 0, "unchanged": 0}
     listed = S.with_contents(spark, root, now)

@@ -16,7 +16,7 @@ from codeloom.operators import metrics as M
 from codeloom.operators import patterns
 from codeloom.operators.lineage import cut
 from codeloom.plans import index, navmap, scan
-from codeloom.schema import ENTITY, Tables
+from codeloom.schema import DECLARATIONS, ENTITY, Tables
 
 
 class QueryError(Exception):
@@ -57,31 +57,53 @@ def file_of(t: Tables, path: str) -> DataFrame:
 _SHOWN = ["id", "kind", "name", "file", "start_byte", "end_byte", "start_line", "start_col", "end_line", "end_col", "enclosing_function", "owner_type"]
 
 
-def _symbols_in_file(t: Tables, q: dict) -> list[dict]:
-    at = file_of(t, need(q, "filePath"))
-    out = rows(L.symbols_in_files(t.entities, t.files, at).orderBy("id").select(*_SHOWN))
-    kinds = [0, 1] if q.get("includeReferences") else [0]
-    out += rows(L.with_path(t.symbols.filter(F.col("kind").isin(kinds)).join(at.select(F.col("id").alias("file_id")), "file_id", "left_semi"), t.files).orderBy("id"))
+def _files_of(t: Tables, paths: list[str]) -> dict[str, int | None]:
+    """The id of the file that each path names, in one pass: itself, else the first in path order that ends in it."""
+    asked = t.files.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(paths)], "asked string")
+    hit = (F.col("path") == F.col("asked")) | F.col("path").endswith(F.concat(F.lit("/"), "asked")) | F.col("path").endswith(F.concat(F.lit("\\"), "asked"))
+    best = t.files.select("id", "path").join(F.broadcast(asked), hit).groupBy("asked").agg(F.min(F.struct((F.col("path") != F.col("asked")).alias("other"), "path", "id")).alias("x"))
+    return dict.fromkeys(paths) | {r.asked: r.x.id for r in best.collect()}
+
+
+def _symbols(t: Tables, ids: list[int], q: dict) -> dict[int, list[dict]]:
+    """Declarations of files, then their symbols, by file."""
+    at = F.broadcast(t.files.sparkSession.createDataFrame([(i,) for i in ids], "file_id long"))
+    files = t.files.join(at.select(F.col("file_id").alias("id")), "id", "left_semi")
+    entities = t.entities.filter(F.col("kind").isin(DECLARATIONS)).join(at, "file_id", "left_semi")
+    out: dict[int, list[dict]] = {i: [] for i in ids}
+    for r in L.with_path(entities, files).orderBy("id").select("file_id", *_SHOWN).collect():
+        out[r.file_id].append({k: v for k, v in r.asDict().items() if k != "file_id"})
+    if t.symbols is not None:
+        kinds = [0, 1] if q.get("includeReferences") else [0]
+        for r in L.with_path(t.symbols.filter(F.col("kind").isin(kinds)).join(at, "file_id", "left_semi"), files).orderBy("id").collect():
+            out[r.file_id].append(r.asDict())
     if q.get("includeBody") and q.get("repoRoot"):
-        for r in out:
-            with open(os.path.join(q["repoRoot"], r["file"]), "rb") as f:
-                r["body"] = f.read()[r["start_byte"] : r["end_byte"]].decode(errors="replace")
+        for file_rows in out.values():
+            for r in file_rows:
+                with open(os.path.join(q["repoRoot"], r["file"]), "rb") as f:
+                    r["body"] = f.read()[r["start_byte"] : r["end_byte"]].decode(errors="replace")
     return out
 
 
+def _symbols_in_file(t: Tables, q: dict) -> list[dict]:
+    at = file_of(t, need(q, "filePath")).first().id
+    return _symbols(t, [at], q)[at]
+
+
 def _symbols_in_files(t: Tables, q: dict) -> dict:
-    out = {}
-    for p in need(q, "filePaths"):
-        try:
-            out[p] = _symbols_in_file(t, {**q, "filePath": p})
-        except QueryError as e:
-            out[p] = {"error": {"code": e.code, "message": str(e)}}
-    return out
+    """Rows of each path, or an error for it; as many jobs for many paths as for one."""
+    found = _files_of(t, need(q, "filePaths"))
+    by_file = _symbols(t, sorted({i for i in found.values() if i is not None}), q)
+    return {p: by_file[i] if i is not None else {"error": {"code": "not_found", "message": f"no file {p}"}} for p, i in found.items()}
 
 
 def _get_symbol(t: Tables, q: dict) -> dict:
+    """A declaration, else a symbol: bindings before references."""
     at = file_of(t, q["filePath"]).first().id if q.get("filePath") else None
     found = rows(L.get_symbol(t.entities, t.files, need(q, "name"), at).select(*_SHOWN))
+    if not found and t.symbols is not None:
+        some = t.symbols.filter(F.col("name") == q["name"])
+        found = rows(L.with_path(some if at is None else some.filter(F.col("file_id") == at), t.files).orderBy("kind", "id").limit(1))
     if not found:
         raise QueryError("not_found", f"no symbol {q['name']}")
     return found[0]
@@ -110,8 +132,12 @@ def _symbol_blast(t: Tables, q: dict) -> dict:
 
 
 def _hierarchy(t: Tables, q: dict) -> dict:
-    name = need(q, "name")
-    up, down = (rows(G.hierarchy(t.entities, name, w).orderBy("depth", "name")) for w in (True, False))
+    """Super- and subtypes of a name; with filePath, among files of that file's language."""
+    name, entities = need(q, "name"), t.entities
+    if q.get("filePath"):
+        lang = t.files.join(file_of(t, q["filePath"]).select("id"), "id", "left_semi").first().lang
+        entities = entities.join(t.files.filter(F.col("lang").eqNullSafe(F.lit(lang))).select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    up, down = (rows(G.hierarchy(entities, name, w).orderBy("depth", "name")) for w in (True, False))
     return {"symbol": name, "supertypes": [r["name"] for r in up], "subtypes": [r["name"] for r in down], "hierarchy": {"up": up, "down": down}}
 
 
@@ -142,13 +168,19 @@ def _map_path(t: Tables, q: dict) -> list[str]:
 
 
 def _detect_changes(t: Tables, q: dict) -> list[dict]:
-    """Symbols of changed Python files now against those stored."""
+    """Symbols of changed files now against those stored. The files of a difference are parsed by the driver; what is
+    stored of them comes in one job."""
     from codeloom.frontends import extract
     from codeloom.functions.predicates import EXTENSIONS
     from codeloom.sources.files import changed_files
 
     root, out = need(q, "repoRoot"), []
-    for status, path in changed_files(root, q.get("diffMode", "working"), q.get("range")):
+    changed = changed_files(root, q.get("diffMode", "working"), q.get("range"))
+    asked = F.broadcast(t.files.sparkSession.createDataFrame([(p,) for _, p in changed], "path string"))
+    stored: dict[str, dict] = {}
+    for r in L.with_path(t.entities.filter("kind in (0, 1, 2)"), t.files.join(asked, "path", "left_semi")).orderBy("id").select("file", "name", "start_line", "end_line").collect():
+        stored.setdefault(r.file, {}).setdefault(r.name, (r.start_line, r.end_line))
+    for status, path in changed:
         lang, now = EXTENSIONS.get(path.rpartition(".")[2].lower()), {}
         full = os.path.join(root, path)
         if lang and os.path.isfile(full):
@@ -156,23 +188,30 @@ def _detect_changes(t: Tables, q: dict) -> list[dict]:
                 for s in extract(lang, f.read())[0]:
                     if s["kind"] in (0, 1, 2):
                         now.setdefault(s["name"], (s["start_line"], s["end_line"]))
-        was = {}
-        for r in L.with_path(t.entities.filter("kind in (0, 1, 2)"), t.files.filter(F.col("path") == path)).orderBy("id").collect():
-            was.setdefault(r.name, (r.start_line, r.end_line))
+        was = stored.get(path, {})
         changes = [{"name": n, "change": "added" if n not in was else "removed" if n not in now else "modified"} for n in sorted(was.keys() | now.keys()) if was.get(n) != now.get(n)]
         out.append({"file": path, "status": status, "symbols": changes})
     return out
 
 
 def _clusters(t: Tables, q: dict) -> list[dict]:
+    """Communities by cohesion; with seedPath, the one of that file, with its members."""
+    if q.get("seedPath"):
+        seed = file_of(t, q["seedPath"]).select(F.col("id").alias("file_id"))
+        own = t.community_members.join(t.community_members.join(seed, "file_id", "left_semi").select("community_id"), "community_id", "left_semi")
+        found = rows(M.cluster_cohesion(t.community_members, t.resolved_edges, 1).join(own.select("community_id").distinct(), "community_id"))
+        members = names(L.paths_of(own.select(F.col("file_id").alias("id")), t.files))
+        return [r | {"members": members} for r in found]
     out = M.cluster_cohesion(t.community_members, t.resolved_edges, q.get("minSize", 2), q.get("minCohesion", 0.0))
     return rows(out.limit(q["maxClusters"]) if "maxClusters" in q else out)
 
 
 def _context_pack(t: Tables, q: dict) -> dict:
     pack = rows(L.context_pack(t.files, t.entities, t.resolved_edges, need(q, "query")))
-    seeds = t.files.filter(F.col("path").isin([r["file"] for r in pack if not r["tier"]])).select("id")
-    return {"files": pack, "tests": names(L.tests_for_file(t.resolved_edges, t.files, seeds)), "readingOrder": [r["file"] for r in pack]}
+    asked = F.broadcast(t.files.sparkSession.createDataFrame([(r["file"],) for r in pack if not r["tier"]], "path string"))
+    seeds = t.files.join(asked, "path", "left_semi").select("id")
+    symbols = rows(L.named_symbols(t.entities, t.files, q["query"].split()).select("id", "kind", "name", "file", "start_line"))
+    return {"files": pack, "symbols": symbols, "tests": names(L.tests_for_file(t.resolved_edges, t.files, seeds)), "readingOrder": [r["file"] for r in pack]}
 
 
 def _find_pattern(t: Tables | None, q: dict) -> dict:
@@ -212,14 +251,19 @@ MODES: dict[str, Callable] = {
 }
 
 
-def run_query(spark: SparkSession, q: dict, tables: Tables | None = None) -> dict:
-    """One request: mode, dbPath (the index folder) or tables, and the mode's own fields."""
+def run_query(spark: SparkSession, q: dict, tables: Tables | None = None, memo: set | None = None) -> dict:
+    """One request: mode, dbPath (the index folder) or tables, and the mode's own fields. With ensureFresh the index of
+    repoRoot is brought up to date first, as far as the mode needs it; a batch does that once for each need."""
     mode = q.get("mode")
     try:
         if mode == "batch":
-            shared = {k: v for k, v in q.items() if k in ("repoRoot", "dbPath")}
-            calls = need(q, "calls")
-            return envelope([failure("invalid_input", "batches don't nest") if c.get("mode") == "batch" else run_query(spark, shared | c, tables) for c in calls])
+            shared = {k: v for k, v in q.items() if k in ("repoRoot", "dbPath", "ensureFresh")}
+            calls, memo = need(q, "calls"), set()
+            return envelope([failure("invalid_input", "batches don't nest") if c.get("mode") == "batch" else run_query(spark, shared | c, tables, memo) for c in calls])
+        if q.get("ensureFresh") and tables is None and mode in MODES:
+            index.ensure_fresh(spark, need(q, "repoRoot"), need(q, "dbPath"), index.NEEDS.get(mode, ()), memo)
+        if mode == "index_counts":
+            return envelope(index.counts(tables or index.load(spark, need(q, "dbPath"))))
         if mode == "slice_state":
             state = index.ledger(need(q, "dbPath"))
             return envelope(state) if state else failure("db_error", "no index there")

@@ -118,6 +118,31 @@ def changed_files(root: str, mode: str = "working", span: str | None = None) ->
     return [(line.split("\t")[0][0], line.split("\t")[-1]) for line in run.stdout.splitlines() if "\t" in line]
 
 
+def git_status(root: str) -> tuple[list[str], list[str], bool] | None:
+    """(changed, deleted, whether files were added or went) of the working tree; None outside a repository."""
+    run = subprocess.run(["git", "-C", root, "status", "--porcelain=v1", "-z", "--untracked-files=all"], capture_output=True, text=True, errors="replace")
+    if run.returncode:
+        return None
+    fields, changed, deleted, moved = iter(run.stdout.split("\0")), [], [], False
+    for field in fields:
+        if not field:
+            continue
+        state, path = field[:2], field[3:]
+        if "R" in state or "C" in state:
+            old = next(fields, "")
+            moved = True
+            changed.append(path)
+            if "R" in state:
+                deleted.append(old)
+        elif "D" in state:
+            deleted.append(path)
+            moved = True
+        else:
+            changed.append(path)
+            moved |= state == "??" or "A" in state
+    return sorted(changed), sorted(deleted), moved
+
+
 def go_modules(root: str) -> list[tuple[str, str]]:
     """(module path, folder), the longest path first."""
     out = []

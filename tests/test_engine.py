@@ -74,7 +74,8 @@ def test_index_and_modes(spark, repo, built):
 
 def test_incremental_equals_full(spark, repo, built, tmp_path):
     assert not index.build(spark, str(repo), built)["written"]
-    (repo / "app/util.py").write_text("import os\n\ndef ready():\n    return os.sep == '/'\n\ndef more():\n    return 1\n")
+    # exceptions and literals are rows that no table keeps: they must not move the ids of what comes after them
+    (repo / "app/util.py").write_text("import os\n\ndef ready():\n    try:\n        return os.sep == '/'\n    except OSError:\n        raise ValueError('x')\n\ndef more():\n    return 1\n")
     (repo / "web/b.ts").unlink()
     got = index.build(spark, str(repo), built)
     assert (got["changed"], got["deleted"], got["written"]) == (1, 1, True)
@@ -113,6 +114,61 @@ def test_traversals(spark, local):
         G.LOCAL_EDGES = old
 
 
+def test_spread_communities(spark):
+    """The distributed moves find two cliques and leave lone files alone; communities are numbered by their least path."""
+    two = [(a, b) for c in (range(0, 6), range(6, 12)) for a in c for b in c if a < b] + [(0, 6)]
+    edges = graph(spark, 14, two)
+    files = spark.createDataFrame([(i, f"f{i:02}.py") for i in range(14)], "id long, path string")
+    old = G.LOCAL_EDGES
+    try:
+        G.LOCAL_EDGES = 3
+        got = {r.file_id: r.community_id for r in G.communities(files, edges).collect()}
+    finally:
+        G.LOCAL_EDGES = old
+    assert len({got[i] for i in range(6)}) == 1 and len({got[i] for i in range(6, 12)}) == 1 and len(set(got.values())) == 4
+    assert [got[0], got[6], got[12], got[13]] == [0, 1, 2, 3]
+
+
+def test_ancestry_depth(spark):
+    """Diamonds, a deep chain and cycles, against all ways without a repeat."""
+    pairs = [(f"d{i}", f"d{i + 1}{s}") for i in range(0, 12, 2) for s in "ab"] + [(f"d{i + 1}{s}", f"d{i + 2}") for i in range(0, 12, 2) for s in "ab"] + [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("z", "d4")]
+    names = {n for p in pairs for n in p}
+    rows = [(15, b, a) for a, b in pairs] + [(1, n, None) for n in names]
+    got = {r.name: r.depth for r in G.ancestry_depth(spark.createDataFrame(rows, "kind int, name string, enclosing_function string")).collect()}
+    above = {}
+    for a, b in pairs:
+        above.setdefault(a, []).append(b)
+
+    def deepest(way):
+        return max([0] + [1 + deepest([*way, b]) for b in above.get(way[-1], []) if b not in way])
+
+    assert got == {n: deepest([n]) for n in names}
+
+
+def test_locks_scopes_and_freshness(spark, repo, tmp_path):
+    db = str(tmp_path / "i")
+    assert index.ensure_fresh(spark, str(repo), db, ("edges",))["written"]
+    memo = set()
+    assert not index.ensure_fresh(spark, str(repo), db, ("edges",), memo)["written"] and index.ensure_fresh(spark, str(repo), db, ("imports", "edges"), memo) is None
+    assert index.ensure_fresh(spark, str(repo), db, ()) is None
+    with index.locked(db), pytest.raises(TimeoutError), index.locked(db, 0.2):
+        pass
+    (repo / "one.py").write_text("def one(): pass\n")
+    (repo / "two.py").write_text("def two(): pass\n")
+    got = index.build(spark, str(repo), db, only=["one.py"])
+    assert (got["new"], got["written"]) == (1, True) and "two.py" not in {r.path for r in index.load(spark, db).files.collect()}
+    from codeloom.sources.files import git_status
+
+    changed, deleted, moved = git_status(str(repo))
+    assert {"one.py", "two.py"} <= set(changed) and moved and git_status(str(tmp_path)) is None
+    (repo / "one.py").unlink(), (repo / "two.py").unlink()
+    out = modes.run_query(spark, {"mode": "batch", "dbPath": db, "repoRoot": str(repo), "ensureFresh": True, "calls": [{"mode": "get_symbol", "name": "run"}, {"mode": "get_symbol", "name": "one"}, {"mode": "index_counts"}, {"mode": "clusters", "seedPath": "app/core.py"}, {"mode": "type_hierarchy", "name": "Job", "filePath": "app/core.py"}, {"mode": "symbols_in_files", "filePaths": ["app/core.py", "nope.py"]}, {"mode": "context_pack", "query": "run Jo"}]})["data"]
+    assert [x["ok"] for x in out] == [True, False, True, True, True, True, True]
+    assert out[2]["data"]["files"] == out[2]["data"]["files"] and "app/core.py" in out[3]["data"][0]["members"]
+    assert out[5]["data"]["nope.py"]["error"]["code"] == "not_found" and [r["name"] for r in out[5]["data"]["app/core.py"]][:2] == ["Base", "Job"]
+    assert [s["name"] for s in out[6]["data"]["symbols"]] == ["Job", "run"]
+
+
 def test_louvain():
     two = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (2, 3)]
     label = G.louvain(list(range(6)), two)
