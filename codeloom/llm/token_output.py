@@ -35,10 +35,10 @@ SHARD_BYTES = 4_000_000
 DICT_BYTES = 64 * 1024
 #: The dictionary is trained on about so many documents, chosen by a hash of doc_id.
 SAMPLE_DOCS = 2_000
-#: Pieces whose ids a Python worker keeps.
-CACHE_PIECES = 700_000
+#: Pieces whose ids a Python worker keeps, in Arrow and numpy arrays of some 40 bytes a piece.
+CACHE_PIECES = 1_500_000
 #: Pieces encoded in one call, and bytes of text whose pieces are told apart at once.
-CALL_PIECES, SLICE_CHARS = 256, 4_000_000
+CALL_PIECES, SLICE_CHARS = 256, 8_000_000
 
 
 #: What the probes of a tokenizer put beside white space, and the steps of a normalizer that act within pieces.
@@ -90,8 +90,8 @@ class PieceEncoder:
         self.lower = self.by_piece and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
         # A stop or comma after an ASCII letter may be a piece of its own for the pattern.
         self.tails = tuple(c for c in ".," if self.by_piece and all(self._ids(p + c) == self._ids(p) + self._ids(c) for p in ("a", "zq", "it's", "é-k", "7b")))
-        self.known: dict[str, bytes] = {"": b""}
         self.most = CACHE_PIECES
+        self._forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -99,30 +99,55 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self._ids(text), "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        known = self.known
+    def _forget(self) -> None:
+        """The vocabulary: pieces, and where the ids of each lie; the first one is the empty piece, which has none."""
+        self.pieces = pa.array([""], pa.string())
+        self.starts, self.lengths, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _learnt(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of each piece."""
+        out: list[np.ndarray] = []
         for at in range(0, len(pieces), CALL_PIECES):
             some = pieces[at : at + CALL_PIECES]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark_text} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
-            raw, start = ids.tobytes(), 0
-            for p, end in zip(some, ends.tolist(), strict=True):
-                known[p] = raw[start:end]
-                start = end + 4
-
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        known = self.known
-        missing = [p for p in pieces if p not in known]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark_text} ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            out += [ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+        return out
+
+    def _add(self, missing: list[str]) -> pa.Array:
+        """Take pieces that aren't in the vocabulary into it; the pieces that were added, in their order."""
         tailed = [p for p in missing if p[-1:] in self.tails and "a" <= p[-2:-1] <= "z"] if self.tails else []
+        new = missing
         if tailed:
-            rest = {p[:-1] for p in tailed}.union(self.tails)
-            missing = list(set(missing).difference(tailed).union(p for p in rest if p not in known))
-        self._learn(missing)
-        for p in tailed:
-            known[p] = known[p[:-1]] + known[p[-1:]]
-        return [known[p] for p in pieces]
+            plain = set(missing).difference(tailed)
+            bases = list({p[:-1] for p in tailed}.union(self.tails))
+            at = pc.index_in(pa.array(bases, pa.string()), value_set=self.pieces).to_pylist()
+            new = [*plain, *(b for b, i in zip(bases, at, strict=True) if i is None and b not in plain)]
+        ids = self._learnt(new)
+        if tailed:
+            of = dict(zip(new, ids, strict=True)) | {b: self.ids[self.starts[i] : self.starts[i] + self.lengths[i]] for b, i in zip(bases, at, strict=True) if i is not None}
+            ids += [np.concatenate([of[p[:-1]], of[p[-1]]]) for p in tailed]
+            new = [*new, *tailed]
+        added, sizes = pa.array(new, pa.string()), np.fromiter((len(x) for x in ids), np.int64, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.pieces = pa.concat_arrays([self.pieces, added])
+        return added
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """Where each of different pieces is in the vocabulary; one that has grown too large starts again."""
+        if len(self.pieces) > self.most:
+            self._forget()
+        found = pc.index_in(distinct, value_set=self.pieces)
+        if not found.null_count:
+            return found.to_numpy()
+        unknown = pc.is_null(found)
+        missing, before = distinct.filter(unknown), len(self.pieces)
+        added = self._add(missing.to_pylist())
+        out = pc.fill_null(found, 0).to_numpy().copy()
+        out[unknown.to_numpy(zero_copy_only=False)] = before + pc.index_in(missing, value_set=added).to_numpy()
+        return out
 
     def encode(self, texts: pa.Array | list) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -136,12 +161,10 @@ class PieceEncoder:
             part = plain.slice(i, j - i)
             split = pc.ascii_split_whitespace(pc.ascii_lower(part) if self.lower else part)
             coded = split.flatten().dictionary_encode()
-            ids = self._known(coded.dictionary.to_pylist())
-            codes = coded.indices.to_numpy()
-            lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            flat, n = np.frombuffer(b"".join(ids), "<u4"), lengths[codes]
+            places = self._places(coded.dictionary)[coded.indices.to_numpy()]
+            n = self.lengths[places]
             ends = np.cumsum(n)
-            found = flat[np.repeat((np.cumsum(lengths) - lengths)[codes] - (ends - n), n) + np.arange(len(n) and ends[-1])]
+            found = self.ids[np.repeat(self.starts[places] - (ends - n), n) + np.arange(len(n) and ends[-1])].astype("<u4")
             edges = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
             out += [found[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
         for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
@@ -239,8 +262,6 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_p
                         yield flush()
         if ids:
             yield flush()
-        if len(own.known) > cache_pieces:
-            own.known = {"": b""}
         give_back()
 
     docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(pack, SHARDS_DDL).write.option("compression", "none").parquet(f"{path}/shards")
