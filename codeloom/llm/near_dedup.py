@@ -333,8 +333,9 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     labels = link(classes.select("cls", "n", "sig"), sets_of, percent, scratch)
     least = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "least")
-    heads = named.groupBy("label").agg(F.min("least").alias("component"))
-    by_class = scratch.keep(named.join(heads, "label").select("cls", "label", "component"), "by-class")
+    heads = scratch.keep(named.groupBy("label").agg(F.min("least").alias("component")), "heads")
+    # merged, so that a component of very many classes is split
+    by_class = scratch.keep(named.hint("merge").join(heads.hint("merge"), "label").select("cls", "label", "component"), "by-class")
     scratch.clear("signatures", "by-class")
     out = rows.drop("sig").join(by_class, "cls", "left").select("doc_id", "cls", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "key", "label")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
