@@ -189,7 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 
     table = rows.select("key", "labels", "feats", "vals").mapInArrow(frequent, f"key binary, {FEATURE_ROWS}").toArrow().sort_by("key")
     scratch.clear()
-    return train_arrays([(f.values.to_numpy(), v.values.to_numpy(), lab) for f, v, lab in zip(table["feats"], table["vals"], table["labels"].to_pylist(), strict=True)], names, folds)
+    chain = train_arrays([(f.values.to_numpy(), v.values.to_numpy(), lab) for f, v, lab in zip(table["feats"], table["vals"], table["labels"].to_pylist(), strict=True)], names, folds)
+    del table
+    give_back()
+    return chain
 
 
 def _drawn(seed: int, wanted: int, of: int) -> Column:
