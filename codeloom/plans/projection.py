@@ -31,9 +31,11 @@ KINDED = """SELECT o * 10 + n AS id, p AS file_id, o, n, s, q,
   CASE WHEN (o + n) % 16 < 5 THEN 0 WHEN (o + n) % 16 < 9 THEN 6 WHEN (o + n) % 16 < 12 THEN 12 WHEN (o + n) % 16 = 12 THEN 1 WHEN (o + n) % 16 = 13 THEN 2 WHEN (o + n) % 16 = 14 THEN 16 ELSE 15 END AS kind FROM p_lines"""
 
 #: Type k extends type k / 2 (rounded down), so that the hierarchy is a tree seven deep. Every other interface has a name
-#: of its own, and half of the implements entities name the one on the line before, if there is one.
+#: of its own, and half of the implements entities name the one on the line before, if there is one; so it is with some
+#: functions and calls.
 ENTITIES = """SELECT id, kind, file_id,
-  CASE WHEN kind IN (0, 6) THEN CASE WHEN s % 7 = 0 THEN 'getItem' ELSE 'fn' || CAST(s % 40 AS STRING) END WHEN kind = 12 THEN 'if'
+  CASE WHEN kind = 0 AND (o + n) % 16 = 4 AND q % 2 = 1 THEN 'fu' || CAST(id AS STRING) WHEN kind = 6 AND (o + n) % 16 = 5 THEN 'fu' || CAST(id - 1 AS STRING)
+       WHEN kind IN (0, 6) THEN CASE WHEN s % 7 = 0 THEN 'getItem' ELSE 'fn' || CAST(s % 40 AS STRING) END WHEN kind = 12 THEN 'if'
        WHEN kind = 2 AND q % 2 = 0 THEN 'I' || CAST(id AS STRING) WHEN kind = 16 AND q % 2 = 0 THEN 'I' || CAST(id - 1 AS STRING)
        WHEN kind IN (1, 2) THEN 'T' || CAST(s % 64 AS STRING) WHEN kind = 15 THEN 'T' || CAST(CAST((s % 64 - s % 2) / 2 AS BIGINT) AS STRING) ELSE 'T' || CAST(o % 64 AS STRING) END AS name,
   n * 1000 + 10 * q AS start_byte, n * 1000 + 10 * q + CASE WHEN kind = 0 THEN 400 WHEN kind IN (1, 2) THEN 3000 ELSE 5 END AS end_byte,

@@ -261,14 +261,19 @@ def type_edges(t: Tables) -> DataFrame:
 
 
 @query(
-    "call_edges_same_file",
-    "",
-    "SELECT c.id AS from_entity_id, min(f.id) AS to_entity_id FROM entities c JOIN entities f ON f.kind IN (0, 1) AND f.file_id = c.file_id AND f.name = c.name WHERE c.kind = 6 GROUP BY c.id",
+    "call_edges",
+    "call AS (SELECT e.id, e.file_id, e.name, f.lang, f.is_test_path FROM entities e JOIN files f ON f.id = e.file_id WHERE e.kind = 6), fn AS (SELECT e.id, e.file_id, e.name, f.lang, f.is_test_path FROM entities e JOIN files f ON f.id = e.file_id WHERE e.kind IN (0, 1)), "
+    "same AS (SELECT call.id, min(fn.id) AS t FROM call JOIN fn USING (file_id, name) GROUP BY call.id), "
+    "imp AS (SELECT DISTINCT from_file_id AS file_id, to_file_id FROM resolved_edges WHERE kind = 1 AND resolved), "
+    "across AS (SELECT call.id, list_distinct(list(fn.id)) AS ts FROM call JOIN imp USING (file_id) JOIN fn ON fn.file_id = imp.to_file_id AND fn.name = call.name GROUP BY call.id), "
+    f"wide AS (SELECT name, list(id) AS ts FROM fn WHERE lang IN ('{"', '".join(S.REPO_WIDE)}') AND NOT is_test_path AND name NOT IN ('{"', '".join(P.OBJECT_METHODS)}') GROUP BY name), "
+    f"pick AS (SELECT call.*, coalesce(same.t, CASE WHEN len(across.ts) = 1 THEN across.ts[1] END, CASE WHEN call.lang IN ('{"', '".join(S.REPO_WIDE)}') AND len(wide.ts) = 1 THEN wide.ts[1] END) AS t FROM call LEFT JOIN same USING (id) LEFT JOIN across USING (id) LEFT JOIN wide USING (name))",
+    "SELECT p.id AS from_entity_id, fn.id AS to_entity_id, fn.file_id AS to_file_id FROM pick p LEFT JOIN fn ON fn.id = p.t AND NOT (fn.is_test_path AND NOT p.is_test_path)",
 )
-def call_edges_same_file(t: Tables) -> DataFrame:
-    none = t.resolved_edges.limit(0).select("from_file_id", "to_file_id")
-    files = t.files.withColumn("lang", F.lit("python")).withColumn("is_test_path", F.lit(False))
-    return S.resolve_calls(files, t.entities, none).filter("to_entity_id is not null").select("from_entity_id", "to_entity_id")
+def call_edges(t: Tables) -> DataFrame:
+    imports = t.resolved_edges.filter("kind = 1 and resolved")
+    entities = t.entities.withColumns({c: F.lit(None).cast("string") for c in ("owner_type",)})
+    return S.resolve_calls(t.files, entities, imports).select("from_entity_id", "to_entity_id", "to_file_id")
 
 
 @query(

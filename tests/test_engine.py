@@ -300,3 +300,33 @@ def test_clone_bands_have_their_members(spark, sf):
         members.setdefault((r.band, r.value), []).append(r.id)
     assert bands and {k: (len(v), min(v)) for k, v in members.items()} == bands
     assert all(len(v) == len(set(v)) for v in members.values())
+
+
+def test_watches(spark, repo, tmp_path):
+    import datetime as dt
+
+    from codeloom.streaming import watch as W
+
+    db = str(tmp_path / "db")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(W.CHANGES).parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("app/core.py", dt.datetime(2024, 1, 1))], W.CHANGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    watches = W.Watches()
+    assert watches.start(spark, stream, str(repo), db, str(tmp_path / "ck")) and not watches.start(spark, stream, str(repo), db, str(tmp_path / "ck"))
+    watches.running[str(repo)].processAllAvailable()
+    assert index.ledger(db)["rev"] == 1 and [(x["repo"], x["active"], x["problem"]) for x in watches.list()] == [(str(repo), True, None)]
+    assert watches.stop() == [{"repo": str(repo), "outcome": "stopped"}] and watches.stop("x") == [{"repo": "x", "outcome": "not running"}] and watches.list() == []
+
+
+def test_pattern_search_against_plain_tokens(spark, sf):
+    """The registered search, against a walk over each text's tokens."""
+    from codeloom.frontends.tokens import tokenize
+    from codeloom.plans.queries import QUERIES
+
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        tokens, _ = tokenize("go", r.text or "")
+        for i, t in enumerate(tokens[:-2]):
+            if t.text == "token" and tokens[i + 1].text == "=" and (i == 0 or tokens[i - 1].text not in (".", "::", "?.", "->")):
+                want.add((r.doc_id, len(r.text[: t.start].encode())))
+    assert {(r.doc_id, r.start_byte) for r in QUERIES["pattern_search"](spark, sf).collect()} == want
