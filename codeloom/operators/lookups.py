@@ -34,7 +34,7 @@ def get_symbol(entities: DataFrame, files: DataFrame, name: str, file_id: int |
 
 def symbols_in_files(entities: DataFrame, files: DataFrame, ids: DataFrame) -> DataFrame:
     """Declarations of the files of ids (id), by file and entity id."""
-    return with_path(entities.filter(F.col("kind").isin(DECLARATIONS)).join(F.broadcast(ids.select(F.col("id").alias("file_id"))), "file_id", "left_semi"), files)
+    return with_path(entities.filter(F.col("kind").isin(DECLARATIONS)).join(ids.select(F.col("id").alias("file_id")), "file_id", "left_semi"), files)
 
 
 def language_filter(lang: Column, name: str | None) -> Column:

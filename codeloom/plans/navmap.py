@@ -16,7 +16,8 @@ from codeloom.operators.lineage import cut
 from codeloom.operators.lookups import with_path
 from codeloom.schema import ENTITY, Tables
 
-#: (section, rows that are kept however small the budget, in order of importance).
+#: (section, rows that it has at most), in order of importance; tokens that each may have before that order counts.
+RESERVE = 200
 PRIORITY = [("entrypoints", 40), ("foundational", 25), ("subsystems", 20), ("flows", 5), ("symbols", 40), ("hotspots", 25), ("module_edges", 50), ("cycles", 20)]
 #: Entry points that a map looks at, at most.
 ENTRYPOINTS = 1000
@@ -181,16 +182,23 @@ def flows(t: Tables, found: DataFrame, most: int = 25) -> list[dict]:
 
 
 def trim(sections: dict[str, list], budget: int) -> tuple[dict[str, list], dict]:
-    """Rows are dropped from the end of the least important section that has more than it must keep, then of any."""
-    out = {k: list(v) for k, v in sections.items()}
-    cost = sum(estimate(x) for v in out.values() for x in v)
-    cut = {k: 0 for k in out}
-    for floors in (True, False):
-        for name, keep in reversed(PRIORITY):
-            while cost > budget and len(out.get(name, [])) > (min(keep, 3) if floors else 0):
-                cost -= estimate(out[name].pop())
-                cut[name] += 1
-    return out, {"truncated": any(cut.values()), "dropped": {k: n for k, n in cut.items() if n}, "estimate": cost}
+    """Rows from the beginning of each section: first what RESERVE tokens (or an even share of a small budget) hold of
+    each, then, in order of importance, more of them up to the section's number, while the budget lasts."""
+    share = min(RESERVE, budget // max(1, len(PRIORITY)))
+    sizes = {name: [estimate(x) + 1 for x in sections.get(name, [])] for name, _ in PRIORITY}
+    taken, cost = dict.fromkeys(sizes, 0), 0
+    for name, most in PRIORITY:
+        left = share
+        while taken[name] < min(most, len(sizes[name])) and sizes[name][taken[name]] <= left:
+            left -= sizes[name][taken[name]]
+            cost += sizes[name][taken[name]]
+            taken[name] += 1
+    for name, most in PRIORITY:
+        while taken[name] < min(most, len(sizes[name])) and cost + sizes[name][taken[name]] <= budget:
+            cost += sizes[name][taken[name]]
+            taken[name] += 1
+    dropped = {name: len(sizes[name]) - n for name, n in taken.items() if n < len(sizes[name])}
+    return {name: sections.get(name, [])[:n] for name, n in taken.items()}, {"truncated": bool(dropped), "dropped": dropped, "estimate": cost}
 
 
 def nav_map(t: Tables, budget: int = 8000) -> dict:

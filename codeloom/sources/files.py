@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
 import re
 import subprocess
@@ -20,32 +19,59 @@ CHURN_DAYS = 90
 LISTING = "path string, mtime long, size long"
 
 
-def _ignores(folder: str) -> list[tuple[str, bool, bool, bool]]:
-    """(pattern, negated, folders only, anchored) of a folder's ignore file."""
+def ignore_regex(pattern: str) -> str:
+    """A pattern of an ignore file, as a regular expression for paths below the file's folder: * and ? stay within a
+    name, ** goes over folders; a pattern with a slash before its end counts from the folder, any other at any depth."""
+    body = pattern.rstrip("/")
+    anchored = "/" in body
+    body = body.removeprefix("/")
+    out, i = "" if anchored else "(?:.*/)?", 0
+    while i < len(body):
+        if body.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif body[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif body[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif body[i] == "[" and (end := body.find("]", i + 2)) > 0:
+            inner = body[i + 1 : end].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", end + 1
+        elif body[i] == "\\" and i + 1 < len(body):
+            out, i = out + re.escape(body[i + 1]), i + 2
+        else:
+            out, i = out + re.escape(body[i]), i + 1
+    return out
+
+
+def _ignores(folder: str) -> list[tuple[re.Pattern, bool, bool]]:
+    """(pattern, negated, folders only) of a folder's ignore file."""
     out = []
     try:
         lines = Path(folder, ".gitignore").read_text(errors="replace").splitlines()
     except OSError:
         return out
     for line in lines:
-        line = line.rstrip()
+        line = line if line.endswith("\\ ") else line.rstrip()
         if not line or line[0] == "#":
             continue
         negated = line[0] == "!"
         body = line[1:] if negated else line
-        out.append((body.strip("/"), negated, body.endswith("/"), "/" in body.rstrip("/")))
+        try:
+            out.append((re.compile(ignore_regex(body), re.S), negated, body.endswith("/")))
+        except re.error:
+            continue
     return out
 
 
 def _ignored(path: str, is_dir: bool, rules: list[tuple[str, list]]) -> bool:
+    """By the last pattern that fits; what lies in an ignored folder is never asked."""
     hit = False
     for base, patterns in rules:
-        rel = os.path.relpath(path, base)
-        for body, negated, dirs, anchored in patterns:
-            if dirs and not is_dir:
-                continue
-            target = rel if anchored else os.path.basename(path)
-            if fnmatch.fnmatch(target, body) or anchored and re.fullmatch(fnmatch.translate(body.replace("**/", "*")), rel):
+        rel = os.path.relpath(path, base).replace(os.sep, "/")
+        for pattern, negated, dirs in patterns:
+            if (is_dir or not dirs) and pattern.fullmatch(rel):
                 hit = not negated
     return hit
 

@@ -260,7 +260,19 @@ def test_pattern_rules(spark):
 def test_trim_keeps_the_most_important():
     sections = {n: [{"x": "y" * 40}] * 30 for n, _ in navmap.PRIORITY}
     out, guide = navmap.trim(sections, 600)
-    assert guide["truncated"] and len(out["entrypoints"]) >= len(out["cycles"])
+    assert guide["truncated"] and len(out["entrypoints"]) >= len(out["cycles"]) > 0 and guide["estimate"] <= 600
+    out, guide = navmap.trim(sections, 100_000)
+    assert {n: len(v) for n, v in out.items()} == {n: min(most, 30) for n, most in navmap.PRIORITY} and guide["dropped"] == {"foundational": 5, "subsystems": 10, "flows": 25, "hotspots": 5, "cycles": 10}
+
+
+def test_ignore_patterns(tmp_path):
+    from codeloom.sources.files import list_sources
+
+    (tmp_path / ".gitignore").write_text("*.log\n!keep.log\nbuild/\n/top.txt\ndocs/**/draft.md\na/*/z\n**/tmp\nx[0-9].py\nq?.py\n# no\nout/\n!out/in.py\n")
+    for p in ("a.log", "keep.log", "d/b.log", "build/x.py", "d/build/y.py", "top.txt", "d/top.txt", "docs/draft.md", "docs/a/b/draft.md", "docs/a/other.md", "a/b/z", "a/b/c/z", "tmp/f.py", "d/tmp/g.py", "x1.py", "xa.py", "qq.py", "q/q.py", "out/in.py"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("")
+    assert [p for p, _, _ in list_sources(str(tmp_path))] == [".gitignore", "a/b/c/z", "d/top.txt", "docs/a/other.md", "keep.log", "q/q.py", "xa.py"]
 
 
 def test_streaming_bursts(spark, tmp_path):
