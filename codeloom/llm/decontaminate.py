@@ -7,13 +7,15 @@ window that must hold the item is verified with Myers' bit-parallel distance of
 it has as many of the item's trigrams as that many edits must leave.
 
 Items are a stated query set: they are broadcast in blocks of at most BLOCK_CHARS characters, each of which scans all
-documents. Nulls and blanks: a null or blank text or item matches nothing. A null doc_id is kept. Repeated rows give
+documents; a worker builds a block's automaton once. Items of fewer than LEAST_CHARS characters, normalised, are left
+out: nearly every document holds them. Nulls and blanks: a null or blank text or item matches nothing. A null doc_id is kept. Repeated rows give
 repeated results; of several places of an item in a text the nearest, then first one is given. Extra columns are left
 alone.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,6 +29,7 @@ from codeloom.llm.common import batch, materialise, row_key
 #: One edit is allowed for so many characters of an item.
 BUDGET_CHARS = 12
 BLOCK_CHARS = 8_000_000
+LEAST_CHARS = 8
 MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("key", pa.binary())])
 MATCHES_DDL = "doc_id long, item_id long, distance int, start long, end long, key binary"
 
@@ -160,18 +163,29 @@ def _found(docs: DataFrame, items: DataFrame, budget_chars: int, block_chars: in
     out = None
     for b in range(blocks):
         block = [(r.item_id, normalise(r.text)) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        found = _scan(docs, sorted([x for x in block if x[1]], key=lambda x: (x[0] is None, x[0] or 0, x[1])), budget_chars)
+        found = _scan(docs, sorted([x for x in block if len(x[1]) >= LEAST_CHARS], key=lambda x: (x[0] is None, x[0] or 0, x[1])), budget_chars)
         if blocks > 1:
             found = materialise(found, "leaks")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], MATCHES_DDL)
 
 
+#: The matcher of the block that this worker has scanned last, by the block's name.
+_matchers: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, block: list[tuple[int, str]], budget_chars: int) -> Matcher:
+    if name not in _matchers:
+        _matchers.clear()
+        _matchers[name] = Matcher(block, budget_chars)
+    return _matchers[name]
+
+
 def _scan(docs: DataFrame, block: list[tuple[int, str]], budget_chars: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(block)
+    held, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value, budget_chars) if held.value else None
+        matcher = _matcher(name, held.value, budget_chars) if held.value else None
         for b in batches:
             rows = []
             for doc, text, key in zip(*(c.to_pylist() for c in b.columns), strict=True):

@@ -60,3 +60,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count() - 2
     assert D.contamination(no_docs, items).count() == 0
     assert D.decontaminate(odd_docs, items.limit(0)).count() == odd_docs.count()
+
+
+def test_very_short_items_and_very_long_texts(spark):
+    long = " ".join(f"w{i % 977}" for i in range(150_000))
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, long + " the quick brown fox jumps over it"), (3, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a"), (2, "b c"), (3, "the quick brwn fox jumps over it"), (4, None), (5, "  ")], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.distance) for r in D.contamination(docs, items).collect()]
+    assert got == [(2, 3, 1)]
