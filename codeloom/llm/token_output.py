@@ -102,7 +102,7 @@ class PieceEncoder:
     def _forget(self) -> None:
         """The vocabulary: pieces, and where the ids of each lie; the first one is the empty piece, which has none."""
         self.pieces = pa.array([""], pa.string())
-        self.starts, self.lengths, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.lengths, self.ids = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint32)
 
     def _learnt(self, pieces: list[str]) -> list[np.ndarray]:
         """The ids of each piece."""
@@ -128,8 +128,8 @@ class PieceEncoder:
             of = dict(zip(new, ids, strict=True)) | {b: self.ids[self.starts[i] : self.starts[i] + self.lengths[i]] for b, i in zip(bases, at, strict=True) if i is not None}
             ids += [np.concatenate([of[p[:-1]], of[p[-1]]]) for p in tailed]
             new = [*new, *tailed]
-        added, sizes = pa.array(new, pa.string()), np.fromiter((len(x) for x in ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        added, sizes = pa.array(new, pa.string()), np.fromiter((len(x) for x in ids), np.int32, len(ids))
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.lengths = np.concatenate([self.lengths, sizes])
         self.ids = np.concatenate([self.ids, *ids])
         self.pieces = pa.concat_arrays([self.pieces, added])
@@ -163,8 +163,10 @@ class PieceEncoder:
             coded = split.flatten().dictionary_encode()
             places = self._places(coded.dictionary)[coded.indices.to_numpy()]
             n = self.lengths[places]
-            ends = np.cumsum(n)
-            found = self.ids[np.repeat(self.starts[places] - (ends - n), n) + np.arange(len(n) and ends[-1])].astype("<u4")
+            ends = np.cumsum(n, dtype=np.int32 if part.nbytes < 1 << 30 else np.int64)  # a text has fewer ids than bytes
+            at = np.repeat(self.starts[places] - (ends - n), n)
+            at += np.arange(len(at), dtype=at.dtype)
+            found = self.ids[at].astype("<u4", copy=False)
             edges = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
             out += [found[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
         for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():

@@ -37,6 +37,8 @@ KEPT = 400
 #: Features whose means differ by fewer standard errors are chance.
 LEAST_Z = 3.5
 LEAST_SEEN = 6
+#: Features that are summed at once while training.
+PART = 500_000
 #: Words whose scores a worker keeps.
 CACHE_WORDS = 250_000
 THRESHOLD = 0.5
@@ -69,6 +71,14 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def summed(at: np.ndarray, weights, width: int) -> np.ndarray:
+    """Sums of weights(from, to) by at, a part of it at a time: the driver has little memory to spare."""
+    out = np.zeros(width)
+    for i in range(0, len(at), PART):
+        out += np.bincount(at[i : i + PART], weights(i, i + PART), width)
+    return out
+
+
 def fit(docs: np.ndarray, feats: np.ndarray, values: np.ndarray, n: int, y: np.ndarray, earlier: np.ndarray, l2: float = 1e-3, rounds: int = 150) -> Linear:
     """docs, feats, values: parallel arrays of the non-zero features of n documents; earlier: n x earlier categories."""
     if not n or y.min() == y.max():
@@ -76,10 +86,10 @@ def fit(docs: np.ndarray, feats: np.ndarray, values: np.ndarray, n: int, y: np.n
         return Linear(float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))), {}, [0.0] * earlier.shape[1])
     # Keep the features whose mean differs most between the classes, in standard errors.
     width = int(feats.max()) + 1 if len(feats) else 1
-    both = np.bincount(feats, values, width)
-    ones = np.bincount(feats, values * y[docs], width)
-    square = np.bincount(feats, values**2, width)
-    seen = np.bincount(feats, minlength=width)
+    both = summed(feats, lambda i, j: values[i:j], width)
+    ones = summed(feats, lambda i, j: values[i:j] * y[docs[i:j]], width)
+    square = summed(feats, lambda i, j: values[i:j].astype(float) ** 2, width)
+    seen = summed(feats, lambda i, j: None, width)
     n1 = y.sum()
     z = np.abs(ones / n1 - (both - ones) / (n - n1)) / np.sqrt(square / n / min(n1, n - n1) + 1e-6)
     z[seen < LEAST_SEEN] = 0
@@ -119,10 +129,16 @@ def train_arrays(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], names:
     """rows: feature hashes, their values and the labels of each document."""
     n = len(rows)
     docs = np.repeat(np.arange(n, dtype=np.int32), [len(r[0]) for r in rows])
-    feats = np.concatenate([r[0] for r in rows]).astype(np.int32) if n else np.zeros(0, np.int32)
-    values = np.concatenate([r[1] for r in rows]).astype(np.float32) if n else np.zeros(0, np.float32)
-    often = np.bincount(feats, minlength=1) >= LEAST_SEEN  # the rest could not be kept anyway
-    docs, feats, values = (x[often[feats]] for x in (docs, feats, values))
+    feats = np.concatenate([r[0] for r in rows], dtype=np.int32, casting="same_kind") if n else np.zeros(0, np.int32)
+    values = np.concatenate([r[1] for r in rows], dtype=np.float32, casting="same_kind") if n else np.zeros(0, np.float32)
+    often = summed(feats, lambda i, j: None, FEATURES) >= LEAST_SEEN  # the rest could not be kept anyway
+    if not often[feats].all():
+        docs, feats, values = (x[often[feats]] for x in (docs, feats, values))
+    # only features that occur have a place in the sums
+    present = np.flatnonzero(often)
+    place = np.zeros(FEATURES, np.int32)
+    place[present] = np.arange(len(present), dtype=np.int32)
+    feats = place[feats]
     labels = np.array([r[2] for r in rows], float).reshape(n, len(names))
     earlier, models = np.zeros((n, 0)), []
     fold = np.arange(n) % folds
@@ -141,6 +157,8 @@ def train_arrays(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], names:
                 where, on = np.cumsum(held) - 1, held[docs]
                 out[held] = predict(part, where[docs[on]], feats[on], values[on], int(held.sum()), earlier[held])
             earlier = np.column_stack([earlier, out])
+    for m in models:
+        m.weights = {int(present[f]): w for f, w in m.weights.items()}
     return Chain(names, models)
 
 
