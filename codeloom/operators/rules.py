@@ -45,52 +45,107 @@ BUILTIN = [
     Rule("churn-complexity-hotspot", "warning", "a file of many branches ({complexity}) that changes often ({churn} commits)", "SELECT path AS file, 1 AS line, complexity, churn FROM files WHERE complexity > :max_complexity AND churn > :min_churn", thresholds={"max_complexity": 50.0, "min_churn": 20.0}),
     Rule(
         "function-complexity-hotspot", "warning", "{name} branches {complexity} ways",
-        f"SELECT f.path AS file, {_SPAN}, e.id, e.name, 1 + coalesce(b.n, 0) AS complexity FROM entities e JOIN files f ON f.id = e.file_id LEFT JOIN branches b ON b.file_id = e.file_id AND b.enclosing_function = e.name AND coalesce(b.owner_type, '') = coalesce(e.owner_type, '') WHERE e.kind = 0 AND 1 + coalesce(b.n, 0) > :max_function_complexity",
+        (
+            f"SELECT f.path AS file, {_SPAN}, e.id, e.name, 1 + coalesce(b.n, 0) AS complexity FROM entities e JOIN files f ON f.id = e.file_id "
+            f"LEFT JOIN branches b ON b.file_id = e.file_id AND b.enclosing_function = e.name "
+            f"AND coalesce(b.owner_type, '') = coalesce(e.owner_type, '') WHERE e.kind = 0 AND 1 + coalesce(b.n, 0) > :max_function_complexity"
+        ),
         "branches AS (SELECT file_id, enclosing_function, owner_type, count(*) AS n FROM entities WHERE kind = 12 GROUP BY file_id, enclosing_function, owner_type)", {"max_function_complexity": 15.0},
     ),
     Rule(
         "duplicate-code-clone", "warning", "this body is also found elsewhere (band {band_id})",
-        f"SELECT f.path AS file, {_SPAN}, e.id, c.band_id FROM shown c JOIN entities e ON e.id = c.entity_id JOIN files f ON f.id = e.file_id WHERE c.band_id IN (SELECT band_id FROM shown GROUP BY band_id HAVING count(*) >= :min_band_size AND (count(DISTINCT owner_type) < count(*) OR count(DISTINCT owner_type) = 0))",
-        "shown AS (SELECT m.band_id, m.entity_id, e.owner_type FROM clone_band_members m JOIN entities e ON e.id = m.entity_id JOIN files f ON f.id = e.file_id WHERE NOT f.is_test_path AND NOT f.is_tooling_path AND e.end_line - e.start_line + 1 > :min_span_lines)", {"min_band_size": 3.0, "min_span_lines": 2.0},
+        (
+            f"SELECT f.path AS file, {_SPAN}, e.id, c.band_id FROM shown c JOIN entities e ON e.id = c.entity_id "
+            f"JOIN files f ON f.id = e.file_id WHERE c.band_id IN (SELECT band_id FROM shown GROUP BY band_id HAVING count(*) >= :min_band_size "
+            f"AND (count(DISTINCT owner_type) < count(*) OR count(DISTINCT owner_type) = 0))"
+        ),
+        (
+            "shown AS (SELECT m.band_id, m.entity_id, e.owner_type FROM clone_band_members m JOIN entities e ON e.id = m.entity_id "
+            "JOIN files f ON f.id = e.file_id WHERE NOT f.is_test_path AND NOT f.is_tooling_path "
+            "AND e.end_line - e.start_line + 1 > :min_span_lines)"
+        ), {"min_band_size": 3.0, "min_span_lines": 2.0},
     ),
     Rule("low-fan-in-high-fan-out-file", "info", "{fan_out} references out, {fan_in} in: little rests on this file and it rests on much", "SELECT path AS file, 1 AS line, fan_in, fan_out FROM files WHERE NOT is_test_path AND fan_in <= :max_fan_in AND fan_out >= :min_fan_out", thresholds={"max_fan_in": 2.0, "min_fan_out": 15.0}),
     Rule(
         "circular-import", "warning", "imports {other}, which imports it back",
-        "SELECT fa.path AS file, coalesce(ie.start_line, 1) AS line, a.id, b.id AS other_id, fb.path AS other FROM imports a JOIN imports b ON b.from_file_id = a.to_file_id AND b.to_file_id = a.from_file_id JOIN files fa ON fa.id = a.from_file_id JOIN files fb ON fb.id = a.to_file_id LEFT JOIN entities ie ON ie.id = a.from_entity_id WHERE a.from_file_id < a.to_file_id AND NOT fa.is_test_path AND NOT fb.is_test_path AND fa.path NOT LIKE '%.java' AND fb.path NOT LIKE '%.java'",
+        (
+            "SELECT fa.path AS file, coalesce(ie.start_line, 1) AS line, a.id, b.id AS other_id, fb.path AS other FROM imports a "
+            "JOIN imports b ON b.from_file_id = a.to_file_id AND b.to_file_id = a.from_file_id JOIN files fa ON fa.id = a.from_file_id "
+            "JOIN files fb ON fb.id = a.to_file_id LEFT JOIN entities ie ON ie.id = a.from_entity_id WHERE a.from_file_id < a.to_file_id "
+            "AND NOT fa.is_test_path AND NOT fb.is_test_path AND fa.path NOT LIKE '%.java' AND fb.path NOT LIKE '%.java'"
+        ),
         "imports AS (SELECT id, from_file_id, to_file_id, from_entity_id FROM resolved_edges WHERE kind = 1 AND resolved)",
     ),
     Rule(
         "vertical-slice-sprawl", "warning", "{name} calls into {slices} other communities",
-        f"SELECT f.path AS file, {_SPAN}, e.id, e.name, count(DISTINCT t.community_id) AS slices FROM inside i JOIN entities e ON e.id = i.fn JOIN files f ON f.id = e.file_id JOIN resolved_edges r ON r.from_entity_id = i.call_id AND r.kind = 0 AND r.resolved JOIN files t ON t.id = r.to_file_id AND t.community_id <> f.community_id GROUP BY f.path, e.start_line, e.start_byte, e.end_byte, e.end_line, e.id, e.name HAVING count(DISTINCT t.community_id) >= :min_foreign_slices",
+        (
+            f"SELECT f.path AS file, {_SPAN}, e.id, e.name, count(DISTINCT t.community_id) AS slices FROM inside i "
+            f"JOIN entities e ON e.id = i.fn JOIN files f ON f.id = e.file_id JOIN resolved_edges r ON r.from_entity_id = i.call_id "
+            f"AND r.kind = 0 AND r.resolved JOIN files t ON t.id = r.to_file_id AND t.community_id <> f.community_id "
+            f"GROUP BY f.path, e.start_line, e.start_byte, e.end_byte, e.end_line, e.id, e.name "
+            f"HAVING count(DISTINCT t.community_id) >= :min_foreign_slices"
+        ),
         "calls AS (SELECT id, file_id, start_byte, end_byte FROM entities WHERE kind = 6), fns AS (SELECT id, kind, file_id, start_byte, end_byte FROM entities WHERE kind IN (0, 19)), "
         "pairs AS (SELECT c.id AS call_id, n.id AS fn, n.kind, n.start_byte, n.end_byte FROM calls c JOIN fns n ON n.file_id = c.file_id AND c.start_byte >= n.start_byte AND c.end_byte <= n.end_byte), "
-        "inside AS (SELECT p.call_id, p.fn FROM pairs p WHERE p.kind = 0 AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.call_id = p.call_id AND q.fn <> p.fn AND q.start_byte >= p.start_byte AND q.end_byte <= p.end_byte))", {"min_foreign_slices": 3.0},
+        "inside AS (SELECT p.call_id, p.fn FROM pairs p WHERE p.kind = 0 AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.call_id = p.call_id "
+        "AND q.fn <> p.fn AND q.start_byte >= p.start_byte AND q.end_byte <= p.end_byte))", {"min_foreign_slices": 3.0},
     ),
     Rule(
         "solid-lsp", "warning", "{class_name} has {class_methods} of the {iface_methods} methods that {interface_name} asks for",
-        f"SELECT f.path AS file, {_SPAN}, e.id, e.enclosing_function AS class_name, e.name AS interface_name, coalesce(g.n, 0) AS class_methods, t.n AS iface_methods FROM entities e JOIN files f ON f.id = e.file_id JOIN total t ON t.iface = e.name LEFT JOIN got g ON g.iface = e.name AND g.file_id = e.file_id AND g.cls = e.enclosing_function WHERE e.kind = 16 AND NOT f.is_test_path AND f.path NOT LIKE '%.rb' AND e.name IN (SELECT name FROM entities WHERE kind = 2) AND coalesce(g.n, 0) < t.n * :coverage_threshold",
-        _METHODS + ", required AS (SELECT owner_type AS iface, name, count(*) AS k FROM methods WHERE end_line = start_line GROUP BY owner_type, name), total AS (SELECT iface, CAST(sum(k) AS BIGINT) AS n FROM required GROUP BY iface), "
-        "have AS (SELECT DISTINCT file_id, owner_type AS cls, name FROM methods), got AS (SELECT r.iface, h.file_id, h.cls, CAST(sum(r.k) AS BIGINT) AS n FROM required r JOIN have h ON h.name = r.name GROUP BY r.iface, h.file_id, h.cls)", {"coverage_threshold": 0.7},
+        (
+            f"SELECT f.path AS file, {_SPAN}, e.id, e.enclosing_function AS class_name, e.name AS interface_name, coalesce(g.n, 0) AS class_methods, t.n AS iface_methods "
+            f"FROM entities e JOIN files f ON f.id = e.file_id JOIN total t ON t.iface = e.name LEFT JOIN got g ON g.iface = e.name "
+            f"AND g.file_id = e.file_id AND g.cls = e.enclosing_function WHERE e.kind = 16 AND NOT f.is_test_path AND f.path NOT LIKE '%.rb' "
+            f"AND e.name IN (SELECT name FROM entities WHERE kind = 2) AND coalesce(g.n, 0) < t.n * :coverage_threshold"
+        ),
+        _METHODS + ", required AS (SELECT owner_type AS iface, name, count(*) AS k FROM methods WHERE end_line = start_line "
+            "GROUP BY owner_type, name), total AS (SELECT iface, CAST(sum(k) AS BIGINT) AS n FROM required GROUP BY iface), "
+        "have AS (SELECT DISTINCT file_id, owner_type AS cls, name FROM methods), "
+        "got AS (SELECT r.iface, h.file_id, h.cls, CAST(sum(r.k) AS BIGINT) AS n FROM required r JOIN have h ON h.name = r.name "
+        "GROUP BY r.iface, h.file_id, h.cls)", {"coverage_threshold": 0.7},
     ),
     Rule(
         "solid-isp", "warning", "{class_name} leaves {empty_stubs} of {class_methods} methods empty under the wide {interface_name} ({iface_method_count})",
-        f"SELECT f.path AS file, {_SPAN}, e.id, e.enclosing_function AS class_name, e.name AS interface_name, w.n AS iface_method_count, c.n AS class_methods, c.stubs AS empty_stubs FROM entities e JOIN files f ON f.id = e.file_id JOIN wide w ON w.owner_type = e.name JOIN classes c ON c.owner_type = e.enclosing_function AND c.file_id = e.file_id WHERE e.kind = 16 AND NOT f.is_test_path AND f.path NOT LIKE '%.rb' AND c.stubs > c.n * :empty_body_threshold",
-        _METHODS + ", wide AS (SELECT owner_type, count(*) AS n FROM methods GROUP BY owner_type HAVING count(*) > :method_threshold), busy AS (SELECT DISTINCT m.id FROM methods m JOIN entities k ON k.kind = 6 AND k.file_id = m.file_id AND k.start_byte >= m.start_byte AND k.end_byte <= m.end_byte), "
-        "classes AS (SELECT m.file_id, m.owner_type, count(*) AS n, count(CASE WHEN m.end_line - m.start_line + 1 <= 2 AND b.id IS NULL THEN 1 END) AS stubs FROM methods m LEFT JOIN busy b ON b.id = m.id GROUP BY m.file_id, m.owner_type)", {"method_threshold": 7.0, "empty_body_threshold": 0.3},
+        (
+            f"SELECT f.path AS file, {_SPAN}, e.id, e.enclosing_function AS class_name, e.name AS interface_name, w.n AS iface_method_count, c.n AS class_methods, c.stubs AS empty_stubs "
+            f"FROM entities e JOIN files f ON f.id = e.file_id JOIN wide w ON w.owner_type = e.name "
+            f"JOIN classes c ON c.owner_type = e.enclosing_function AND c.file_id = e.file_id WHERE e.kind = 16 AND NOT f.is_test_path "
+            f"AND f.path NOT LIKE '%.rb' AND c.stubs > c.n * :empty_body_threshold"
+        ),
+        _METHODS + ", wide AS (SELECT owner_type, count(*) AS n FROM methods GROUP BY owner_type HAVING count(*) > :method_threshold), "
+            "busy AS (SELECT DISTINCT m.id FROM methods m JOIN entities k ON k.kind = 6 AND k.file_id = m.file_id "
+            "AND k.start_byte >= m.start_byte AND k.end_byte <= m.end_byte), "
+        "classes AS (SELECT m.file_id, m.owner_type, count(*) AS n, count(CASE WHEN m.end_line - m.start_line + 1 <= 2 "
+        "AND b.id IS NULL THEN 1 END) AS stubs FROM methods m LEFT JOIN busy b ON b.id = m.id GROUP BY m.file_id, m.owner_type)", {"method_threshold": 7.0, "empty_body_threshold": 0.3},
     ),
     Rule(
         "fat-interface", "warning", "{member_count} methods in {class_name}",
-        f"SELECT f.path AS file, {_SPAN}, e.id, e.name AS class_name, count(*) AS member_count FROM entities e JOIN files f ON f.id = e.file_id JOIN methods m ON m.owner_type = e.name AND m.file_id = e.file_id AND m.start_byte >= e.start_byte AND m.end_byte <= e.end_byte WHERE e.kind IN (1, 2) AND NOT f.is_test_path AND NOT (e.kind = 2 AND f.path LIKE '%.rb') AND e.name NOT LIKE '%Builder' AND e.name NOT LIKE '%Facade' AND e.name NOT LIKE '%Extensions' AND e.name <> 'DependencyInjection' AND e.name NOT LIKE '%Installer' AND e.name NOT LIKE '%Registrar' GROUP BY f.path, e.start_line, e.start_byte, e.end_byte, e.end_line, e.id, e.name HAVING count(*) > :max_members",
+        (
+            f"SELECT f.path AS file, {_SPAN}, e.id, e.name AS class_name, count(*) AS member_count FROM entities e "
+            f"JOIN files f ON f.id = e.file_id JOIN methods m ON m.owner_type = e.name AND m.file_id = e.file_id "
+            f"AND m.start_byte >= e.start_byte AND m.end_byte <= e.end_byte WHERE e.kind IN (1, 2) AND NOT f.is_test_path AND NOT (e.kind = 2 "
+            f"AND f.path LIKE '%.rb') AND e.name NOT LIKE '%Builder' AND e.name NOT LIKE '%Facade' AND e.name NOT LIKE '%Extensions' "
+            f"AND e.name <> 'DependencyInjection' AND e.name NOT LIKE '%Installer' AND e.name NOT LIKE '%Registrar' "
+            f"GROUP BY f.path, e.start_line, e.start_byte, e.end_byte, e.end_line, e.id, e.name HAVING count(*) > :max_members"
+        ),
         _METHODS, {"max_members": 15.0},
     ),
     Rule(
         "too-many-interfaces", "warning", "{class_name} stands for {implements_count} interfaces",
-        "SELECT f.path AS file, min(e.start_line) AS line, e.enclosing_function AS class_name, count(*) AS implements_count FROM entities e JOIN files f ON f.id = e.file_id WHERE e.kind = 16 AND NOT f.is_test_path AND f.path NOT LIKE '%.rb' AND e.name NOT IN ({}) GROUP BY f.path, e.file_id, e.enclosing_function HAVING count(*) > :max_interfaces".format(", ".join(f"'{m}'" for m in MARKERS)),
+        (
+            "SELECT f.path AS file, min(e.start_line) AS line, e.enclosing_function AS class_name, count(*) AS implements_count "
+            "FROM entities e JOIN files f ON f.id = e.file_id WHERE e.kind = 16 AND NOT f.is_test_path AND f.path NOT LIKE '%.rb' "
+            "AND e.name NOT IN ({}) GROUP BY f.path, e.file_id, e.enclosing_function HAVING count(*) > :max_interfaces"
+        ).format(", ".join(f"'{m}'" for m in MARKERS)),
         thresholds={"max_interfaces": 3.0},
     ),
     Rule(
         "deep-inheritance", "warning", "{chain_depth} types above {class_name}",
-        f"SELECT f.path AS file, {_SPAN}, e.id, e.name AS class_name, d.depth AS chain_depth FROM entities e JOIN files f ON f.id = e.file_id JOIN type_depth d ON d.name = e.name WHERE e.kind = 1 AND NOT f.is_test_path AND d.depth > :max_depth",
+        (
+            f"SELECT f.path AS file, {_SPAN}, e.id, e.name AS class_name, d.depth AS chain_depth FROM entities e "
+            f"JOIN files f ON f.id = e.file_id JOIN type_depth d ON d.name = e.name WHERE e.kind = 1 AND NOT f.is_test_path "
+            f"AND d.depth > :max_depth"
+        ),
         thresholds={"max_depth": 3.0},
     ),
 ]
