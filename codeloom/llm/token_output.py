@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -38,7 +39,9 @@ SAMPLE_DOCS = 2_000
 #: Pieces whose ids a Python worker keeps, in Arrow and numpy arrays of some 40 bytes a piece.
 CACHE_PIECES = 1_500_000
 #: Pieces encoded in one call, and bytes of text whose pieces are told apart at once.
-CALL_PIECES, SLICE_CHARS = 256, 8_000_000
+CALL_PIECES, CALL_WORDS, SLICE_CHARS = 256, 4_096, 8_000_000
+#: Words of small letters of Latin-1 alone: composed, lowered, and letters for any pattern.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 #: What the probes of a tokenizer put beside white space, and the steps of a normalizer that act within pieces.
@@ -89,9 +92,10 @@ class PieceEncoder:
         self.marks = sorted({t[:2] for _, t in special})
         self.lower = self.by_piece and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
         # A stop or comma after an ASCII letter may be a piece of its own for the pattern.
-        self.tails = tuple(c for c in ".," if self.by_piece and all(self._ids(p + c) == self._ids(p) + self._ids(c) for p in ("a", "zq", "it's", "é-k", "7b")))
+        self.tails = tuple(c for c in ".," if self.by_piece and len(self._ids(c)) == 1 and all(self._ids(p + c) == self._ids(p) + self._ids(c) for p in ("a", "zq", "it's", "é-k", "7b")))
         self.most = CACHE_PIECES
         self._forget()
+        self.letters = self._of_letters(spec["model"]) if self.by_piece else None
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -99,41 +103,91 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self._ids(text), "<u4").tobytes()
 
+    def _of_letters(self, model: dict):
+        """(tokenizer, which ids end a word) for words of small Latin letters only, which nothing before the model
+        changes or cuts: the same model behind a plain cut at blanks. None unless it gives the probes' ids."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        suffix = model.get("end_of_word_suffix")
+        if model.get("type") != "BPE" or not suffix or model.get("dropout"):
+            return None
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        letters = [chr(c) for c in range(256) if LETTERS.fullmatch(chr(c))]
+        words = [*letters, *(a + b for a in letters for b in letters), "grünüberall", "élan", "naïveté", "thequickbrownfox"]
+        found = np.array(plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
+        whole = np.array(self._ids(" ".join(words)))
+        same = len(found) == len(whole) and (found == whole).all() and ends[found].sum() == len(words)
+        return (plain, ends) if same else None
+
     def _forget(self) -> None:
         """The vocabulary: pieces, and where the ids of each lie; the first one is the empty piece, which has none."""
         self.pieces = pa.array([""], pa.string())
         self.starts, self.lengths, self.ids = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint32)
 
-    def _learnt(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of each piece."""
-        out: list[np.ndarray] = []
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each word's end) of words of small letters."""
+        plain, is_end = self.letters
+        calls = [np.array(plain.encode_batch_fast([" ".join(words[i : i + CALL_WORDS])], add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(words), CALL_WORDS)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *calls])
+        ends = np.flatnonzero(is_end[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word's ids don't end in one that ends words")
+        return ids, ends
+
+    def _by_marks(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each piece's end) of any pieces, by calls in which a special token stands between them."""
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(pieces), CALL_PIECES):
             some = pieces[at : at + CALL_PIECES]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark_text} ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(ids == self.mark).tolist()
-            out += [ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
-        return out
+            marks = np.flatnonzero(ids == self.mark)
+            flat.append(np.delete(ids, marks))
+            sizes.append(np.diff([-1, *marks, len(ids)]) - 1)
+        return np.concatenate(flat), np.cumsum(np.concatenate(sizes))
 
     def _add(self, missing: list[str]) -> pa.Array:
-        """Take pieces that aren't in the vocabulary into it; the pieces that were added, in their order."""
-        tailed = [p for p in missing if p[-1:] in self.tails and "a" <= p[-2:-1] <= "z"] if self.tails else []
-        new = missing
-        if tailed:
-            plain = set(missing).difference(tailed)
-            bases = list({p[:-1] for p in tailed}.union(self.tails))
-            at = pc.index_in(pa.array(bases, pa.string()), value_set=self.pieces).to_pylist()
-            new = [*plain, *(b for b, i in zip(bases, at, strict=True) if i is None and b not in plain)]
-        ids = self._learnt(new)
-        if tailed:
-            of = dict(zip(new, ids, strict=True)) | {b: self.ids[self.starts[i] : self.starts[i] + self.lengths[i]] for b, i in zip(bases, at, strict=True) if i is not None}
-            ids += [np.concatenate([of[p[:-1]], of[p[-1]]]) for p in tailed]
-            new = [*new, *tailed]
-        added, sizes = pa.array(new, pa.string()), np.fromiter((len(x) for x in ids), np.int32, len(ids))
+        """Take pieces that aren't in the vocabulary into it; the pieces that were added, in their order.
+
+        Words of small letters go the short way, and so do those with a stop or comma behind, whose id follows.
+        """
+        words: list[str] = []
+        tailed: dict[str, list[str]] = {c: [] for c in self.tails}
+        others: list[str] = []
+        for p in missing:
+            if self.letters is None:
+                others.append(p)
+            elif LETTERS.fullmatch(p):
+                words.append(p)
+            elif p[-1:] in self.tails and LETTERS.fullmatch(p, 0, len(p) - 1):
+                tailed[p[-1]].append(p)
+            else:
+                others.append(p)
+        added, flat, ends = [*words], [], []
+        if words:
+            found = self._of_words(words)
+            flat, ends = [found[0]], [found[1]]
+        for tail, some in tailed.items():
+            if some:
+                ids, at = self._of_words([p[:-1] for p in some])
+                added += some
+                flat.append(np.insert(ids, at, self._ids(tail)[0]))
+                ends.append(at + np.arange(1, len(at) + 1))
+        if others:
+            found = self._by_marks(others)
+            added += others
+            flat.append(found[0]), ends.append(found[1])
+        sizes = np.concatenate([np.diff(e, prepend=0) for e in ends]).astype(np.int32)
         self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.lengths = np.concatenate([self.lengths, sizes])
-        self.ids = np.concatenate([self.ids, *ids])
-        self.pieces = pa.concat_arrays([self.pieces, added])
-        return added
+        self.ids = np.concatenate([self.ids, *flat])
+        new = pa.array(added, pa.string())
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        return new
 
     def _places(self, distinct: pa.Array) -> np.ndarray:
         """Where each of different pieces is in the vocabulary; one that has grown too large starts again."""
@@ -187,6 +241,20 @@ def encoder(path: str, by_piece: bool | None = None) -> PieceEncoder:
     return _encoders[path, by_piece]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, pa.Array]]:
+    """(ids, texts) of batches that follow one another, until they hold most bytes: a vocabulary is asked less often."""
+    ids: list = []
+    texts: list[pa.Array] = []
+    for b in batches:
+        ids += b.column(0).to_pylist()
+        texts.append(b.column(1))
+        if sum(t.nbytes for t in texts) >= most:
+            yield ids, pa.concat_arrays(texts)
+            ids, texts = [], []
+    if ids:
+        yield ids, pa.concat_arrays(texts)
+
+
 def serialize(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
@@ -251,8 +319,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_p
             ids.clear(), lengths.clear(), frames.clear()
             return out
 
-        for b in batches:
-            texts, docs_ = b.column(1), b.column(0).to_pylist()
+        for docs_, texts in gathered(batches, SLICE_CHARS):
             for i, j in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_CHARS):
                 for doc, x in zip(docs_[i:j], encode(texts.slice(i, j - i)), strict=True):
                     x += end
