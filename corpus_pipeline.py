@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import decontaminate, mixing, near_dedup, token_output, toxicity
-from codeloom.llm.common import materialise, table
+from codeloom.llm.common import Scratch, table
 from codeloom.llm.queries import tokenizer_path
 
 
@@ -48,7 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's documents are written and read again, and deleted once the next stage's are there."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.clear(name)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # reads the shards that it has written
+    scratch.clear()
+    return out
