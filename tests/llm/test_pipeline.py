@@ -64,3 +64,13 @@ def test_very_long_near_copies(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "short text of its own"), (4, " ".join(words[:100_000]))], "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
     assert got[1] == (199_996, 1) and got[2][1] == 1 and got[3][1] == 3 and got[4][1] == 4
+
+
+def test_run_leaves_the_stages_tables_deleted(spark, sf):
+    out = corpus_pipeline.run(spark, sf)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    import os
+
+    assert not [x for x in os.listdir(folder) if x.startswith(("toxicity-", "near_dedup-", "decontamination-", "mixing-"))]
+    rows = out.orderBy("start").collect()
+    assert rows and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
