@@ -117,12 +117,15 @@ def narrowest_enclosing(spans: DataFrame, entities: DataFrame) -> DataFrame:
 def symbol_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(file_id, name, change) of two sets of (file_id, name, start_line): added, removed or modified.
 
-    The first span of a name counts.
+    The first span of a name counts. Both sets are exchanged together and meet in one aggregation by sorted keys; rows
+    without a file or a name match none of the other set.
     """
-    first = lambda df, c: df.groupBy("file_id", "name").agg(F.min(F.struct("start_line", "end_line")).alias(c))
-    both = first(old, "was").join(first(new, "now"), ["file_id", "name"], "full")
+    rows = lambda df, old: df.select("file_id", "name", F.struct("start_line", "end_line").alias("span"), F.lit(old).alias("old"))
+    both = rows(old, True).unionByName(rows(new, False)).repartition("file_id", "name")
+    lone = F.when(F.col("file_id").isNull() | F.col("name").isNull(), F.col("old"))
+    ends = both.groupBy("file_id", "name", lone.alias("lone")).agg(F.min(F.when(F.col("old"), F.col("span"))).alias("was"), F.min(F.when(~F.col("old"), F.col("span"))).alias("now"))
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "modified")
-    return both.select("file_id", "name", change.alias("change")).filter("change is not null")
+    return ends.select("file_id", "name", change.alias("change")).filter("change is not null")
 
 
 def classify_files(stored: DataFrame, current: DataFrame) -> DataFrame:
