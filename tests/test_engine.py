@@ -342,3 +342,17 @@ def test_pattern_search_against_plain_tokens(spark, sf):
             if t.text == "token" and tokens[i + 1].text == "=" and (i == 0 or tokens[i - 1].text not in (".", "::", "?.", "->")):
                 want.add((r.doc_id, len(r.text[: t.start].encode())))
     assert {(r.doc_id, r.start_byte) for r in QUERIES["pattern_search"](spark, sf).collect()} == want
+
+
+def test_minhash_takes_texts_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    from codeloom.functions.hashing import BATCH, body_minhash, with_minhash
+
+    for name in BATCH:
+        spark.conf.unset(name)
+    texts = spark.range(3000, numPartitions=1).select("id", F.concat_ws(" ", F.lit("one two three four five"), F.col("id"), F.repeat(F.lit("word "), 400)).alias("text"))
+    signed = with_minhash(texts, "text")
+    assert all(int(spark.conf.get(name).rstrip("b")) <= most for name, most in BATCH.items())
+    rows = signed.collect()
+    assert len(rows) == 3000 and all([x % (1 << 64) for x in r.body_minhash] == body_minhash(r.text) for r in rows[::500])
