@@ -356,3 +356,16 @@ def test_minhash_takes_texts_in_small_batches(spark):
     assert all(int(spark.conf.get(name).rstrip("b")) <= most for name, most in BATCH.items())
     rows = signed.collect()
     assert len(rows) == 3000 and all([x % (1 << 64) for x in r.body_minhash] == body_minhash(r.text) for r in rows[::500])
+
+
+def test_large_graphs_are_written_once_and_stay_off_the_driver(spark, monkeypatch):
+    """Pairs are written once, each level joins them as they lie, and none are fetched once there are too many."""
+    edges = [(i, i + 1) for i in range(12)] + [(0, 5), (12, 0), (3, 3)]
+    pairs, one = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,)], "id long")
+    near = {tuple(r) for r in G.reachable(pairs, one).collect()}
+    names, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name="step": names.append(name) or cut(df, name))
+    monkeypatch.setattr(G, "LOCAL_EDGES", 5)
+    monkeypatch.setattr(type(pairs), "toPandas", lambda self: 1 / 0)
+    assert {tuple(r) for r in G.reachable(pairs, one).collect()} == near and len(near) == 12
+    assert names.count("pairs") == 1
