@@ -369,3 +369,13 @@ def test_large_graphs_are_written_once_and_stay_off_the_driver(spark, monkeypatc
     monkeypatch.setattr(type(pairs), "toPandas", lambda self: 1 / 0)
     assert {tuple(r) for r in G.reachable(pairs, one).collect()} == near and len(near) == 12
     assert names.count("pairs") == 1
+
+
+def test_communities_of_large_graphs_fetch_no_edges(spark, monkeypatch):
+    files = spark.createDataFrame([(i, f"f{i}") for i in range(8)], "id long, path string")
+    links = [(a, b, True) for g in (0, 4) for a in range(g, g + 4) for b in range(g, g + 4) if a < b] + [(4, 0, True)]
+    edges = spark.createDataFrame(links, "from_file_id long, to_file_id long, resolved boolean")
+    monkeypatch.setattr(G, "LOCAL_EDGES", 5)
+    monkeypatch.setattr(G, "SPREAD_ROUNDS", 2)
+    monkeypatch.setattr(type(files), "toPandas", lambda self: 1 / 0)
+    assert sorted(r.file_id for r in G.communities(files, edges).collect()) == list(range(8))
