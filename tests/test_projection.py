@@ -49,3 +49,14 @@ def test_changes_meet_in_one_exchange(spark):
     assert exchanges(out := L.symbol_changes(old, new)) == 1
     want = [(1, "a", "modified"), (2, "c", "modified"), (4, "e", "added"), (None, "d", "added"), (None, "d", "removed"), (3, None, "added"), (3, None, "removed")]
     assert Counter(map(tuple, out.collect())) == Counter(want)
+
+
+def test_numbers_of_files_are_counted_in_one_exchange(spark, tmp_path):
+    lines = [(1, 9, 1, 9.0, "F"), (1, 10, 2, 9.0, "F"), (1, 11, 1, 9.0, "F"), (2, 8, 1, 1.0, "F"), (3, 1, None, 1.0, "F"), (3, 2, 4, 1.0, "F"), (4, 1, 77, 1.0, "F"), (5, 1, 2, 1.0, "O")]
+    folder = made(spark, tmp_path, lines)
+    parts = [(1, "Brand#1", "SMALL TIN", 3), (1, "Brand#2", "SMALL TIN", 3), (2, "Brand#1", "SMALL TIN", 3), (3, "Brand#1", "SMALL TIN", 3), (4, "Brand#1", "SMALL TIN", 3), (None, "Brand#1", "SMALL TIN", 3)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.mode("overwrite").parquet(f"{folder}/part.parquet")
+    t = P.tables(spark, folder)
+    assert exchanges(t._files()) == 1
+    got = Counter((r.id, r.complexity, r.churn, r.fan_in, r.fan_out) for r in t.files.collect())
+    assert got == Counter({(1, 3, 3, 1, 1): 2, (2, 2, 2, 1, 1): 1, (3, 1, 0, 0, 0): 1, (4, 1, 1, 0, 0): 1, (None, 1, 0, 0, 0): 1})
