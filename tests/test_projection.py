@@ -51,6 +51,17 @@ def test_changes_meet_in_one_exchange(spark):
     assert Counter(map(tuple, out.collect())) == Counter(want)
 
 
+def test_paths_of_many_files_are_merged_and_not_broadcast(spark, tmp_path):
+    folder = made(spark, tmp_path, [(1, 1, 1, 3.0, "F"), (1, 2, 2, 9.0, "F"), (1, 3, 3, 1.0, "F")])
+    spark.range(100_001).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "'SMALL TIN' as p_type", "10 as p_size").write.mode("overwrite").parquet(f"{folder}/part.parquet")
+    t = P.tables(spark, folder)
+    joined = [t._files(), L.with_path(t.entities, t.files), L.tests_for_file(t.resolved_edges, t.files, spark.createDataFrame([(3,)], "id long")), spark.sql("select * from entities e join files f on f.id = e.file_id"), t.community_members.join(t.entities, "file_id")]
+    for df in joined:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert t.files.count() == 100_001 and [r.file for r in joined[2].collect()] == ["src/brand1/tests/part_2.go"]
+
+
 def test_numbers_of_files_are_counted_in_one_exchange(spark, tmp_path):
     lines = [(1, 9, 1, 9.0, "F"), (1, 10, 2, 9.0, "F"), (1, 11, 1, 9.0, "F"), (2, 8, 1, 1.0, "F"), (3, 1, None, 1.0, "F"), (3, 2, 4, 1.0, "F"), (4, 1, 77, 1.0, "F"), (5, 1, 2, 1.0, "O")]
     folder = made(spark, tmp_path, lines)
